@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as tokenizers_files
 from pyspark.sql import DataFrame, SparkSession
 
-from oreline.llm import bpe, packing, token_counts
+from oreline.llm import bpe, packing, simhash, token_counts
 from oreline.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizers_files.path("byte_bpe_50k.tiktoken"), tokenizers_files.PATTERN, with_ids=False)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizers_files.path("byte_bpe_50k.json"), tokenizers_files.PATTERN)
 
@@ -21,6 +25,6 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizers_files.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_best_fit_packing, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op3_best_fit_packing, op8_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers as tokenizers_files
 from pyspark.sql import DataFrame, SparkSession
 
-from oreline.llm import bpe, packing, simhash, token_counts
-from oreline.llm.common import table
+from oreline.llm import bpe, classlm, packing, simhash, token_counts
+from oreline.llm.common import held_out, table
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizers_files.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op3_best_fit_packing, op8_token_counts)}
+def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 10).alias("held_out"))
+    model = classlm.learn(docs.where("not held_out"))
+    return classlm.score(docs, model)
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op3_best_fit_packing, op8_token_counts, op10_class_lm)}
 
 ORACLE_SQL: dict[str, str] = {}

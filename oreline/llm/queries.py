@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as tokenizers_files
 from pyspark.sql import DataFrame, SparkSession
 
-from oreline.llm import bpe, classlm, packing, simhash, token_counts
+from oreline.llm import bpe, classlm, langid, packing, quality, simhash, token_counts
 from oreline.llm.common import held_out, table
 
 
@@ -21,6 +21,16 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizers_files.path("byte_bpe_50k.json"), tokenizers_files.PATTERN)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), held_out=held_out("doc_id", 5))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    scored = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "host_rate", "path_rate", "evidence", "quality_score", "keep")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizers_files.path("piece_bpe_32k.model"))
 
@@ -31,6 +41,6 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classlm.score(docs, model)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op3_best_fit_packing, op8_token_counts, op10_class_lm)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op3_best_fit_packing, op4_language, op7_quality, op8_token_counts, op10_class_lm)}
 
 ORACLE_SQL: dict[str, str] = {}

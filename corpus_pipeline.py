@@ -1,21 +1,43 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again as the next one's input."""
+"""The corpus pipeline: stages over ``documents``, each written and read again as the next one's input.
+
+Every stage but the last returns the columns of ``documents``: language
+identification drops documents without an identified language, the quality
+classifier those it rejects, near-dedup all but one of each group; the rest is packed.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers as tokenizers_files
 from pyspark.sql import DataFrame, SparkSession
 
-from oreline.llm import packing
+from oreline.llm import langid, packing, quality, simhash
 from oreline.llm.common import fresh_path, table
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.keep_identified(docs)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_of_each_group(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizers_files.path("byte_bpe_50k.json"), tokenizers_files.PATTERN)
 
 
-STAGES = [("best_fit_packing", best_fit_packing)]
+STAGES = [
+    ("language_id", language_id),
+    ("quality_classifier", quality_classifier),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("best_fit_packing", best_fit_packing),
+]
 
-#: No SQL tokenizes or packs; tests hold the result against a brute-force version.
+#: SQL neither learns, fingerprints nor tokenizes; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,6 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,12 +42,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def map_batches(
-    df: DataFrame,
-    fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-    schema: str,
-) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores in front of those that ``df`` already has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
 
 
 def groups_of_bytes(values: list, most: int, size: Callable = len) -> Iterator[tuple[int, int]]:

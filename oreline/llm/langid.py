@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oreline.llm.common import groups_of_bytes
+from oreline.llm.common import groups_of_bytes, unused
 
 WINDOW, WIDEST = 128, 4
 STEP = WINDOW - WIDEST + 1
@@ -205,8 +205,8 @@ def learn(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang
 _predictors: dict[str, Predictor] = {}
 
 
-def predictions(docs: DataFrame, model: ByteCNN | None, *, text_col: str = "text", group_bytes: int = 1 << 20) -> DataFrame:
-    """All columns of ``docs``, then ``lang_pred`` and ``score``, which ``docs`` must not have."""
+def predictions(docs: DataFrame, model: ByteCNN | None, *, text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score"), group_bytes: int = 1 << 20) -> DataFrame:
+    """All columns of ``docs``, then the language and its score as ``out``, names that ``docs`` must not have."""
     weights = docs.sparkSession.sparkContext.broadcast((model.classes, model.w) if model else None)
     name = uuid.uuid4().hex
 
@@ -228,10 +228,10 @@ def predictions(docs: DataFrame, model: ByteCNN | None, *, text_col: str = "text
                     for i, k, s in zip(some, best.tolist(), p.tolist(), strict=True):
                         lang[i - lo], score[i - lo] = own.classes[k], s
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*part.schema.names, *out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{fields}, `{out[0]}` string, `{out[1]}` double")
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", held_out=None, sample: int = 12_000) -> DataFrame:
@@ -239,3 +239,10 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     held = F.lit(False) if held_out is None else held_out
     model = learn(docs.where(~held), text_col=text_col, label_col=label_col, sample=sample)
     return predictions(docs.select(id_col, text_col, held.alias("held_out")), model, text_col=text_col).drop(text_col)
+
+
+def keep_identified(docs: DataFrame, *, text_col: str = "text", label_col: str = "lang", sample: int = 12_000, least_score: float = 0.3) -> DataFrame:
+    """The documents that have a language, with a score of ``least_score`` at least; columns as they were."""
+    lang, score = unused(docs, "lang_pred", "score")
+    found = predictions(docs, learn(docs, text_col=text_col, label_col=label_col, sample=sample), text_col=text_col, out=(lang, score))
+    return found.where((F.col(lang) != "und") & (F.col(score) >= least_score)).select(*docs.columns)

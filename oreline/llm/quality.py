@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oreline.llm.common import cut
+from oreline.llm.common import cut, unused
 
 #: Byte classes: lower, upper, digit, space, line end, sentence mark, bracket or quote, other ASCII mark, control, not ASCII.
 CLASSES = 10
@@ -124,8 +124,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return fit(x, np.array([r[1] for r in order])), counts[1] / (counts[0] + counts[1])
 
 
-def ratios(docs: DataFrame, evidence: Evidence | None, *, text_col: str = "text", group: int = 256, keep_text: bool = True) -> DataFrame:
-    """``docs`` with its log-likelihood ratio as ``_ratio``."""
+def ratios(docs: DataFrame, evidence: Evidence | None, *, text_col: str = "text", out: str = "_ratio", group: int = 256, keep_text: bool = True) -> DataFrame:
+    """``docs`` with each text's log-likelihood ratio as ``out``."""
     shared = docs.sparkSession.sparkContext.broadcast(evidence)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,14 +141,14 @@ def ratios(docs: DataFrame, evidence: Evidence | None, *, text_col: str = "text"
             names, columns = list(batch.schema.names), list(batch.columns)
             if not keep_text:
                 del names[at], columns[at]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found)], names=[*names, "_ratio"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found)], names=[*names, out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if keep_text or f.name != text_col)
-    return docs.mapInArrow(run, f"{fields}, _ratio double")
+    return docs.mapInArrow(run, f"{fields}, `{out}` double")
 
 
-def _strength(groups: DataFrame, prior: Column) -> Column:
-    """A Beta prior's strength from the spread of the groups' shares around ``prior``, less what chance gives."""
+def _strength(prior: Column) -> Column:
+    """A Beta prior's strength from the spread of groups (n, good) around ``prior``, less what chance gives."""
     share = F.col("good") / F.col("n")
     spread = F.sum(F.col("n") * (share - prior) * (share - prior)) / F.sum("n")
     chance = F.sum(prior * (1 - prior)) / F.sum("n")
@@ -157,20 +157,24 @@ def _strength(groups: DataFrame, prior: Column) -> Column:
 
 
 def site_priors(scored: DataFrame, prior: float) -> DataFrame:
-    """_host, _path, host_rate and path_rate from rows with _host, _path and _ratio."""
-    p = 1 / (1 + F.exp(-(F.col("_ratio") + F.lit(float(np.log(prior / (1 - prior)))))))
-    paths = scored.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum(p).alias("good"))
-    hosts = paths.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    corpus = hosts.agg((F.sum("good") / F.sum("n")).alias("rate"))
-    rate = F.col("rate")
-    strength = hosts.crossJoin(F.broadcast(corpus)).agg(_strength(hosts, rate).alias("k_host"), F.max("rate").alias("rate"))
-    host_rates = hosts.crossJoin(F.broadcast(strength)).select("_host", ((F.col("good") + F.col("k_host") * rate) / (F.col("n") + F.col("k_host"))).alias("host_rate"))
-    joined = paths.join(host_rates, "_host")
-    k_path = joined.agg(_strength(joined, F.col("host_rate")).alias("k_path"))
-    return joined.crossJoin(F.broadcast(k_path)).select("_host", "_path", "host_rate", ((F.col("good") + F.col("k_path") * F.col("host_rate")) / (F.col("n") + F.col("k_path"))).alias("path_rate"))
-
-
-def classify(
+    """host, path, host_rate and path_rate from rows with host, path and ratio."""
+    p = 1 / (1 + F.exp(-(F.col("ratio") + F.lit(float(np.log(prior / (1 - prior)))))))
+    paths = cut(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("good")))
+    hosts = cut(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")))
+    rate = hosts.agg((F.sum("good") / F.sum("n")).alias("rate")).first()["rate"]
+    if rate is None:
+        return paths.select("host", "path", F.lit(prior).alias("host_rate"), F.lit(prior).alias("path_rate"))
+    drawn = lambda prior, k: (F.col("good") + prior * k) / (F.col("n") + k)
+    k_host = hosts.agg(_strength(F.lit(rate)).alias("k")).first()["k"]
+    joined = cut(paths.join(hosts.select("host", drawn(F.lit(rate), F.lit(k_host)).alias("host_rate")), "host"))
+    k_path = joined.agg(_strength(F.col("host_rate")).alias("k")).first()["k"]
+    return joined.select("host", "path", "host_rate", drawn(F.col("host_rate"), F.lit(k_path)).alias("path_rate"))
+
+
+RESULTS = ("host_rate", "path_rate", "evidence", "quality_score", "keep")
+
+
+def scored(
     docs: DataFrame,
     labels: DataFrame,
     *,
@@ -181,21 +185,38 @@ def classify(
     label_col: str = "quality",
     threshold: float = 0.5,
     sample: int = 8_000,
-    keep_text: bool = False,
+    keep_text: bool = True,
     broadcast_sites: int = 50_000,
+    out: tuple[str, ...] = RESULTS,
 ) -> DataFrame:
-    """``docs`` (without the text, unless asked for) with host_rate, path_rate, evidence, quality_score and keep.
+    """``docs`` (without the text if not asked for) and its results, named ``out``, names that ``docs`` must not have.
 
     ``host`` and ``path`` are SQL expressions over ``docs``. A document is kept
     if its posterior of being good is at least ``threshold``.
     """
     evidence, share = learn(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, sample=sample)
-    keyed = docs.withColumn("_host", F.coalesce(F.expr(host).cast("string"), F.lit("\0"))).withColumn("_path", F.coalesce(F.expr(path).cast("string"), F.lit("\0")))
-    sites = cut(site_priors(ratios(keyed.select(text_col, "_host", "_path"), evidence, text_col=text_col, keep_text=False), share))
+    site = lambda x: F.coalesce(F.expr(x).cast("string"), F.lit("\0"))
+    texts = docs.select(F.col(text_col).alias("text"), site(host).alias("host"), site(path).alias("path"))
+    sites = ratios(texts, evidence, out="ratio", keep_text=False)
+    sites = cut(site_priors(sites, share))
+    h, p = unused(docs, "_host", "_path")
+    sites = sites.select(F.col("host").alias(h), F.col("path").alias(p), F.col("host_rate").alias(out[0]), F.col("path_rate").alias(out[1]))
+    keyed = ratios(docs.withColumn(h, site(host)).withColumn(p, site(path)), evidence, text_col=text_col, out=out[2], keep_text=keep_text)
     # a site table beyond the bound is joined by a shuffle, whose hot keys the engine splits
-    right = F.broadcast(sites) if sites.count() <= broadcast_sites else sites
-    scored = ratios(keyed, evidence, text_col=text_col, keep_text=keep_text).join(right, ["_host", "_path"])
-    logit = F.col("_ratio") + F.log(F.col("path_rate") / (1 - F.col("path_rate")))
-    score = F.lit(1.0) if evidence is None else F.coalesce(1 / (1 + F.exp(-logit)), F.lit(1.0))
+    joined = keyed.join(F.broadcast(sites) if sites.count() <= broadcast_sites else sites, [h, p])
+    logit = F.col(out[2]) + F.log(F.col(out[1]) / (1 - F.col(out[1])))
+    score = F.lit(1.0) if evidence is None else 1 / (1 + F.exp(-logit))
     own = [c for c in docs.columns if keep_text or c != text_col]
-    return scored.select(*own, "host_rate", "path_rate", F.col("_ratio").alias("evidence"), score.alias("quality_score")).withColumn("keep", F.col("quality_score") >= threshold)
+    return joined.select(*own, *out[:3], score.alias(out[3])).withColumn(out[4], F.col(out[3]) >= threshold)
+
+
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host: str = "source", path: str = "lang", **options) -> DataFrame:
+    """id_col, host_rate, path_rate, evidence, quality_score and keep of every document."""
+    own = docs.select(F.col(id_col), F.col(text_col), F.expr(host).cast("string").alias("_h"), F.expr(path).cast("string").alias("_p"))
+    return scored(own, labels, id_col=id_col, text_col=text_col, host="_h", path="_p", keep_text=False, **options).select(id_col, *RESULTS)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The documents that are kept; columns as they were."""
+    out = tuple(unused(docs, *RESULTS))
+    return scored(docs, labels, out=out, **options).where(F.col(out[4])).select(*docs.columns)

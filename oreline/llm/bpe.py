@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oreline.llm.common import groups_of_bytes
+from oreline.llm.common import batched, groups_of_bytes
 
 NONE = np.int64(1 << 40)
 
@@ -278,4 +278,4 @@ def encode_decode(
     schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     if with_ids:
         schema += ", ids array<int>, decoded binary"
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return batched(docs.select(F.col(id_col), F.col(text_col))).mapInArrow(run, schema)

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oreline.llm.common import fresh_path, groups_of_bytes
+from oreline.llm.common import batched, fresh_path, groups_of_bytes
 
 END = b""  # no word is empty
 SHAPES = 64
@@ -64,7 +64,7 @@ def word_counts(docs: DataFrame, text_col: str, held: int = 400_000) -> DataFram
                     seen.clear()
         yield out()
 
-    return docs.select(text_col).mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return batched(docs.select(text_col)).mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
@@ -206,7 +206,7 @@ def learn(
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["pair", "n"])
 
     bigrams = np.zeros(n_units * n_units, dtype=np.int64)
-    found = docs.select(text_col).mapInArrow(pairs, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    found = batched(docs.select(text_col)).mapInArrow(pairs, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     bigrams[found.column("pair").to_numpy()] = found.column("n").to_numpy()
     bigrams = bigrams.reshape(n_units, n_units)
     class_of = Exchange(bigrams, classes).run()
@@ -223,7 +223,7 @@ def learn(
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_units)), pa.array(n), pa.array(v)], names=["unit", "n", "v"])
 
     mass = np.zeros((2, k))
-    for r in counts.mapInArrow(masses, "unit bigint, n bigint, v bigint").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
+    for r in batched(counts).mapInArrow(masses, "unit bigint, n bigint, v bigint").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
         mass[:, class_of[r["unit"]]] += (r["n"], r["v"])
     z = np.eye(k)[class_of]
     follow = z.T @ bigrams @ z
@@ -288,7 +288,7 @@ def score(docs: DataFrame, model: ClassModel, *, id_col: str = "doc_id", text_co
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col), F.col(held_col), F.col(text_col)).mapInArrow(
+    rows = batched(docs.select(F.col(id_col), F.col(held_col), F.col(text_col))).mapInArrow(
         run, f"key bigint, word binary, tf bigint, id {kind}, held boolean, n_tokens bigint, known bigint, logs double, steps double"
     )
     c = F.coalesce(F.col("c"), F.lit(0))

@@ -53,6 +53,17 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def batched(df: DataFrame) -> DataFrame:
+    """``df``, after bounding its session's Arrow batches by bytes, so that long texts don't make large ones.
+
+    Only a session that still has Spark's default bound is changed.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == "67108864b":
+        conf.set(key, "8m")
+    return df
+
+
 def groups_of_bytes(values: list, most: int, size: Callable = len) -> Iterator[tuple[int, int]]:
     """Cut ``values`` into runs [lo, hi) of about ``most`` summed size; each has a value at least."""
     lo = 0

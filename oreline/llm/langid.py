@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oreline.llm.common import groups_of_bytes, unused
+from oreline.llm.common import batched, groups_of_bytes, unused
 
 WINDOW, WIDEST = 128, 4
 STEP = WINDOW - WIDEST + 1
@@ -142,12 +142,12 @@ class Predictor:
         start = (ends - sizes)[doc] + order * STEP
         weight = np.minimum(WINDOW, ends[doc] - start).astype(np.float64)
         total = np.zeros((len(texts), len(self.classes)))
-        for lo in range(0, len(doc), 8192):
-            s = start[lo : lo + 8192, None] + np.arange(WINDOW)
-            d = doc[lo : lo + 8192]
+        for lo in range(0, len(doc), 2048):
+            s = start[lo : lo + 2048, None] + np.arange(WINDOW)
+            d = doc[lo : lo + 2048]
             inside = s < ends[d][:, None]
             x = np.where(inside, raw[np.minimum(s, len(raw) - 1)], 0).astype(np.uint8)
-            part = self.log_probabilities(x) * weight[lo : lo + 8192, None]
+            part = self.log_probabilities(x) * weight[lo : lo + 2048, None]
             for k in range(total.shape[1]):
                 total[:, k] += np.bincount(d, weights=part[:, k], minlength=len(texts))
         mean = total / np.maximum(np.bincount(doc, weights=weight, minlength=len(texts)), 1)[:, None]
@@ -186,7 +186,7 @@ def training_windows(labelled: DataFrame, *, text_col: str, label_col: str, samp
                     labels.append(label)
             yield pa.RecordBatch.from_arrays([pa.array(windows, pa.binary()), pa.array(labels, pa.string())], names=["window", "label"])
 
-    found = labelled.where(picked).select(text_col, F.col(label_col).cast("string")).mapInArrow(cut_out, "window binary, label string").toArrow()
+    found = batched(labelled.where(picked).select(text_col, F.col(label_col).cast("string"))).mapInArrow(cut_out, "window binary, label string").toArrow()
     rows = sorted(zip(found.column("window").to_pylist(), found.column("label").to_pylist(), strict=True), key=lambda r: (zlib.crc32(r[0]), r))[:sample]
     x = np.frombuffer(b"".join(w for w, _ in rows), dtype=np.uint8).reshape(-1, WINDOW)
     return x, [label for _, label in rows]
@@ -231,7 +231,7 @@ def predictions(docs: DataFrame, model: ByteCNN | None, *, text_col: str = "text
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*part.schema.names, *out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, `{out[0]}` string, `{out[1]}` double")
+    return batched(docs).mapInArrow(run, f"{fields}, `{out[0]}` string, `{out[1]}` double")
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", held_out=None, sample: int = 12_000) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oreline.llm.common import cut, groups_of_bytes
+from oreline.llm.common import batched, cut, groups_of_bytes
 
 
 def byte_symbols() -> dict[str, int]:
@@ -106,7 +106,7 @@ def pieces_of(
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return batched(docs.select(F.col(id_col), F.col(text_col))).mapInArrow(run, schema)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:

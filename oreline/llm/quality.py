@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oreline.llm.common import cut, unused
+from oreline.llm.common import batched, cut, unused
 
 #: Byte classes: lower, upper, digit, space, line end, sentence mark, bracket or quote, other ASCII mark, control, not ASCII.
 CLASSES = 10
@@ -116,7 +116,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             x = [features(t).tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column(1)], names=["x", "label"])
 
-    found = docs.where(F.col(text_col).isNotNull()).join(chosen, id_col).select(text_col, F.col("_label").cast("int")).mapInArrow(run, "x binary, label int").toArrow()
+    found = batched(docs.where(F.col(text_col).isNotNull()).join(chosen, id_col).select(text_col, F.col("_label").cast("int"))).mapInArrow(run, "x binary, label int").toArrow()
     if not len(found):
         return None, 0.5
     order = sorted(zip(found.column("x").to_pylist(), found.column("label").to_pylist(), strict=True))[: 2 * sample]
@@ -144,7 +144,7 @@ def ratios(docs: DataFrame, evidence: Evidence | None, *, text_col: str = "text"
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found)], names=[*names, out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if keep_text or f.name != text_col)
-    return docs.mapInArrow(run, f"{fields}, `{out}` double")
+    return batched(docs).mapInArrow(run, f"{fields}, `{out}` double")
 
 
 def _strength(prior: Column) -> Column:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oreline.llm.common import cut, groups_of_bytes
+from oreline.llm.common import batched, cut, groups_of_bytes
 from oreline.llm.components import connected_components
 
 
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=[id_col, "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
+    return batched(docs.select(F.col(id_col), F.col(text_col))).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
 
 
 def pivot_fingerprints(count: int) -> np.ndarray:
@@ -115,7 +115,7 @@ class _Forest:
                 low[:] = up
 
 
-def bucket_links(fps: np.ndarray, part: np.ndarray, i: int, j: int, pivots: np.ndarray, most: int, pairs_at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def bucket_links(fps: np.ndarray, part: np.ndarray, i: int, j: int, pivots: np.ndarray, most: int, pairs_at_once: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Star edges (member, least member) of the groups linked within a bucket, or between its parts i and j."""
     n = len(fps)
     if n < 2:
@@ -191,7 +191,7 @@ def links(distinct: DataFrame, *, most: int = 4, pivots: int = 32, split: int =
             yield emit([close(held, 0, len(held[0]))])
 
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "fp")
-    return dealt.select("fp", *keys, "part").mapInArrow(run, "a bigint, b bigint")
+    return batched(dealt.select("fp", *keys, "part")).mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(

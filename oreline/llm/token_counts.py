@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oreline.llm.common import groups_of_bytes
+from oreline.llm.common import batched, groups_of_bytes
 
 SPACE_MARK = "▁"
 
@@ -70,7 +70,7 @@ def frequent_lengths(docs: DataFrame, model_path: str, text_col: str, frequent:
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["chunk", "n"])
 
     top = (
-        docs.select(text_col)
+        batched(docs.select(text_col))
         .mapInArrow(count, "chunk string, n bigint")
         .where(F.octet_length("chunk") <= 64)
         .groupBy("chunk")
@@ -135,4 +135,4 @@ def count_tokens(
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return batched(docs.select(F.col(id_col), F.col(text_col))).mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")

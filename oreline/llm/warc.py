@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oreline.llm.common import cut, fresh_path
+from oreline.llm.common import batched, cut, fresh_path
 
 CHUNK = 1 << 20
 END = b"\r\n\r\n"
@@ -185,7 +185,7 @@ def archive(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col:
         else:
             own.delete_file(plain)
 
-    manifest = cut(rows.mapInArrow(write, "path string, records bigint"))
+    manifest = cut(batched(rows).mapInArrow(write, "path string, records bigint"))
     if not normalised:
         return manifest
 

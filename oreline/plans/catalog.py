@@ -1,8 +1,6 @@
 """Every registered query of the engine and its SQL twin."""
 
-from __future__ import annotations
+from oreline.plans import codecs, dedup, evidence, governance, leaves, numeric, shapes, text  # noqa: F401
+from oreline.plans.registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-QUERIES: dict[str, Callable] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -64,12 +64,12 @@ def nearest_in_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray
     vectors, queries = exact(vectors), exact(queries)
     forest = Forest(vectors / np.linalg.norm(vectors, axis=1, keepdims=True), trees)
     rows = forest.candidates(queries / np.linalg.norm(queries, axis=1, keepdims=True), candidates)
-    norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+    squares = np.einsum("ij,ij->i", vectors, vectors)
     out: tuple[list, list, list] = ([], [], [])
     for i, (own, near) in enumerate(zip(query_ids.tolist(), rows, strict=True)):
         near = near[ids[near] != own]
         q = queries[i]
-        cosine = np.einsum("ij,j->i", vectors[near], q) / (norms[near] * np.sqrt(np.einsum("j,j->", q, q)))
+        cosine = np.einsum("ij,j->i", vectors[near], q) / np.sqrt(squares[near] * np.einsum("j,j->", q, q))
         cosine = np.clip(cosine, -1.0, 1.0)
         best = top_k(cosine, ids[near], k)
         out[0].append(np.full(len(best), own))

@@ -111,11 +111,11 @@ def normalise(source: str, target: str) -> int:
     """
     from_fs, from_path = opened(source)
     to_fs, to_path = opened(target)
-    inflate, parser, at, count = zlib.decompressobj(31), RecordParser(), 0, 0
+    inflate, parser, at, count, within = zlib.decompressobj(31), RecordParser(), 0, 0, False
     with from_fs.open_input_stream(from_path, compression=None) as src, to_fs.open_output_stream(to_path, compression=None) as out, to_fs.open_output_stream(to_path + ".idx", compression=None) as index:
         while data := src.read(CHUNK):
             while data:
-                plain = inflate.decompress(data, 8 * CHUNK)
+                plain, within = inflate.decompress(data, 8 * CHUNK), True
                 for raw in parser.feed(plain):
                     squeeze = zlib.compressobj(4, zlib.DEFLATED, 31)
                     member = squeeze.compress(raw) + squeeze.flush()
@@ -124,10 +124,10 @@ def normalise(source: str, target: str) -> int:
                     at += len(member)
                     count += 1
                 if inflate.eof:
-                    data, inflate = inflate.unused_data, zlib.decompressobj(31)
+                    data, inflate, within = inflate.unused_data, zlib.decompressobj(31), False
                 else:
                     data = inflate.unconsumed_tail
-        if parser.held or (inflate.unconsumed_tail):
+        if parser.held or within:
             raise ValueError(f"{source} ends within a record")
     return count
 
@@ -163,7 +163,7 @@ def archive(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col:
 
     A monolithic archive is removed once its normalised form is complete.
     """
-    rows = roles(pages, id_col=id_col, payload_col=payload_col, revisit_bytes=revisit_bytes, broadcast_rows=broadcast_rows)
+    rows = roles(pages.select(id_col, url_col, payload_col), id_col=id_col, payload_col=payload_col, revisit_bytes=revisit_bytes, broadcast_rows=broadcast_rows)
     rows = rows.select(id_col, F.col(url_col).cast("string"), "_payload", "_bytes", "_digest", "_last")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

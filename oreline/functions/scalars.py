@@ -53,7 +53,7 @@ def signed_ring(x: Column | str, bytes_wide: int) -> Column:
 def canonical_int(token: Column | str) -> Column:
     """The number of a token that is its plain decimal form, else null: no plus, leading zero or -0."""
     token = _col(token)
-    return F.when(token.rlike("^(0|-?[1-9][0-9]*)$"), token.try_cast("bigint"))
+    return F.when(token.rlike(r"^(0|-?[1-9][0-9]*)\z"), token.try_cast("bigint"))
 
 
 def framed_size(n_bytes: Column | str) -> Column:
@@ -88,7 +88,7 @@ def byte_symbols(text: Column | str) -> Column:
 def url_allowed(url: Column | str) -> Column:
     """https, a host, no credentials, no fragment."""
     url = _col(url)
-    return F.coalesce(url.rlike(r"^https://[^/@#?\s]+([/?][^#\s]*)?$"), F.lit(False))
+    return F.coalesce(url.rlike(r"^https://[^/@#?\s]+([/?][^#\s]*)?\z"), F.lit(False))
 
 
 def exact_fixed_point(value: Column | str, scale: int = 1000, digits: int = 3) -> Column:

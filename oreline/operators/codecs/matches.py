@@ -9,13 +9,13 @@ from oreline.operators.codecs.bits import Corrupt, common_prefix, get_uvar, put_
 LEAST, CHAIN = 4, 16
 
 
-def matches_at(data: bytes, heads: dict[bytes, list[int]], i: int, window: int, keep: int = 8, longest: int = 1 << 30) -> list[tuple[int, int]]:
+def matches_at(data: bytes, heads: dict[bytes, list[int]], i: int, window: int, keep: int = 8) -> list[tuple[int, int]]:
     """Up to ``keep`` earlier matches of at least four bytes: (length, distance), longest and nearest first."""
     found = []
     for j in reversed(heads.get(data[i : i + LEAST], ())[-CHAIN:]):
         if i - j > window:
             break
-        found.append((common_prefix(data, j, i, min(longest, len(data) - i)), i - j))
+        found.append((common_prefix(data, j, i, len(data) - i), i - j))
     return sorted(found, key=lambda m: (-m[0], m[1]))[:keep]
 
 
@@ -48,8 +48,13 @@ def cheapest_tokens(data: bytes, window: int = 1 << 16) -> list[tuple[int, int,
     n = len(data)
     heads: dict[bytes, list[int]] = {}
     edges: list[list[tuple[int, int]]] = []
+    live: dict[int, int] = {}  # length by distance; a match goes on at the next byte without comparing it again
     for i in range(n):
-        edges.append([m for m in matches_at(data, heads, i, window, 3, 256) if m[0] >= LEAST])
+        live = {distance: length - 1 for distance, length in live.items() if length > LEAST}
+        for j in heads.get(data[i : i + LEAST], ())[-CHAIN:]:
+            if i - j <= window and i - j not in live:
+                live[i - j] = common_prefix(data, j, i, n - i)
+        edges.append(sorted(((length, distance) for distance, length in live.items()), key=lambda m: (-m[0], m[1]))[:3])
         if i + LEAST <= n:
             heads.setdefault(data[i : i + LEAST], []).append(i)
     cost, choice = [0.0] * (n + 1), [(1, 0)] * n

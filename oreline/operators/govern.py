@@ -13,8 +13,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHA256 = "^[0-9a-f]{64}$"
-IDENT = "^[a-z0-9][a-z0-9._-]*$"
+SHA256 = r"^[0-9a-f]{64}\z"
+IDENT = r"^[a-z0-9][a-z0-9._-]*\z"
 
 
 def violations(rows: DataFrame, keys: list[str], rules: dict[str, Column]) -> DataFrame:
@@ -46,7 +46,7 @@ def not_increasing(rows: DataFrame, keys: list[str], order: str, value: str) ->
 
 def valid_date(text: Column) -> Column:
     """Whether a text is a date in ISO form that exists."""
-    return F.coalesce(text.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(text, "yyyy-MM-dd").isNotNull(), F.lit(False))
+    return F.coalesce(text.rlike(r"^\d{4}-\d{2}-\d{2}\z") & F.try_to_date(text, "yyyy-MM-dd").isNotNull(), F.lit(False))
 
 
 def admission(rows: DataFrame, key: str, checks: dict[str, Column]) -> DataFrame:

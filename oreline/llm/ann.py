@@ -23,7 +23,7 @@ import functools
 import numpy as np
 from pyspark.sql import DataFrame
 
-from oreline.llm.vectors import search, top_k, usable
+from oreline.llm.vectors import best_of, chunks, search, top_k, usable
 
 BITS = 64
 
@@ -58,7 +58,13 @@ class Forest:
         return rows
 
 
-def nearest_in_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, *, k: int, trees: int, candidates: int) -> tuple:
+def nearest_in_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, *, k: int, trees: int, candidates: int, forest_rows: int = 4096) -> tuple:
+    """The block's nearest rows; ``forest_rows`` rows make a forest, each of which every query searches."""
+    parts = [nearest_in_forest(ids[c], vectors[c], query_ids, queries, k=k, trees=trees, candidates=candidates) for c in chunks(len(ids), forest_rows)]
+    return best_of(parts, k)
+
+
+def nearest_in_forest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, *, k: int, trees: int, candidates: int) -> tuple:
     # scaled by powers of two so that squares neither overflow nor vanish; cosines keep their bits
     exact = lambda x: np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
     vectors, queries = exact(vectors), exact(queries)

@@ -24,7 +24,7 @@ import functools
 import numpy as np
 from pyspark.sql import DataFrame
 
-from oreline.llm.vectors import search, top_k, usable
+from oreline.llm.vectors import best_of, chunks, search, top_k, usable
 
 #: Doubles hold whole numbers up to here.
 EXACT = float(1 << 53)
@@ -78,7 +78,16 @@ def _whole(scores: np.ndarray) -> np.ndarray:
     return np.array([min(max(int(s), -(1 << 63)), (1 << 63) - 1) for s in scores], dtype=np.int64)
 
 
-def best_in_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, *, k: int, few: int = 256) -> tuple:
+def best_in_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, *, k: int, index_rows: int = 4096, at_once: int = 512) -> tuple:
+    """The block's best rows; ``index_rows`` rows make an index, which ``at_once`` queries go through together."""
+    parts = []
+    for c in chunks(len(ids), index_rows):
+        for q in chunks(len(query_ids), at_once):
+            parts.append(best_in_index(ids[c], vectors[c], query_ids[q], queries[q], k=k))
+    return best_of(parts, k)
+
+
+def best_in_index(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, *, k: int, few: int = 256) -> tuple:
     out: tuple[list, list, list] = ([], [], [])
     safe = vectors.shape[1] * (np.abs(vectors).max() + 1) * (np.abs(queries).max() + 1) < EXACT
     if safe:

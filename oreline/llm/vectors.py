@@ -24,7 +24,8 @@ def usable(table: DataFrame, id_col: str, vec_col: str, *, zero: bool) -> DataFr
     keep = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & (F.size(vec_col) > 0) & finite
     if not zero:
         keep &= F.exists(vec_col, lambda x: x != 0)
-    return table.where(F.coalesce(keep, F.lit(False))).select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    vec = F.col(vec_col) if table.schema[vec_col].dataType.simpleString() == "array<float>" else F.col(vec_col).cast("array<double>")
+    return table.where(F.coalesce(keep, F.lit(False))).select(F.col(id_col).cast("bigint").alias("id"), vec.alias("vec"))
 
 
 def search(
@@ -34,16 +35,24 @@ def search(
     block: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]],
     *,
     score_type: str,
-    vector_rows: int = 4096,
-    query_rows: int = 512,
+    least_rows: int = 4096,
+    most_rows: int = 32_768,
+    most_values: int = 1 << 21,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows that ``block`` finds over all blocks.
 
     ``block(ids, vectors, query_ids, query_vectors)`` returns query ids, ids and
     scores of its own k best of each query. Vectors are only compared with those of their own length.
+
+    Each vector is sent once per query block and each query once per vector block, so blocks
+    are large: up to ``most_rows`` rows or ``most_values`` components, less only while a
+    small table would otherwise not occupy the cluster.
     """
-    n_vectors, n_queries = vectors.count(), queries.count()
-    v_blocks, q_blocks = max(1, -(-n_vectors // vector_rows)), max(1, -(-n_queries // query_rows))
+    size = vectors.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(1)).alias("d")).first()
+    most_rows = max(1, min(most_rows, most_values // size["d"]))
+    spread = -(-size["n"] // (2 * vectors.sparkSession.sparkContext.defaultParallelism))
+    rows = min(most_rows, max(least_rows, spread))
+    v_blocks, q_blocks = max(1, -(-size["n"] // rows)), max(1, -(-queries.count() // most_rows))
     first = Window.partitionBy("vec").orderBy("id")
     vectors = vectors.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k + 1).drop("_n")
     at = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
@@ -55,7 +64,7 @@ def search(
         if not len(v) or not len(q):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         v = v.sort_values("id")
-        found = block(v["id"].to_numpy(), np.stack(v["vec"].to_list()), q["id"].to_numpy(), np.stack(q["vec"].to_list()))
+        found = block(v["id"].to_numpy(), np.stack(v["vec"].to_list()).astype(np.float64), q["id"].to_numpy(), np.stack(q["vec"].to_list()).astype(np.float64))
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
 
     keys = ["d", "vb", "qb"]
@@ -64,10 +73,31 @@ def search(
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def descending(scores: np.ndarray) -> np.ndarray:
+    """A key that sorts the highest score first; whole numbers are inverted, as the least has no negative."""
+    return ~scores if scores.dtype.kind == "i" else -scores
+
+
+def chunks(n: int, rows: int):
+    """Slices of at most ``rows`` that cover n rows."""
+    return [slice(lo, min(n, lo + rows)) for lo in range(0, n, rows)]
+
+
+def best_of(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query over several blocks' results; ties to the smaller id."""
+    q, i, s = (np.concatenate([f[c] for f in found]) for c in range(3))
+    order = np.lexsort((i, descending(s), q))
+    q, i, s = q[order], i[order], s[order]
+    first = np.concatenate([[True], q[1:] != q[:-1]]) if len(q) else np.zeros(0, dtype=bool)
+    place = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0)) if len(q) else np.zeros(0, dtype=np.int64)
+    keep = place < k
+    return q[keep], i[keep], s[keep]
+
+
 def top_k(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, ties to the smaller id."""
     if len(scores) > 4 * k:
         edge = np.partition(scores, len(scores) - k)[len(scores) - k]
         some = np.flatnonzero(scores >= edge)
-        return some[np.lexsort((ids[some], -scores[some]))[:k]]
-    return np.lexsort((ids, -scores))[:k]
+        return some[np.lexsort((ids[some], descending(scores[some])))[:k]]
+    return np.lexsort((ids, descending(scores)))[:k]

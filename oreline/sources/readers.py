@@ -130,3 +130,39 @@ def verify_pins(found: DataFrame, pins: DataFrame) -> DataFrame:
     have = found.select(F.substring_index("path", "/", -1).alias("name"), F.octet_length("content").cast("bigint").alias("_bytes"), F.md5("content").alias("_md5"))
     both = pins.join(have, "name", "left")
     return both.where(F.col("_md5").isNull() | (F.col("_bytes") != F.col("bytes")) | (F.col("_md5") != F.col("md5"))).select("name", F.when(F.col("_md5").isNull(), "missing").otherwise("differs").alias("problem"))
+
+
+def write_files(found: DataFrame, folder: str, name_col: str = "name", content_col: str = "content") -> DataFrame:
+    """Write each row's bytes to a file of its name in ``folder``, a path or URI that executors share; returns names and sizes.
+
+    A file is written under another name and then renamed, so a task that is run again leaves no half of one.
+    """
+    import uuid
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    def run(batches):
+        own, plain = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        own.create_dir(plain, recursive=True)
+        for batch in batches:
+            sizes = []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = f"{plain}/.{uuid.uuid4().hex}"
+                with own.open_output_stream(part, compression=None) as f:
+                    f.write(content or b"")
+                own.move(part, f"{plain}/{name}")
+                sizes.append(len(content or b""))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["name", "size"])
+
+    return found.select(F.col(name_col).cast("string"), F.col(content_col).cast("binary")).mapInArrow(run, "name string, size bigint")
+
+
+def callgrind(spark: SparkSession, path: str) -> DataFrame:
+    """Function and summed self cost of a callgrind profile; cost lines belong to the function named last before them in their file."""
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("i", "line"))
+    w = Window.partitionBy("file").orderBy("i")
+    name = F.when(F.col("line").rlike("^fn="), F.regexp_extract("line", r"^fn=(?:\(\d+\)\s*)?(.*)$", 1))
+    seen = lines.withColumn("function", F.last(name, ignorenulls=True).over(w)).withColumn("called", F.lag("line").over(w).rlike("^calls="))
+    cost = seen.where(F.col("line").rlike(r"^[+*-]?\d+ \d+") & ~F.coalesce("called", F.lit(False)))
+    return cost.groupBy("file", "function").agg(F.sum(F.regexp_extract("line", r"^\S+ (\d+)", 1).cast("bigint")).alias("cost"))

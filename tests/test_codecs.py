@@ -8,7 +8,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from oreline.operators.codecs import DISABLED, REGISTRY, bits, decode, encode, entropy, matches, transforms
+from oreline.operators import shapes
+from oreline.operators.codecs import DISABLED, REGISTRY, bits, columns, decode, encode, entropy, matches, tokens, transforms
 from oreline.operators.codecs.bits import Corrupt
 from oreline.operators.codecs.registry import choose
 from oreline.sources import census, container
@@ -171,3 +172,40 @@ def test_replay():
     level, memory = census.replay(zlib.compress(text, 9))
     c = zlib.compressobj(level, zlib.DEFLATED, 15, memory)
     assert c.compress(text) + c.flush() == zlib.compress(text, 9)
+
+
+COLUMNS = st.lists(st.one_of(st.integers(-(2**60), 2**60).map(str), st.integers(-5, 5).map(str), st.sampled_from(["-0", "01", "x", "", "é", "1.5"])), min_size=1, max_size=25)
+
+
+@settings(max_examples=80, deadline=None)
+@given(COLUMNS)
+def test_leaf_payloads(tokens):
+    for leaf in range(5):
+        payload = columns.leaf_encode(leaf, tokens)
+        if payload is not None:
+            assert columns.leaf_decode(leaf, payload, len(tokens)) == tokens
+        else:
+            assert leaf > 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(['{"a":1}', '{"a":22}', '{"a": 1}', "oops", "", "[1,2]", '{"a":"x"}']), max_size=30))
+def test_region_carriers(lines):
+    packed = columns.region_encode(lines, shapes.scalar_spans)
+    assert columns.region_decode(packed) == lines
+    for cut in range(0, len(packed), 5):
+        with pytest.raises(Corrupt):
+            columns.region_decode(packed[:cut])
+
+
+def test_corrections_and_added_words():
+    text = bytes(RNG.randbytes(200))
+    changed = bytearray(text)
+    changed[50] ^= 1
+    changed[120] ^= 1
+    both = text + bytes(changed)
+    assert tokens.sparse_decode(tokens.sparse_encode(both)) == both
+    assert len(tokens.sparse_encode(both)) < len(encode(9, both))
+    words = RNG.choices(range(2**32), k=60)
+    moved = b"".join(w.to_bytes(4, "little") for w in words) + b"".join(((w + 99) % 2**32).to_bytes(4, "little") for w in words) + b"xy"
+    assert decode(17, encode(17, moved)) == moved and len(encode(17, moved)) < len(moved) * 0.6

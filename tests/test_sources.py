@@ -3,8 +3,10 @@
 import hashlib
 import json
 
+import numpy as np
 import pytest
-from oreline.sources import container, readers
+from oreline.operators import series
+from oreline.sources import container, generate, readers
 from oreline.streaming import blocks as streams
 
 
@@ -113,3 +115,29 @@ def test_event_windows(spark, data, tmp_path):
     query = stream.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {(r["start"], r["event_type"]): r["n"] for r in spark.sql("SELECT * FROM windows").collect()} == batch
+
+
+def test_written_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a", bytearray(b"one")), ("b", None)], "name string, content binary")
+    assert {tuple(r) for r in readers.write_files(rows, str(tmp_path / "out")).collect()} == {("a", 3), ("b", 0)}
+    assert {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")} == {"a": b"one", "b": b""}
+
+
+def test_callgrind(spark, tmp_path):
+    (tmp_path / "c.out").write_text("events: Ir\nfn=(1) main\n10 5\ncalls=1 20\n12 700\n+3 2\nfn=(2) work\n20 700\n")
+    assert {(r["function"], r["cost"]) for r in readers.callgrind(spark, str(tmp_path / "c.out")).collect()} == {("main", 7), ("work", 700)}
+
+
+@pytest.mark.parametrize("name", sorted(generate.CORPORA))
+def test_generated_corpora(spark, name):
+    a = generate.content(spark, name, 60)
+    assert a == generate.content(spark, name, 60) and a.startswith(generate.content(spark, name, 20))
+    assert container.read(container.write(a, 512, (2, 9, 16, 17, 18, 32))) == a
+
+
+def test_generated_words_suit_their_models(spark):
+    words = [int.from_bytes(generate.arithmetic(i, 1)[:4], "little") for i in range(300)]
+    found = series.block_models(np.array(words))
+    assert found["model"] != "raw" and found["regular"]
+    strides = [int.from_bytes(generate.arithmetic(i // 8, 1)[i % 8 * 4 :][:4], "little") for i in range(512)]
+    assert series.block_models(np.array(strides))["stride"] == 8

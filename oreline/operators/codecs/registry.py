@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import pyarrow as pa
 
-from oreline.operators.codecs import entropy, matches, tokens, transforms
+from oreline.operators.codecs import entropy, lanes, matches, tokens, transforms
 from oreline.operators.codecs.bits import Corrupt, get_uvar, put_uvar
 
 
@@ -21,6 +21,8 @@ class Codec:
     encode: Callable[[bytes], bytes]
     decode: Callable[[bytes], bytes]
     cost: float = 0.0  # what decoding a byte costs, for additive selection
+    encode_all: Callable[[list[bytes]], list[bytes]] | None = None  # many blocks at once, where that is faster
+    decode_all: Callable[[list[bytes]], list[bytes]] | None = None
 
 
 def chain(*pairs: tuple[Callable, Callable]) -> tuple[Callable, Callable]:
@@ -59,7 +61,7 @@ REGISTRY: dict[int, Codec] = {
     for c in (
         Codec(0, "raw", bytes, bytes),
         Codec(1, "huffman", *HUFFMAN, 22.0),
-        Codec(2, "rans", *RANS, 40.0),
+        Codec(2, "rans", *RANS, 40.0, lanes.encode_all, lanes.decode_all),
         Codec(3, "rans_clustered", entropy.clustered_encode, entropy.clustered_decode, 45.0),
         Codec(4, "arithmetic", *ARITHMETIC, 90.0),
         Codec(5, "default", transforms.default_encode, transforms.default_decode, 20.0),
@@ -108,12 +110,34 @@ def decode(number: int, data: bytes) -> bytes:
         raise Corrupt(f"codec {number}: {e}") from e
 
 
+def encode_all(number: int, blocks: list[bytes]) -> list[bytes]:
+    own = codec(number)
+    return own.encode_all(blocks) if own.encode_all else list(map(own.encode, blocks))
+
+
+def decode_all(number: int, payloads: list[bytes]) -> list[bytes]:
+    own = codec(number)
+    if not own.decode_all:
+        return [decode(number, p) for p in payloads]
+    try:
+        return own.decode_all(payloads)
+    except Corrupt:
+        raise
+    except Exception as e:
+        raise Corrupt(f"codec {number}: {e}") from e
+
+
 def choose(data: bytes, numbers: tuple[int, ...], rate: float = 0.0, least_gain: int = 0) -> tuple[int, bytes]:
     """The codec of least size + rate * cost * bytes, ties to the lower number; raw unless it gains ``least_gain`` bytes and more than none."""
-    best = (float(len(data)), 0, data)
+    return choose_all([data], numbers, rate, least_gain)[0]
+
+
+def choose_all(blocks: list[bytes], numbers: tuple[int, ...], rate: float = 0.0, least_gain: int = 0) -> list[tuple[int, bytes]]:
+    """``choose`` for each block, a codec at a time."""
+    best = [(float(len(b)), 0, b) for b in blocks]
     for n in sorted(numbers):
-        packed = encode(n, data)
-        cost = len(packed) + rate * REGISTRY[n].cost * len(data)
-        if cost < best[0] and len(packed) + max(1, least_gain) <= len(data):
-            best = (cost, n, packed)
-    return best[1], best[2]
+        for i, packed in enumerate(encode_all(n, blocks)):
+            cost = len(packed) + rate * REGISTRY[n].cost * len(blocks[i])
+            if cost < best[i][0] and len(packed) + max(1, least_gain) <= len(blocks[i]):
+                best[i] = (cost, n, packed)
+    return [(n, packed) for _, n, packed in best]

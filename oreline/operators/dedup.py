@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from oreline.operators.records import fixed_blocks
 from oreline.session import cut
 
 
@@ -79,10 +80,8 @@ def normalise_line_ends(text: Column) -> Column:
 
 def block_digests(rows: DataFrame, id_col: str, text: Column, size: int) -> DataFrame:
     """id_col and digest of each full aligned block; a partial last block is left out."""
-    n = F.floor(F.length("_t") / size).cast("int")
-    # the text is a column of its own, so that the lambda doesn't compute it for every block
-    blocks = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.sha2(F.substring("_t", i * size + 1, F.lit(size)), 256)))
-    return rows.select(id_col, text.alias("_t")).select(id_col, F.explode(F.array_distinct(blocks)).alias("digest"))
+    blocks = F.transform(fixed_blocks(text, size, whole=True), lambda b: F.sha2(b, 256))
+    return rows.select(id_col, F.explode(F.array_distinct(blocks)).alias("digest"))
 
 
 def shared_blocks(digests: DataFrame, id_col: str) -> DataFrame:

@@ -19,12 +19,13 @@ def split_records(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts.select(id_col, F.posexplode(frames(F.col(text_col))).alias("rec_id", "record"))
 
 
-def fixed_blocks(text: Column, size: int) -> Column:
-    """Blocks of ``size`` characters; the last may be shorter."""
-    n = F.length(text)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), lambda i: F.substring(text, i * size + 1, F.lit(size)))).otherwise(
-        F.array().cast("array<string>")
-    )
+def fixed_blocks(text: Column, size: int, whole: bool = False) -> Column:
+    """Blocks of ``size`` characters; the last may be shorter, or is left out if they must be ``whole``.
+
+    One scan by a pattern: a substring at a character's number would walk the text anew for every block.
+    """
+    count = str(size) if whole else f"1,{size}"
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?s).{%s}" % count), 0)
 
 
 def length_statistics(lengths: Column, kind: str = "median") -> dict[str, Column]:

@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from oreline.operators.codecs import bits, decode, encode, matches
+from oreline.operators.codecs import bits, decode_all, encode_all, matches
 from oreline.operators.codecs.registry import REGISTRY
 from oreline.plans.registry import query
 from oreline.sources import census, container
@@ -31,12 +31,10 @@ def round_trip(t, number: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, ok = [], []
             data = batch.column(2).to_pylist()
-            for block in data:
-                packed = encode(number, block)
-                sizes.append(len(packed))
-                ok.append(decode(number, packed) == block)
+            packed = encode_all(number, data)
+            sizes = list(map(len, packed))
+            ok = [a == b for a, b in zip(decode_all(number, packed), data, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(list(map(len, data)), pa.int64()), pa.array(sizes, pa.int64()), pa.array(ok, pa.bool_())], names=["doc_id", "block_id", "n_bytes", "size", "ok"])
 
     return blocks(t).mapInArrow(run, "doc_id bigint, block_id int, n_bytes bigint, size bigint, ok boolean")
@@ -77,14 +75,13 @@ def codec_grid(t):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {n: [0, 0, 0, True] for n in numbers}
         for batch in batches:
-            for block in batch.column(2).to_pylist():
-                for n in numbers:
-                    packed = encode(n, block)
-                    own = total[n]
-                    own[0] += 1
-                    own[1] += len(block)
-                    own[2] += len(packed)
-                    own[3] = own[3] and decode(n, packed) == block
+            data = batch.column(2).to_pylist()
+            for n, own in total.items():
+                packed = encode_all(n, data)
+                own[0] += len(data)
+                own[1] += sum(map(len, data))
+                own[2] += sum(map(len, packed))
+                own[3] = own[3] and decode_all(n, packed) == data
         rows = [(REGISTRY[n].name, *v) for n, v in total.items()]
         yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["codec", "blocks", "n_bytes", "size", "ok"]), preserve_index=False)
 

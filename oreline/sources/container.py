@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oreline.operators.codecs.bits import Corrupt, get_uvar, put_uvar
-from oreline.operators.codecs.registry import REGISTRY, choose, codec, decode
+from oreline.operators.codecs.registry import REGISTRY, choose, choose_all, codec, decode
 
 MAGIC = b"ORL1"
 LARGEST_BLOCK = 1 << 27
@@ -92,9 +92,9 @@ def encode_blocks(blocks: DataFrame, keys: list[str], data_col: str, codecs: tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for data in batch.column(len(keys)).to_pylist():
-                number, payload = choose(data or b"", codecs, rate)
-                rows.append((len(data or b""), number, len(payload), zlib.crc32(data or b""), frame(data or b"", number, payload)))
+            plain = [x or b"" for x in batch.column(len(keys)).to_pylist()]
+            for data, (number, payload) in zip(plain, choose_all(plain, codecs, rate), strict=True):
+                rows.append((len(data), number, len(payload), zlib.crc32(data), frame(data, number, payload)))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=[*keys, "size", "codec", "payload_size", "crc", "frame"])

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from oreline.operators import shapes
-from oreline.operators.codecs import DISABLED, REGISTRY, bits, columns, decode, encode, entropy, matches, tokens, transforms
+from oreline.operators.codecs import DISABLED, REGISTRY, bits, columns, decode, decode_all, encode, encode_all, entropy, matches, tokens, transforms
 from oreline.operators.codecs.bits import Corrupt
 from oreline.operators.codecs.registry import choose
 from oreline.sources import census, container
@@ -32,6 +32,21 @@ def test_all_codecs_on_random_texts(data):
         assert decode(number, encode(number, data)) == data
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(TEXTS, max_size=12))
+def test_lanes_are_the_one_block_coder(blocks):
+    packed = encode_all(2, blocks)
+    assert packed == [entropy.rans_encode(b) for b in blocks] and decode_all(2, packed) == blocks
+
+
+def test_lanes_notice_what_is_broken():
+    packed = encode_all(2, FIXED)
+    for i in (3, 6, 9):
+        for broken in (packed[i][:-1], packed[i] + b"\0", b"", packed[i][:3]):
+            with pytest.raises(Corrupt):
+                decode_all(2, [*packed[:i], broken, *packed[i + 1 :]])
+
+
 def test_disabled_and_unknown_numbers():
     for number in [*DISABLED, 200]:
         with pytest.raises(Corrupt):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from oreline.operators import select, skyline, stats
 from oreline.plans.registry import query, uv
+from oreline.session import cut
 
 GRID = """grid AS (SELECT l_suppkey AS file, l_returnflag || l_linestatus || '-q' || l_linenumber AS codec, (100000 + l_suppkey * 1000)::BIGINT AS input_bytes,
     (sum(l_partkey) % 90000 + 1000)::BIGINT AS bytes, (sum(l_quantity::BIGINT) % 500 + 1)::DOUBLE / 4 AS enc, (sum(l_partkey + l_linenumber * 7) % 2000 + 1)::DOUBLE / 8 AS dec,
@@ -43,6 +44,7 @@ def label_sql(table: str, label: str) -> str:
 
 
 def labels(g, cost="bytes"):
+    g = cut(g)  # small beside its source, and read for each side of each plane
     planes = []
     for p in ("enc", "dec"):
         own = skyline.dominated_by(candidates(g), refs(g), ["file"], [cost], [p], "codec")
@@ -113,7 +115,7 @@ def pareto_aggregate_rollup(t):
     FROM d LEFT JOIN best USING (file) LEFT JOIN b USING (file, codec)""")
 def verdict_vs_best(t):
     """Each candidate against the best rival and the fronts."""
-    g = grid(t)
+    g = cut(grid(t))
     rivals = g.where(F.startswith("codec", F.lit("A")))
     cand = candidates(g).select("file", "codec", "bytes", "enc", "dec")
     beaten = cand.join(rivals.select("file", F.col("codec").alias("rival"), F.col("bytes").alias("rb")), "file").groupBy("file", "codec").agg(
@@ -151,7 +153,8 @@ def budget_segments(t):
     FROM (SELECT *, (SELECT max(dec) FROM grid q WHERE q.file = a.file AND q.{IS_REF} AND q.bytes <= a.bytes) AS c FROM grid a WHERE {IS_CAND}) a""")
 def critical_throughput(t):
     """The speed a candidate needs at its size."""
-    c = skyline.critical_gain(candidates(grid(t)), refs(grid(t)), ["file"], "codec", "bytes", "dec")
+    g = cut(grid(t))
+    c = skyline.critical_gain(candidates(g), refs(g), ["file"], "codec", "bytes", "dec")
     return c.select("file", "codec", "bytes", F.round(F.col("critical") * 1.02, 9).alias("critical"), F.when(F.col("critical").isNull(), "RATIO-WIN").otherwise("GENUINE-CROSSING").alias("kind"))
 
 

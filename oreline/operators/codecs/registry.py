@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import pyarrow as pa
 
-from oreline.operators.codecs import entropy, lanes, matches, tokens, transforms
+from oreline.operators.codecs import entropy, lanes, matches, measured, tokens, transforms
 from oreline.operators.codecs.bits import Corrupt, get_uvar, put_uvar
 
 
@@ -78,6 +78,7 @@ REGISTRY: dict[int, Codec] = {
         Codec(16, "sparse", tokens.sparse_encode, tokens.sparse_decode, 14.0),
         Codec(17, "word_reference", tokens.reference_encode, tokens.reference_decode, 8.0),
         Codec(18, "streams", tokens.streams_encode, tokens.streams_decode, 40.0),
+        Codec(19, "lz_measured", measured.measured_encode, matches.read_tokens, 10.0),
         Codec(32, "deflate", lambda d: zlib.compress(d, 9), zlib.decompress, 25.0),
         Codec(33, "bzip2", bz2.compress, bz2.decompress, 100.0),
         Codec(34, "lzma", lambda d: lzma.compress(d, preset=6), lzma.decompress, 80.0),

@@ -42,7 +42,7 @@ def round_trip(t, number: int):
 
 for _name, _number in {"huffman": 1, "rans": 2, "rans_clustered": 3, "arithmetic": 4, "mtf": 6, "bwt": 7, "self_reference": 11, "context_split": 13, "transpose": 14}.items():
     query(f"{_name}_roundtrip")(lambda t, n=_number: round_trip(t, n))
-for _name, _number in {"sparse": 16, "word_reference": 17, "token_streams": 18}.items():
+for _name, _number in {"sparse": 16, "word_reference": 17, "token_streams": 18, "measured_parse": 19}.items():
     query(f"{_name}_roundtrip")(lambda t, n=_number: round_trip(t, n))
 query("repair_grammar")(lambda t: round_trip(t, 12))
 query("default_exception_roundtrip")(lambda t: round_trip(t, 5))
@@ -218,6 +218,21 @@ def budget_gated_portfolio(t):
     return per_row(rows.select("l_suppkey", "block", "words"), ["l_suppkey", "block"], kernel, "n_bytes bigint, quick bigint, model bigint, cheap boolean, regular boolean, mode string, size bigint")
 
 
+@query("series_segments_roundtrip")
+def series_segments_roundtrip(t):
+    """Blocks of words cut into segments of difference orders and range coded: segments, bytes, and whether they come back."""
+    from oreline.operators import series
+    from oreline.operators.codecs import measured
+
+    rows = series.series_blocks(t("lineitem"), ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey"], "l_orderkey", 256)
+
+    def kernel(words):
+        packed = measured.series_encode(words)
+        return len(words), len(measured.segments(np.array(words, dtype=np.float64))), len(packed), measured.series_decode(packed) == words
+
+    return per_row(rows.select("l_suppkey", "block", "words"), ["l_suppkey", "block"], kernel, "n_words bigint, segments bigint, size bigint, ok boolean")
+
+
 @query("deflate_replay")
 def deflate_replay(t):
     """Whether each page's deflate stream can be written again from its text, and at which level."""

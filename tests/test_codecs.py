@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from oreline.operators import shapes
-from oreline.operators.codecs import DISABLED, REGISTRY, bits, columns, decode, decode_all, encode, encode_all, entropy, matches, tokens, transforms
+from oreline.operators.codecs import DISABLED, REGISTRY, bits, columns, decode, decode_all, encode, encode_all, entropy, matches, measured, tokens, transforms
 from oreline.operators.codecs.bits import Corrupt
 from oreline.operators.codecs.registry import choose
 from oreline.sources import census, container
@@ -224,3 +224,28 @@ def test_corrections_and_added_words():
     words = RNG.choices(range(2**32), k=60)
     moved = b"".join(w.to_bytes(4, "little") for w in words) + b"".join(((w + 99) % 2**32).to_bytes(4, "little") for w in words) + b"xy"
     assert decode(17, encode(17, moved)) == moved and len(encode(17, moved)) < len(moved) * 0.6
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.one_of(st.integers(-50, 50), st.integers(-(2**50), 2**50)), max_size=120))
+def test_segmented_series(values):
+    assert measured.series_decode(measured.series_encode(values)) == values
+
+
+def test_segments_follow_the_orders():
+    noise = RNG.choices(range(-1000, 1000), k=96)
+    line = np.cumsum([10**6, *RNG.choices(range(-1000, 1000), k=95)]).tolist()
+    curve = [10**9 + 10**5 * i * i for i in range(96)]
+    cut = measured.segments(np.array(noise + line + curve, dtype=np.float64))
+    assert sum(n for n, _ in cut) == 288 and cut[0][1] == 0 and cut[-1][1] == 2 and len({k for _, k in cut}) == 3
+
+
+def test_matches_that_do_not_pay_are_taken_back():
+    for data in FIXED:
+        at = 0
+        for _, position, size, _ in measured.measured_tokens(data):
+            assert position == at
+            at += size
+        assert at == len(data)
+    plain = bytes(RNG.choices(b"ab", k=6_000))
+    assert sum(x[0] for x in measured.measured_tokens(plain)) < sum(x[0] for x in matches.greedy_tokens(plain))

@@ -115,26 +115,29 @@ class _Forest:
                 low[:] = up
 
 
-def bucket_links(fps: np.ndarray, part: np.ndarray, i: int, j: int, pivots: np.ndarray, most: int, pairs_at_once: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges (member, least member) of the groups linked within a bucket, or between its parts i and j."""
+def bucket_links(fps: np.ndarray, group: np.ndarray, part: np.ndarray, across: np.ndarray, pivots: np.ndarray, most: int, pairs_at_once: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges (member, least member) of the fingerprints linked within each group.
+
+    Where ``across`` is set only pairs of different parts count. All groups are worked on together: in the order of
+    group and distance to the first pivot, a fingerprint's partners are the run that follows it.
+    """
     n = len(fps)
-    if n < 2:
-        return fps[:0], fps[:0]
     table = np.bitwise_count(fps[:, None] ^ pivots[None, :]).astype(np.int8)
-    order = np.argsort(table[:, 0], kind="stable")
-    fps, part, table = fps[order], part[order], np.ascontiguousarray(table[order].T)
-    ends = np.searchsorted(table[0], table[0] + most, side="right")
-    counts = ends - np.arange(n) - 1
+    key = group.astype(np.int64) * 256 + table[:, 0]
+    order = np.argsort(key, kind="stable")
+    key, fps, part, across, table = key[order], fps[order], part[order], across[order], np.ascontiguousarray(table[order].T)
+    counts = np.searchsorted(key, key + most, side="right") - np.arange(n) - 1
+    total = np.cumsum(counts)
     forest = _Forest(n)
     lo = 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(np.cumsum(counts[lo:]), pairs_at_once, side="right")) + lo)
+        before = int(total[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(total, before + pairs_at_once, side="right")))
         own = counts[lo:hi]
         a = np.repeat(np.arange(lo, hi), own)
         b = np.arange(len(a)) - np.repeat(np.cumsum(own) - own, own) + a + 1
-        if i != j:
-            cross = part[a] != part[b]
-            a, b = a[cross], b[cross]
+        apart = ~across[a] | (part[a] != part[b])
+        a, b = a[apart], b[apart]
         for row in table[1:]:
             if not len(a):
                 break
@@ -170,12 +173,12 @@ def links(distinct: DataFrame, *, most: int = 4, pivots: int = 32, split: int =
         refs = pivot_fingerprints(pivots)
         held: list[np.ndarray] | None = None
 
-        def close(columns: list[np.ndarray], lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-            return bucket_links(columns[0][lo:hi].view(np.uint64), columns[5][lo:hi], int(columns[3][lo]), int(columns[4][lo]), refs, most)
-
-        def emit(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            a, b = (np.concatenate([f[k] for f in found]).view(np.int64) if found else np.zeros(0, np.int64) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        def found(columns: list[np.ndarray], edges: list[int]) -> pa.RecordBatch:
+            """Links of the groups that begin at all but the last of ``edges``."""
+            stop = edges[-1]
+            group = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+            a, b = bucket_links(columns[0][:stop].view(np.uint64), group, columns[5][:stop], columns[3][:stop] != columns[4][:stop], refs, most)
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         for batch in batches:
             columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
@@ -185,10 +188,10 @@ def links(distinct: DataFrame, *, most: int = 4, pivots: int = 32, split: int =
             for k in range(1, 5):
                 change |= columns[k][1:] != columns[k][:-1]
             edges = [0, *(np.flatnonzero(change) + 1).tolist()]
-            yield emit([close(columns, lo, hi) for lo, hi in itertools.pairwise(edges) if hi - lo > 1])
+            yield found(columns, edges)
             held = [x[edges[-1] :] for x in columns]
-        if held is not None and len(held[0]) > 1:
-            yield emit([close(held, 0, len(held[0]))])
+        if held is not None and len(held[0]):
+            yield found(held, [0, len(held[0])])
 
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "fp")
     return batched(dealt.select("fp", *keys, "part")).mapInArrow(run, "a bigint, b bigint")

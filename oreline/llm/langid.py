@@ -8,8 +8,8 @@ lower-cased; its log-probabilities are the windows' means, weighted by their byt
 For prediction, embedding and filters are multiplied out to two tables of
 byte pairs, so a position costs two look-ups in place of a product.
 
-Training takes at most ``sample`` windows, from documents picked by a hash at a rate
-for each language; that bound is the only thing sampled.
+Training takes at most ``sample`` windows, from documents picked at a rate for
+each language; that is the only thing sampled.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; with no
 labelled rows everything is ``und``; repeated rows are predicted as often as they
@@ -166,10 +166,9 @@ def training_windows(labelled: DataFrame, *, text_col: str, label_col: str, samp
     if not counts:
         return np.zeros((0, WINDOW), dtype=np.uint8), []
     each = max(1, sample // per_document // len(counts))
-    bucket = F.pmod(F.xxhash64(text_col, F.lit("sample")), F.lit(1_000_000))
-    picked = F.lit(False)
-    for r in counts:
-        picked |= (F.col(label_col) == r[label_col]) & (bucket < int(min(1.0, each / r["count"]) * 1_000_000))
+    rates = F.create_map(*[F.lit(x) for r in counts for x in (r[label_col], min(1.0, each / r["count"]))])
+    # by row: copies of one text are not all taken together
+    picked = F.rand(7) < F.coalesce(F.try_element_at(rates, F.col(label_col)), F.lit(0.0))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +185,7 @@ def training_windows(labelled: DataFrame, *, text_col: str, label_col: str, samp
                     labels.append(label)
             yield pa.RecordBatch.from_arrays([pa.array(windows, pa.binary()), pa.array(labels, pa.string())], names=["window", "label"])
 
-    found = batched(labelled.where(picked).select(text_col, F.col(label_col).cast("string"))).mapInArrow(cut_out, "window binary, label string").toArrow()
+    found = batched(labelled.where(picked).select(text_col, F.col(label_col).cast("string"))).mapInArrow(cut_out, "window binary, label string").limit(2 * sample).toArrow()
     rows = sorted(zip(found.column("window").to_pylist(), found.column("label").to_pylist(), strict=True), key=lambda r: (zlib.crc32(r[0]), r))[:sample]
     x = np.frombuffer(b"".join(w for w, _ in rows), dtype=np.uint8).reshape(-1, WINDOW)
     return x, [label for _, label in rows]

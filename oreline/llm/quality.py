@@ -116,7 +116,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             x = [features(t).tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column(1)], names=["x", "label"])
 
-    found = batched(docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).join(chosen, id_col).select(text_col, F.col("_label").cast("int"))).mapInArrow(run, "x binary, label int").toArrow()
+    found = batched(docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).join(chosen, id_col).select(text_col, F.col("_label").cast("int"))).mapInArrow(run, "x binary, label int").limit(2 * sample).toArrow()
     if not len(found):
         return None, 0.5
     order = sorted(zip(found.column("x").to_pylist(), found.column("label").to_pylist(), strict=True))[: 2 * sample]

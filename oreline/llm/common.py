@@ -36,10 +36,15 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Run ``df`` once and cut its lineage with a reliable checkpoint."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Run ``df`` once and cut its lineage with a reliable checkpoint.
+
+    Where its size is known to be about ``rows`` it gets a partition for 100,000 of them, at
+    most as many as it has: every partition is a file, and on a file system without native
+    calls every file costs the executor a process.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(max(1, -(-rows // 100_000)))).checkpoint(eager=True)
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

@@ -12,9 +12,9 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def _lowest(edges: DataFrame) -> DataFrame:
+def _lowest(edges: DataFrame, rows: int) -> DataFrame:
     """Each a's smallest neighbour; cut, so that the join with it can split a hub's rows."""
-    return cut(edges.groupBy("a").agg(F.min("b").alias("low")))
+    return cut(edges.groupBy("a").agg(F.min("b").alias("low")), rows)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -28,11 +28,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = _state(edges)
     while before[0]:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = _lowest(both).select("a", F.least("a", "low").alias("low"))
-        large = cut(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct())
-        low = _lowest(large)
+        low = _lowest(both, 2 * before[0]).select("a", F.least("a", "low").alias("low"))
+        large = cut(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct(), 2 * before[0])
+        low = _lowest(large, 2 * before[0])
         small = large.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        edges = cut(small.unionAll(low.select("a", F.col("low").alias("b"))).distinct())
+        edges = cut(small.unionAll(low.select("a", F.col("low").alias("b"))).distinct(), 2 * before[0])
         now = _state(edges)
         if now == before:
             break

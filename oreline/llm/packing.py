@@ -194,7 +194,7 @@ def pack(pieces: DataFrame, *, capacity: int = 2048, per_partition: int = 8192,
         last = parts == 1 or step == most_rounds or size == before
         base = -(step << 58)  # whole pieces have the ids from 0, each round its own range below
         dealt = pool.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)))
-        packed = cut(dealt.groupBy("part").applyInPandas(functools.partial(_repack, capacity=capacity, base=base, last=last), schema))
+        packed = cut(dealt.groupBy("part").applyInPandas(functools.partial(_repack, capacity=capacity, base=base, last=last), schema).coalesce(parts))
         done.append(packed.where(~F.col("given_up")).select(*names, "sequence_id", "offset"))
         pool, before = packed.where("given_up").select(*names), size
         if last:

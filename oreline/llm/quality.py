@@ -160,13 +160,14 @@ def site_priors(scored: DataFrame, prior: float) -> DataFrame:
     """host, path, host_rate and path_rate from rows with host, path and ratio."""
     p = 1 / (1 + F.exp(-(F.col("ratio") + F.lit(float(np.log(prior / (1 - prior)))))))
     paths = cut(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("good")))
-    hosts = cut(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")))
+    size = paths.count()
+    hosts = cut(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), size)
     rate = hosts.agg((F.sum("good") / F.sum("n")).alias("rate")).first()["rate"]
     if rate is None:
         return paths.select("host", "path", F.lit(prior).alias("host_rate"), F.lit(prior).alias("path_rate"))
     drawn = lambda prior, k: (F.col("good") + prior * k) / (F.col("n") + k)
     k_host = hosts.agg(_strength(F.lit(rate)).alias("k")).first()["k"]
-    joined = cut(paths.join(hosts.select("host", drawn(F.lit(rate), F.lit(k_host)).alias("host_rate")), "host"))
+    joined = cut(paths.join(hosts.select("host", drawn(F.lit(rate), F.lit(k_host)).alias("host_rate")), "host"), size)
     k_path = joined.agg(_strength(F.col("host_rate")).alias("k")).first()["k"]
     return joined.select("host", "path", "host_rate", drawn(F.col("host_rate"), F.lit(k_path)).alias("path_rate"))
 

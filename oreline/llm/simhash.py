@@ -204,11 +204,13 @@ def near_duplicates(
     own = cut(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, seed=seed))
     distinct = cut(own.groupBy("fp").agg(F.min(id_col).alias("least")))
     stars = connected_components(links(distinct, most=most, pivots=pivots, split=split))
-    # roots stand for themselves
+    # only fingerprints with partners need a component; roots stand for themselves
     members = stars.select(F.col("a").alias("fp"), F.col("b").alias("root")).unionAll(stars.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct())
-    rooted = cut(distinct.join(members, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    lowest = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    by_fp = cut(rooted.join(lowest, "root").select("fp", "component_id"))
+    # few rows come out of a join of all: dealt anew, so that the join keeps its tasks and the result has few files
+    rooted = cut(distinct.join(members, "fp").select("fp", "least", "root").repartition(1 + stars.count() // 50_000))
+    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = rooted.join(lowest, "root").select("fp", "component_id")
+    by_fp = cut(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return own.join(by_fp, "fp").select(F.col(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Iterator
 from statistics import median
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,16 +45,45 @@ def harmonic_rate(n_bytes: str, rate: str) -> Column:
     return (F.sum(n_bytes) / 1e6) / F.sum((F.col(n_bytes) / 1e6) / F.greatest(F.col(rate), F.lit(1e-12)))
 
 
-def bootstrap_ratio(log_ratios: list[float], seed: int, samples: int) -> tuple[float, float, float]:
-    """The median ratio and its 95 % bootstrap interval, drawn with Python's generator, whose stream defines the result."""
-    draw = random.Random(seed)
-    n = len(log_ratios)
-    medians = sorted(math.exp(median([log_ratios[draw.randrange(n)] for _ in range(n)])) for _ in range(samples))
-    return math.exp(median(log_ratios)), medians[max(0, int(0.025 * samples))], medians[min(samples - 1, int(0.975 * samples))]
+def stream_draws(seed: int, n: int, size: int) -> Iterator[np.ndarray]:
+    """Rows of ``size`` numbers below ``n``, as ``random.Random(seed).randrange(n)`` gives them one after the other."""
+    _, state, _ = random.Random(seed).getstate()
+    words = np.random.RandomState()
+    words.set_state(("MT19937", np.array(state[:-1], dtype=np.uint32), state[-1]))
+    shift = np.uint32(32 - n.bit_length())
+    rest = np.zeros(0, dtype=np.uint32)
+    while True:
+        drawn = words.randint(0, 1 << 32, max(1 << 18, 2 * size), dtype=np.uint32) >> shift
+        rest = np.concatenate([rest, drawn[drawn < n]])
+        rows = len(rest) // size
+        yield rest[: rows * size].reshape(rows, size)
+        rest = rest[rows * size :]
 
 
-def paired_bootstrap(pairs: DataFrame, keys: list[str], order: str, control: str, candidate: str, seed: int = 1, samples: int = 200) -> DataFrame:
-    """keys, n, ratio, ci_low, ci_high of candidate over control; a group's pairs are a bounded set of timings."""
+def bootstrap_ratio(log_ratios: list[float], seed: int, samples: int) -> tuple[float, float, float]:
+    """The median ratio and its 95 % bootstrap interval, drawn from the stream of Python's generator, which defines the result."""
+    n = len(log_ratios)
+    value = np.array(log_ratios, dtype=np.float64)
+    order = np.argsort(value, kind="stable")
+    place = np.empty(n, dtype=np.min_scalar_type(n))
+    place[order] = np.arange(n)
+    value = value[order]
+    middle = sorted({(n - 1) // 2, n // 2})
+    medians, done = np.empty(samples), 0
+    for rows in stream_draws(seed, n, n):
+        if done == samples:
+            break
+        places = np.partition(place[rows[: samples - done]], middle, axis=1)
+        medians[done : done + len(places)] = (value[places[:, middle[0]]] + value[places[:, middle[-1]]]) / 2
+        done += len(places)
+    medians.sort()
+    return math.exp(median(log_ratios)), math.exp(medians[max(0, int(0.025 * samples))]), math.exp(medians[min(samples - 1, int(0.975 * samples))])
+
+
+def paired_bootstrap(pairs: DataFrame, keys: list[str], order: str, control: str, candidate: str, seed: int = 1, samples: int = 20_000) -> DataFrame:
+    """keys, n, ratio, ci_low, ci_high of candidate over control; a group's pairs are a bounded set of timings. Fewer than 1,000 samples are refused."""
+    if samples < 1000:
+        raise ValueError("at least 1000 samples")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)

@@ -164,6 +164,22 @@ def test_bootstrap():
     assert stats.bootstrap_ratio([0.1, 0.2, 0.4], 3, 99) == stats.bootstrap_ratio([0.1, 0.2, 0.4], 3, 99)
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 64, 255, 256, 300])
+def test_bootstrap_draws_as_python_does(n):
+    logs = np.random.default_rng(n).normal(size=n).tolist()
+    draw = random.Random(5)
+    medians = sorted(np.exp(median([logs[draw.randrange(n)] for _ in range(n)])) for _ in range(1500))
+    assert stats.bootstrap_ratio(logs, 5, 1500)[1:] == pytest.approx((medians[37], medians[1462]), rel=1e-14)
+
+
+def test_bootstrap_of_enough_samples(spark):
+    pairs = spark.createDataFrame([("s", i, 1.0, 1.0 + i % 13 / 7) for i in range(40)], "k string, i int, a double, b double")
+    with pytest.raises(ValueError):
+        stats.paired_bootstrap(pairs, ["k"], "i", "a", "b", samples=999)
+    got = stats.paired_bootstrap(pairs, ["k"], "i", "a", "b").first()
+    assert (got["ratio"], got["ci_low"], got["ci_high"]) == stats.bootstrap_ratio([np.log(1.0 + i % 13 / 7) for i in range(40)], 1, 20_000)
+
+
 def test_argmin_takes_the_smaller_id(spark):
     df = spark.createDataFrame([("k", 5, 2, "b"), ("k", 5, 1, "a"), ("k", 7, 0, "c")], "k string, cost int, id int, x string")
     assert [tuple(r) for r in select.argmin(df, ["k"], ["cost", "id"]).collect()] == [("k", 5, 1, "a")]

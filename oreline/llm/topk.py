@@ -50,19 +50,22 @@ class ImpactIndex:
             rest = rest - np.where(here, vectors * vectors, 0).sum(axis=1)
             self.levels.append((segments, np.sqrt(np.maximum(rest, 0))))
 
-    def possible(self, queries: np.ndarray, k: int, few: int) -> list[np.ndarray]:
-        """Rows that may be among the k best of each query; all others are proved out."""
+    def possible(self, queries: np.ndarray, k: int, few: int, own: np.ndarray | None = None) -> list[np.ndarray]:
+        """Rows that may be among the k best of each query; all others are proved out. ``own`` (rows x queries) marks rows that take no place."""
         n = len(self.vectors)
         scores = np.zeros((n, len(queries)))
+        if own is not None:
+            scores[own] = -np.inf
         norm = np.sqrt((queries * queries).sum(axis=1)) * (1 + 1e-9)
         columns = np.ascontiguousarray(queries.T)
         for segments, rest in self.levels[:-1]:
             for d, rows, impacts in segments:
                 scores[rows] += impacts[:, None] * columns[d]
-            if n <= few or rest.mean() > 0.5 * np.sqrt((self.vectors**2).sum(axis=1)).mean():
+            if n <= max(few, k) or rest.mean() > 0.5 * np.sqrt((self.vectors**2).sum(axis=1)).mean():
                 continue
             top = np.argpartition(scores, n - k, axis=0)[n - k :]
-            floor = np.einsum("kqd,qd->kq", self.vectors[top], queries).min(axis=0)
+            exact = np.einsum("kqd,qd->kq", self.vectors[top], queries)
+            floor = np.where(np.isneginf(np.take_along_axis(scores, top, axis=0)), -np.inf, exact).min(axis=0)
             may = scores + rest[:, None] * norm >= floor - 1
             if may.sum(axis=0).max() <= few:
                 return [np.flatnonzero(may[:, i]) for i in range(len(queries))]
@@ -91,7 +94,7 @@ def best_in_index(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, q
     out: tuple[list, list, list] = ([], [], [])
     safe = vectors.shape[1] * (np.abs(vectors).max() + 1) * (np.abs(queries).max() + 1) < EXACT
     if safe:
-        rows = ImpactIndex(vectors).possible(queries, k + 1, few)
+        rows = ImpactIndex(vectors).possible(queries, k, few, ids[:, None] == query_ids)
     else:  # components so large that sums of doubles are not exact: whole numbers of any size
         rows = [np.arange(len(ids))] * len(queries)
         vectors, queries = (np.array([[int(c) for c in v] for v in x], dtype=object) for x in (vectors, queries))

@@ -3,9 +3,9 @@
 All vectors and the queries are dealt to blocks of bounded size by a hash of their
 ids. Each pair of a vector block and a query block is one group, so a task holds one
 pair at a time whatever the table's size; each block's best rows are merged
-by a window over the query. Of rows with one and the same vector only the
-``k + 1`` smallest ids can be among a query's k best, so others are left
-out before the exchange; a vector that many rows share stays small.
+by a window over the query. Of rows with one and the same vector only those of the
+``k + 1`` smallest ids, one of which may be the query's own, and of each id only k rows can be among a
+query's k best, so others are left out before the exchange; a vector that many rows share stays small.
 """
 
 from __future__ import annotations
@@ -54,7 +54,8 @@ def search(
     rows = min(most_rows, max(least_rows, spread))
     v_blocks, q_blocks = max(1, -(-size["n"] // rows)), max(1, -(-queries.count() // most_rows))
     first = Window.partitionBy("vec").orderBy("id")
-    vectors = vectors.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k + 1).drop("_n")
+    repeat = F.row_number().over(first) - F.rank().over(first)  # of one id with one vector, from 0
+    vectors = vectors.withColumn("_n", F.dense_rank().over(first)).withColumn("_again", repeat).where((F.col("_n") <= k + 1) & (F.col("_again") < k)).drop("_n", "_again")
     at = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = vectors.select("id", "vec", F.size("vec").alias("d"), at("v", v_blocks).alias("vb"), each(q_blocks).alias("qb"))

@@ -61,6 +61,31 @@ def test_nearest_of_odd_rows(spark):
     assert [i for _, i in got[1000]] == [7, 1001, 1002, 1003, 1004]
 
 
+@pytest.mark.parametrize(("run", "measure", "zero"), [(ann.nearest, cosine, False), (topk.best, product, True)])
+def test_repeats_of_a_query_row_take_no_places(spark, run, measure, zero):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(1, 400)]
+    rows += [(50, rows[49][1])] * 9 + [(i, rows[49][1]) for i in (700, 701)]  # more copies than places, and others of that vector
+    rows += [(100, rows[99][1])] + [(703, rows[2][1])] * 8  # one copy; a candidate that is repeated
+    out = run(spark.createDataFrame([(i, v, 1, 2, "x", 3) for i, v in rows], FIELDS), **({"candidates": 100_000} if run is ann.nearest else {})).collect()
+    digits = 9 if run is ann.nearest else None
+    assert by_query(out, digits) == brute(rows, measure, 5, zero)
+
+
+@pytest.mark.parametrize("few", [8, 64])
+def test_own_rows_are_left_out_of_the_proof(few):
+    rng = np.random.default_rng(few)
+    v = np.floor(rng.normal(size=(700, 16)) * 60)
+    q = v[:30] * 3
+    own = np.zeros((700, 30), dtype=bool)
+    own[np.arange(30), np.arange(30)] = own[np.arange(30) + 300, np.arange(30)] = True
+    own[:, 29] = np.arange(700) > 2  # fewer others than places
+    for i, may in enumerate(topk.ImpactIndex(v).possible(q, 5, few, own)):
+        s = np.where(own[:, i], -np.inf, v @ q[i])
+        best = np.argsort(-s, kind="stable")[: min(5, int((~own[:, i]).sum()))]
+        assert set(best.tolist()) <= set(may.tolist())
+
+
 def test_recall(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(20, 64))

@@ -16,9 +16,26 @@ def counts_of(x: np.ndarray) -> np.ndarray:
     return np.unique(x, return_counts=True)[1]
 
 
+def match_counts(b: np.ndarray, most: int) -> np.ndarray:
+    """Equal bytes at each lag from 1 on."""
+    n = len(b)
+    most = min(most, n - 1)
+    free = np.flatnonzero(np.bincount(b, minlength=256) == 0).astype(np.uint8)
+    if most < 1 or len(free) < 2:
+        return np.array([np.count_nonzero(b[p:] == b[:-p]) for p in range(1, most + 1)], dtype=np.int64)
+    # both sides are filled up with bytes that equal nothing, so that lags are rows of whole words of bits
+    m = -(-n // 64) * 64
+    left, right = np.full(m, free[0]), np.full(m + most, free[1])
+    left[:n] = right[:n] = b
+    rows = np.lib.stride_tricks.sliding_window_view(right, m)[1:]
+    step = max(1, (1 << 16) // m)
+    same = [np.bitwise_count(np.packbits(rows[i : i + step] == left, axis=1).view(np.uint64)).sum(axis=1, dtype=np.int64) for i in range(0, most, step)]
+    return np.concatenate(same)
+
+
 def match_fractions(b: np.ndarray, most: int) -> list[tuple[int, int, int]]:
     """Of each lag: lag, equal bytes and compared bytes."""
-    return [(p, int((b[p:] == b[:-p]).sum()), len(b) - p) for p in range(1, min(most, len(b) - 1) + 1)]
+    return [(p, same, len(b) - p) for p, same in enumerate(match_counts(b, most).tolist(), 1)]
 
 
 def period_cost(b: np.ndarray, p: int, column_bits: float = 64.0) -> float:
@@ -26,14 +43,18 @@ def period_cost(b: np.ndarray, p: int, column_bits: float = 64.0) -> float:
     n = len(b) // p
     if n < 4:
         return math.inf
-    d = np.diff(b[: n * p].reshape(n, p).astype(np.int16), axis=0) & 0xFF
-    return sum(entropy(np.bincount(d[:, j], minlength=256)) * (n - 1) for j in range(p)) + column_bits * p + 8.0 * (len(b) - n * p)
+    d = np.diff(b[: n * p].reshape(n, p).astype(np.int32), axis=0) & 0xFF
+    d += np.arange(p, dtype=np.int32) << 8
+    keys = np.sort(d, axis=None)
+    c = np.diff(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])))
+    return float((c * np.log2((n - 1) / c)).sum()) + column_bits * p + 8.0 * (len(b) - n * p)
 
 
-def discover_period(b: np.ndarray, most: int = 256, candidates: int = 24) -> tuple[int, float] | None:
+def discover_period(b: np.ndarray, most: int = 1024, candidates: int = 24) -> tuple[int, float] | None:
     """The cheapest of the lags that match best and, against aliases, the divisors of the first of them."""
-    lags = sorted(match_fractions(b, most), key=lambda x: (-x[1] / x[2], x[0]))
-    tried = [p for p, _, _ in lags if p >= 2][: candidates // 2]
+    same = match_counts(b, most)
+    lags = np.argsort(-same / (len(b) - np.arange(1, len(same) + 1)), kind="stable") + 1
+    tried = [p for p in lags[: candidates // 2 + 1].tolist() if p >= 2][: candidates // 2]
     for p in tried[:4]:
         tried += [q for q in range(2, p) if p % q == 0 and q not in tried][: max(0, candidates - len(tried))]
     costs = [(period_cost(b, p), p) for p in tried]
@@ -133,11 +154,15 @@ def lane_rates(b: np.ndarray, strides: range, widths: tuple[int, ...] = (1,), or
     return found
 
 
-def per_text(texts: DataFrame, id_col: str, text_col: str, kernel: Callable[[np.ndarray], list[tuple]], fields: str) -> DataFrame:
+def per_text(texts: DataFrame, id_col: str, text_col: str, kernel: Callable[[np.ndarray], list[tuple]], fields: str, most_rows: int = 65_536) -> DataFrame:
     """The rows that ``kernel`` gives for each text's bytes; ``fields`` names their columns (bigint, double or string)."""
     kinds = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
     names, types = zip(*[(f.split(" ")[0], kinds[f.split(" ")[1]]) for f in fields.split(", ")], strict=True)
 
+    def out(batch: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=[id_col, *names])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, rows = [], []
@@ -145,7 +170,9 @@ def per_text(texts: DataFrame, id_col: str, text_col: str, kernel: Callable[[np.
                 own = kernel(np.frombuffer((text or "").encode(), dtype=np.uint8))
                 at += [i] * len(own)
                 rows += own
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=[id_col, *names])
+                if len(rows) >= most_rows:
+                    yield out(batch, at, rows)
+                    at, rows = [], []
+            yield out(batch, at, rows)
 
     return texts.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {texts.schema[id_col].dataType.simpleString()}, {fields}")

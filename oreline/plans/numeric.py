@@ -143,10 +143,16 @@ SYMBOLS = "s AS (SELECT doc_id, unnest(range(0, strlen(text))) AS i, unnest(rege
 @query("period_match_fraction", f"""WITH {SYMBOLS}, p AS (SELECT doc_id, n, p, sym = lag(sym, p) OVER (PARTITION BY doc_id, p ORDER BY i) AS same FROM s, (SELECT unnest(range(1, 9)) AS p))
     SELECT doc_id, p AS lag, (count(*) FILTER (WHERE same))::BIGINT AS matches, count(same)::BIGINT AS compared FROM p GROUP BY doc_id, p HAVING count(same) > 0""")
 def period_match_fraction(t):
-    """How many bytes equal the byte 1 to 8 before."""
+    """How many bytes equal the byte 1 to 8 before, as its SQL has it; ``period_spectrum`` goes to 1,024."""
     return layout.per_text(t("documents").where("text <> ''"), "doc_id", "text", lambda b: layout.match_fractions(b, 8), "lag bigint, matches bigint, compared bigint")
 
 
+@query("period_spectrum")
+def period_spectrum(t):
+    """How many bytes equal the byte 1 to 1,024 before, for which SQL would need a row per byte and lag."""
+    return layout.per_text(t("documents").where("text <> ''"), "doc_id", "text", lambda b: layout.match_fractions(b, 1024), "lag bigint, matches bigint, compared bigint")
+
+
 @query("field_const_test", f"""WITH {BLOCKS} SELECT l_suppkey, block::BIGINT AS block, (i % 4)::INT AS field, min(v) = max(v) AS const, count(DISTINCT v)::BIGINT AS values FROM b GROUP BY ALL""")
 def field_const_test(t):
     """Whether each of four interleaved fields of a block is constant."""
@@ -212,8 +218,8 @@ def invariant_selectivity(t):
 
 @query("discover_period")
 def discover_period(t):
-    """The period at which each document's bytes are cheapest as records."""
-    return layout.per_text(t("documents").where("text <> ''"), "doc_id", "text", lambda b: [x] if (x := layout.discover_period(b, 64)) else [], "period bigint, bits double")
+    """The period, of up to 1,024 bytes, at which each document's bytes are cheapest as records."""
+    return layout.per_text(t("documents").where("text <> ''"), "doc_id", "text", lambda b: [x] if (x := layout.discover_period(b)) else [], "period bigint, bits double")
 
 
 @query("record_partition")

@@ -232,6 +232,47 @@ def test_periods_and_fields():
     assert layout.discover_period(b[:3], 40) is None
 
 
+def brute_period(b, most):
+    fraction = {p: sum(x == y for x, y in zip(b[p:], b, strict=False)) / (len(b) - p) for p in range(1, min(most, len(b) - 1) + 1)}
+    tried = [p for p in sorted(fraction, key=lambda p: (-fraction[p], p)) if p >= 2][:12]
+    for p in tried[:4]:
+        tried += [q for q in range(2, p) if p % q == 0 and q not in tried][: max(0, 24 - len(tried))]
+    costs = {}
+    for p in tried:
+        n = len(b) // p
+        if n >= 4:
+            columns = [[(b[r * p + j] - b[r * p - p + j]) % 256 for r in range(1, n)] for j in range(p)]
+            costs[p] = sum(d.count(x) * np.log2((n - 1) / d.count(x)) for d in columns for x in set(d)) + 64 * p + 8 * (len(b) - n * p)
+    return min(((c, p) for p, c in costs.items()), default=None)
+
+
+@pytest.mark.parametrize("period", [5, 65, 300, 1024])
+def test_long_periods(period):
+    rng = np.random.default_rng(period)
+    rows = np.tile(rng.integers(0, 256, period, dtype=np.uint8), (48, 1))  # few records are dearer than those of half their length
+    rows[:, 0] = np.arange(48)
+    b = np.concatenate([rows.reshape(-1), rng.integers(0, 256, 3, dtype=np.uint8)])
+    cost, want = brute_period(b.tolist(), 1024)
+    assert layout.discover_period(b) == (want, pytest.approx(cost))
+    assert want == period
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 63, 64, 65, 1500, 70_000])
+@pytest.mark.parametrize("values", [1, 255, 256])
+def test_match_counts(n, values):
+    b = np.random.default_rng(n).integers(0, values, n, dtype=np.uint16).astype(np.uint8)
+    assert layout.match_counts(b, 200).tolist() == [int((b[p:] == b[:-p]).sum()) for p in range(1, min(200, n - 1) + 1)]
+
+
+def test_period_spectrum(spark, data):
+    from oreline.plans.catalog import QUERIES
+
+    texts = {r["doc_id"]: r["text"].encode() for r in spark.read.parquet(f"{data}/documents.parquet").where("text <> ''").limit(3).collect()}
+    got = QUERIES["period_spectrum"](spark, data).where(F.col("doc_id").isin(list(texts))).collect()
+    want = {(i, p, sum(x == y for x, y in zip(b[p:], b, strict=False)), len(b) - p) for i, b in texts.items() for p in range(1, min(1024, len(b) - 1) + 1)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_violations(spark):
     df = spark.createDataFrame([(1, "x", 5), (2, None, 0), (3, "y", None)], "i int, s string, n int")
     got = {tuple(r) for r in govern.violations(df, ["i"], {"named": F.col("s").isNotNull(), "positive": F.col("n") > 0}).collect()}

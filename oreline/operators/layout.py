@@ -154,6 +154,53 @@ def lane_rates(b: np.ndarray, strides: range, widths: tuple[int, ...] = (1,), or
     return found
 
 
+def least_bits(b: np.ndarray, offsets: int, stride: int, words: int, orders: tuple[int, ...], logs: np.ndarray) -> np.ndarray:
+    """orders x offsets: bits that the first ``words`` words take at least, whatever their width: those of their low bytes' differences.
+
+    Neither merging values nor leaving words out adds bits; ``logs`` holds c log2 c.
+    """
+    x = b[np.arange(offsets)[:, None] + stride * np.arange(words)].astype(np.int16)
+    bits = np.zeros((len(orders), offsets))
+    for i, k in enumerate(orders):
+        if words > k:
+            d = (np.diff(x, n=k, axis=1) & 0xFF) + (np.arange(offsets, dtype=np.int16)[:, None] << 8)
+            c = np.bincount(d.ravel(), minlength=offsets << 8).reshape(offsets, 256)
+            bits[i] = logs[words - k] - logs[c].sum(axis=1)
+    return bits
+
+
+def best_lanes(b: np.ndarray, most: int, strides: range = range(1, 65), widths: tuple[int, ...] = (1, 2, 4, 8), orders: tuple[int, ...] = (0, 1, 2), least: int = 64) -> list[tuple]:
+    """The ``most`` lanes of lane_rates with the lowest rates, equal ones in order of width, offset, stride and order of differences.
+
+    Lanes are rated in order of a bound on their rate until the bound proves the rest out.
+    """
+    n = len(b)
+    logs = np.arange(n + 1) * np.log2(np.maximum(np.arange(n + 1), 1))
+    lanes, bounds = [], []
+    for stride in strides:
+        pairs = np.array([(w, o) for w in widths if w <= stride for o in range(w)], dtype=np.int64).reshape(-1, 2)
+        words = (n - pairs.sum(axis=1)) // stride + 1
+        pairs, words = pairs[words >= least], words[words >= least]
+        if not len(pairs):
+            continue
+        bits = least_bits(b, int(pairs[:, 1].max()) + 1, stride, int(words.min()), orders, logs)
+        bounds.append((bits[:, pairs[:, 1]] / (words * stride)).ravel())
+        lanes += [(w, o, stride, k) for k in orders for w, o in pairs.tolist()]
+    if not lanes:
+        return []
+    bound = np.concatenate(bounds)
+    best: list[tuple] = []
+    for i in np.argsort(bound, kind="stable").tolist():
+        if len(best) == most and bound[i] > best[-1][0] + 2e-9:
+            break
+        w, o, stride, k = lanes[i]
+        v = lane(b, o, stride, w)
+        d = np.diff(v, n=k)
+        rate = round(entropy(counts_of(d)) * len(d) / (len(v) * stride), 9)
+        best = sorted([*best, (rate, w, o, stride, k, len(v))])[:most]
+    return [(w, o, stride, k, m, rate) for rate, w, o, stride, k, m in best]
+
+
 def per_text(texts: DataFrame, id_col: str, text_col: str, kernel: Callable[[np.ndarray], list[tuple]], fields: str, most_rows: int = 65_536) -> DataFrame:
     """The rows that ``kernel`` gives for each text's bytes; ``fields`` names their columns (bigint, double or string)."""
     kinds = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}

@@ -182,7 +182,7 @@ def tiling_cost(t):
     e AS (SELECT doc_id, stride, k, words, round(-sum(c * log2(c / (words - k))) / (words * stride), 9) + 0 AS rate FROM c GROUP BY doc_id, stride, k, words)
     SELECT doc_id, stride::BIGINT AS stride, k::BIGINT AS diff_order, words::BIGINT AS words, rate, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rate, stride, k) AS r FROM e) WHERE r <= 4""")
 def lane_sweep_topn(t):
-    """The four lanes of each document with the fewest bits per covered byte."""
+    """Of each document's byte lanes from offset 0 with strides 1 to 4, as its SQL has them, the four with the fewest bits per covered byte; ``lane_sweep_full`` sweeps all."""
 
     def best(b):
         found = sorted(layout.lane_rates(b, range(1, 5)), key=lambda x: (x[5], x[2], x[3]))[:4]
@@ -192,6 +192,17 @@ def lane_sweep_topn(t):
     return s.withColumn("rank", F.col("rank").cast("int"))
 
 
+@query("lane_sweep_full")
+def lane_sweep_full(t):
+    """The four lanes of each document with the fewest bits per covered byte, of widths 1, 2, 4 and 8 with all offsets and strides to 64."""
+
+    def best(b):
+        return [(*x, r) for r, x in enumerate(layout.best_lanes(b, 4), 1)]
+
+    s = layout.per_text(t("documents").where("text <> ''"), "doc_id", "text", best, "width bigint, offset bigint, stride bigint, diff_order bigint, words bigint, rate double, rank bigint")
+    return s.withColumn("rank", F.col("rank").cast("int"))
+
+
 @query("min_n_payoff", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_quantity > l_tax * 100 THEN (floor((64 + l_quantity - 2 * (l_tax * 100)) / (l_quantity - l_tax * 100)) + 1)::BIGINT END AS min_n FROM lineitem")
 def min_n_payoff(t):
     """From how many values on a model with a seed cost pays."""

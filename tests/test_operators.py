@@ -273,6 +273,49 @@ def test_period_spectrum(spark, data):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def brute_lanes(b, most):
+    found = []
+    for w in (1, 2, 4, 8):
+        for o in range(w):
+            for stride in range(w, 65):
+                v = [int.from_bytes(b[i : i + w], "little", signed=w == 8) for i in range(o, len(b) - w + 1, stride)]
+                for k in range(3 if len(v) >= 64 else 0):
+                    d = v if not k else [(y - x + 2**63) % 2**64 - 2**63 for x, y in zip(d, d[1:], strict=False)]
+                    h = sum(d.count(x) * np.log2(len(d) / d.count(x)) for x in set(d)) if len(set(d)) < len(d) else len(d) * np.log2(len(d))
+                    found.append((round(h / (len(v) * stride), 9) + 0.0, w, o, stride, k, len(v)))
+    return [(*x[1:], x[0]) for x in sorted(found)[:most]]
+
+
+def lane_cases():
+    rng = np.random.default_rng(8)
+    words = lambda v, kind: np.asarray(v).astype(kind).tobytes()
+    yield words(np.arange(200) * 70_001, "<u4")
+    yield words(rng.integers(0, 2**63, 3) [rng.integers(0, 3, 90)], "<u8")
+    yield rng.integers(0, 256, 700, dtype=np.uint8).tobytes()
+    yield words(np.cumsum(rng.integers(0, 2, 400)) * 257, "<u2")[1:]
+    yield b"x" * 500
+    yield b"y" * 70 + b"z"
+    yield b"short"
+
+
+@pytest.mark.parametrize("b", list(lane_cases()))
+def test_best_lanes(b):
+    got = layout.best_lanes(np.frombuffer(b, dtype=np.uint8), 4)
+    want = brute_lanes(b, 4)
+    assert [x[:5] for x in got] == [x[:5] for x in want]
+    assert [x[5] for x in got] == pytest.approx([x[5] for x in want], abs=2e-9)
+
+
+def test_lane_sweep_full(spark, data):
+    from oreline.plans.catalog import QUERIES
+
+    texts = {r["doc_id"]: np.frombuffer(r["text"].encode(), dtype=np.uint8) for r in spark.read.parquet(f"{data}/documents.parquet").where("text <> ''").limit(40).collect()}
+    got = sorted((r["doc_id"], r["rank"], r["width"], r["offset"], r["stride"], r["diff_order"], r["words"], r["rate"]) for r in QUERIES["lane_sweep_full"](spark, data).where(F.col("doc_id").isin(list(texts))).collect())
+    order = lambda x: (x[5], *x[:4])
+    assert got == sorted((i, r, *x) for i, b in texts.items() for r, x in enumerate(sorted(layout.lane_rates(b, range(1, 65), (1, 2, 4, 8)), key=order)[:4], 1))
+    assert {x[2] for x in got} - {1} or {x[4] for x in got} - {1, 2, 3, 4}
+
+
 def test_violations(spark):
     df = spark.createDataFrame([(1, "x", 5), (2, None, 0), (3, "y", None)], "i int, s string, n int")
     got = {tuple(r) for r in govern.violations(df, ["i"], {"named": F.col("s").isNotNull(), "positive": F.col("n") > 0}).collect()}

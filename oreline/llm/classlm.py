@@ -3,7 +3,8 @@
 Learning counts every training word, with a map-side combine. The ``units`` most
 frequent words, the end mark and ``SHAPES`` groups of all other words (by length and last
 byte) are units of the exchange clustering: each is moved to the class that
-raises the class-bigram likelihood most, until nothing moves. A word's probability is
+raises the class-bigram likelihood most, until nothing moves or 8 rounds are over. ``units`` doesn't
+grow with the input: at 512, most words of a large corpus have their group's class only. A word's probability is
 
     L * P(class | class before) * P(word | class) + (1 - L) * P(word)
 

@@ -71,6 +71,84 @@ def test_links_connect_what_all_pairs_connect(spark, split, blocks):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, got.values()))
 
 
+@pytest.mark.parametrize("kind", ["alike", "unlike"])
+def test_a_bucket_of_100_000(spark, kind):
+    """Alike rows (within 4 bits of one) and unlike ones that share a block, with planted pairs."""
+    rng = np.random.default_rng(8)
+    base = int(rng.integers(0, 1 << 63))
+    if kind == "alike":
+        fps = {base} | {base ^ sum(1 << int(b) for b in set(four)) for four in rng.integers(12, 64, (110_000, 4)).tolist()}
+    else:
+        fps = {int(x) << 12 | (base & 4095) for x in rng.integers(0, 1 << 51, 100_000)}
+        fps |= {f ^ (1 << 40) ^ (1 << 63) for f in sorted(fps)[:50]}
+    rows = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in sorted(fps)], "fp bigint")
+    stars = connected_components(simhash.links(rows, blocks=5)).collect()
+    if kind == "alike":
+        assert len(stars) == len(fps) - 1 and len({r["b"] for r in stars}) == 1
+    else:
+        low = {r["a"] % (1 << 64): r["b"] % (1 << 64) for r in stars}
+        planted = [(f, f ^ (1 << 40) ^ (1 << 63)) for f in sorted(fps) if f ^ (1 << 40) ^ (1 << 63) in fps]
+        assert len(planted) >= 100 and all(low.get(a, a) == low.get(b, b) for a, b in planted)
+
+
+def test_open_masks_cover_what_a_bucket_leaves_open():
+    for _, spans in simhash.bucket_tables(6, 4):
+        masks = [m % (1 << 64) for m in simhash.open_masks(spans, 4)]
+        own = sum(((1 << w) - 1) << s for s, w in spans)
+        assert len(masks) == 5 and sum(masks) + own == (1 << 64) - 1
+
+
+@pytest.mark.parametrize("split", [4, 1024])
+def test_similar_links_against_all_pairs(spark, split):
+    rng = np.random.default_rng(split)
+    rows = [rng.integers(0, 1 << 64, 4, dtype=np.uint64) for _ in range(150)]
+    for base in rows[:8]:
+        for _ in range(40):
+            bits = np.unpackbits(base.view(np.uint8))
+            bits[rng.choice(256, int(rng.integers(1, 20)), replace=False)] ^= 1
+            rows.append(np.packbits(bits).view(np.uint64))
+    share, most = simhash.radius(0.8, 4)
+    assert 0.15 < share < 0.153 and 38 < most < 46
+    found = connected_components(simhash.similar_links(spark.createDataFrame([(r.astype("<u8").tobytes(),) for r in rows], "fp binary"), similarity=0.8, lanes=4, split=split)).collect()
+    names = [r.astype("<u8").tobytes() for r in rows]
+    low = list(range(len(rows)))
+    of = {bytes(r["a"]): bytes(r["b"]) for r in found}
+    for i in range(len(rows)):
+        for j in range(i):
+            if np.bitwise_count(rows[i] ^ rows[j]).sum() <= most:
+                a, b = low[i], low[j]
+                low = [min(a, b) if x in (a, b) else x for x in low]
+    groups, got = {}, {}
+    for n, r in zip(names, low, strict=True):
+        groups.setdefault(r, set()).add(n)
+        got.setdefault(of.get(n, n), set()).add(n)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, got.values()))
+
+
+def test_lanes():
+    text = " ".join(f"w{i}" for i in range(40_000))
+    assert int(simhash.lanes_of(text, 4, 42, 4)[0]) == plain_fingerprint(text)
+    assert len(set(simhash.lanes_of(text, 5, 42, 4).tolist())) == 4
+    other = " ".join(f"w{i}" for i in range(4_000, 44_000))  # Jaccard 0.82
+    share, most = simhash.radius(0.8, 4)
+    assert np.bitwise_count(simhash.lanes_of(text, 5, 42, 4) ^ simhash.lanes_of(other, 5, 42, 4)).sum() <= most + 6
+
+
+def test_rows_are_told_apart_by_id_and_text(spark):
+    """One id on two texts, one text on two ids, repeated rows and null ids."""
+    words = [f"word{i}" for i in range(400)]
+    a, b = " ".join(words[:200]), " ".join(words[200:])
+    near = " ".join([*words[:100], "other", *words[101:200]])
+    rows = [(3, a, "x"), (7, a, "x"), (7, b, "x"), (9, b, "z"), (9, b, "y"), (7, b, "w"), (7, b, "w"), (None, a, "x"), (11, near, "x"), (None, near, "x")]
+    alone = [(None, "a null id on a text of its own is kept", "x"), (None, "and so is another one of these texts", "y")]
+    docs = spark.createDataFrame(rows + alone, "doc_id bigint, text string, lang string").repartition(3)
+    want = sorted([(3, a, "x"), (7, b, "w"), *alone], key=str)
+    for n in (0, 500_000):
+        assert sorted(map(tuple, simhash.one_of_each_group(docs, broadcast_rows=n).collect()), key=str) == want
+    only = spark.createDataFrame([(9, a, "x")] * 50, "doc_id bigint, text string, lang string")
+    assert list(map(tuple, simhash.one_of_each_group(only).collect())) == [(9, a, "x")]
+
+
 def test_near_duplicates_of_odd_rows(odd_docs):
     rows = odd_docs.select("doc_id", "text").collect()
     fps = [plain_fingerprint(r["text"] or "") for r in rows]

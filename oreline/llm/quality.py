@@ -6,12 +6,12 @@ ratio of good against bad. Grouped sums of its probabilities give
 each site's share of good documents: a host's share is drawn to the
 corpus's, a path's to its host's, by Beta priors whose strengths come from
 the spread between hosts and between paths (method of moments). A document's
-posterior joins its own evidence with the prior of its path.
+posterior joins its own evidence with the prior of its path, from which the document itself is left out.
 
 Only the classifier is sampled (``sample`` rows); shares and strengths
 are sums over all documents.
 
-Defined cases: a null or empty text has no evidence of its own (ratio 0); null hosts
+Defined cases: texts of any length are read whole; a null or empty text has no evidence of its own (ratio 0); null hosts
 and paths are groups of their own; without labels of both kinds every ratio
 is 0 and everything is kept; repeated rows count as often as they occur; an empty
 table gives an empty result; other columns pass through or are ignored.
@@ -156,20 +156,23 @@ def _strength(prior: Column) -> Column:
     return F.least(F.lit(1e4), F.greatest(F.lit(1.0), level / F.greatest(spread - chance, F.lit(1e-9)) - 1))
 
 
-def site_priors(scored: DataFrame, prior: float) -> DataFrame:
-    """host, path, host_rate and path_rate from rows with host, path and ratio."""
-    p = 1 / (1 + F.exp(-(F.col("ratio") + F.lit(float(np.log(prior / (1 - prior)))))))
-    paths = cut(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("good")))
+def site_sums(scored: DataFrame, prior: float) -> tuple[DataFrame, float, float, float]:
+    """host, path and the documents and summed probabilities of each path and its host; the corpus's share, and the strengths of hosts and paths."""
+    paths = cut(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(_probability(F.col("ratio"), prior)).alias("good")))
     size = paths.count()
     hosts = cut(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), size)
     rate = hosts.agg((F.sum("good") / F.sum("n")).alias("rate")).first()["rate"]
     if rate is None:
-        return paths.select("host", "path", F.lit(prior).alias("host_rate"), F.lit(prior).alias("path_rate"))
-    drawn = lambda prior, k: (F.col("good") + prior * k) / (F.col("n") + k)
+        return paths.select("host", "path", "n", "good", F.col("n").alias("host_n"), F.col("good").alias("host_good")), prior, 1.0, 1.0
     k_host = hosts.agg(_strength(F.lit(rate)).alias("k")).first()["k"]
-    joined = cut(paths.join(hosts.select("host", drawn(F.lit(rate), F.lit(k_host)).alias("host_rate")), "host"), size)
-    k_path = joined.agg(_strength(F.col("host_rate")).alias("k")).first()["k"]
-    return joined.select("host", "path", "host_rate", drawn(F.col("host_rate"), F.lit(k_path)).alias("path_rate"))
+    joined = cut(paths.join(hosts.select("host", F.col("n").alias("host_n"), F.col("good").alias("host_good")), "host"), size)
+    drawn = (F.col("host_good") + rate * k_host) / (F.col("host_n") + k_host)
+    k_path = joined.withColumn("rate", drawn).agg(_strength(F.col("rate")).alias("k")).first()["k"]
+    return joined, rate, k_host, k_path
+
+
+def _probability(ratio: Column, prior: float) -> Column:
+    return 1 / (1 + F.exp(-(ratio + F.lit(float(np.log(prior / (1 - prior)))))))
 
 
 RESULTS = ("host_rate", "path_rate", "evidence", "quality_score", "keep")
@@ -193,22 +196,32 @@ def scored(
     """``docs`` (without the text if not asked for) and its results, named ``out``, names that ``docs`` must not have.
 
     ``host`` and ``path`` are SQL expressions over ``docs``. A document is kept
-    if its posterior of being good is at least ``threshold``.
+    if its posterior of being good is at least ``threshold``. The rates it is given are those of the other documents
+    of its host and path, so its own evidence counts once.
     """
     evidence, share = learn(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, sample=sample)
     site = lambda x: F.coalesce(F.expr(x).cast("string"), F.lit("\0"))
-    texts = docs.select(F.col(text_col).alias("text"), site(host).alias("host"), site(path).alias("path"))
-    sites = ratios(texts, evidence, out="ratio", keep_text=False)
-    sites = cut(site_priors(sites, share))
-    h, p = unused(docs, "_host", "_path")
-    sites = sites.select(F.col("host").alias(h), F.col("path").alias(p), F.col("host_rate").alias(out[0]), F.col("path_rate").alias(out[1]))
+    h, p, *sums = unused(docs, "_host", "_path", "_n", "_good", "_host_n", "_host_good")
     keyed = ratios(docs.withColumn(h, site(host)).withColumn(p, site(path)), evidence, text_col=text_col, out=out[2], keep_text=keep_text)
+    if keep_text:  # texts are read again rather than written
+        sites = ratios(docs.select(F.col(text_col).alias("text"), site(host).alias("host"), site(path).alias("path")), evidence, out="ratio", keep_text=False)
+    else:
+        keyed = cut(keyed)
+        sites = keyed.select(F.col(h).alias("host"), F.col(p).alias("path"), F.col(out[2]).alias("ratio"))
+    sites, rate, k_host, k_path = site_sums(sites, share)
+    sites = cut(sites.select(F.col("host").alias(h), F.col("path").alias(p), *[F.col(c).alias(s) for c, s in zip(("n", "good", "host_n", "host_good"), sums, strict=True)]))
     # a site table beyond the bound is joined by a shuffle, whose hot keys the engine splits
     joined = keyed.join(F.broadcast(sites) if sites.count() <= broadcast_sites else sites, [h, p])
+    n, good, host_n, host_good = map(F.col, sums)
+    own = _probability(F.col(out[2]), share)
+    # sums less the own document may fall below 0 by rounding
+    host_rate = (F.greatest(host_good - own, F.lit(0.0)) + rate * k_host) / (host_n - 1 + k_host)
+    path_rate = (F.greatest(good - own, F.lit(0.0)) + F.col(out[0]) * k_path) / (n - 1 + k_path)
+    joined = joined.withColumn(out[0], host_rate).withColumn(out[1], path_rate)
     logit = F.col(out[2]) + F.log(F.col(out[1]) / (1 - F.col(out[1])))
     score = F.lit(1.0) if evidence is None else 1 / (1 + F.exp(-logit))
-    own = [c for c in docs.columns if keep_text or c != text_col]
-    return joined.select(*own, *out[:3], score.alias(out[3])).withColumn(out[4], F.col(out[3]) >= threshold)
+    columns = [c for c in docs.columns if keep_text or c != text_col]
+    return joined.select(*columns, *out[:3], score.alias(out[3])).withColumn(out[4], F.col(out[3]) >= threshold)
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host: str = "source", path: str = "lang", **options) -> DataFrame:

@@ -9,7 +9,7 @@ For prediction, embedding and filters are multiplied out to two tables of
 byte pairs, so a position costs two look-ups in place of a product.
 
 Training takes at most ``sample`` windows, from documents picked at a rate for
-each language; that is the only thing sampled.
+each language; that is the only thing sampled. Every window of a text counts in its prediction, however long it is.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; with no
 labelled rows everything is ``und``; repeated rows are predicted as often as they
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ from oreline.llm.common import batched, groups_of_bytes, unused
 
 WINDOW, WIDEST = 128, 4
 STEP = WINDOW - WIDEST + 1
+#: The class of shuffled bytes; no label has a NUL.
+NOISE = "\0noise"
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -157,18 +160,23 @@ class Predictor:
         return best, p[np.arange(len(texts)), best]
 
 
-def training_windows(labelled: DataFrame, *, text_col: str, label_col: str, sample: int, per_document: int = 4, most_labels: int = 1000) -> tuple[np.ndarray, list[str]]:
-    """At most ``sample`` windows with their labels: whole windows and shorter ones, from anywhere in a text.
+def training_windows(labelled: DataFrame, *, text_col: str, label_col: str, sample: int, id_col: str | None = None, per_document: int = 4) -> tuple[np.ndarray, list[str]]:
+    """At most ``sample`` windows, or a document's for each label if those are more, with their labels: whole windows and shorter ones, from anywhere in a text.
 
-    Labels beyond the ``most_labels`` most frequent are not learned.
+    Documents are picked by a hash of id and text, at a rate for each label and at least one, so the sample doesn't
+    depend on how the table is dealt out. Every label is learned.
     """
-    counts = labelled.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(most_labels).collect()
-    if not counts:
+    key = F.xxhash64(*([F.col(id_col).cast("string")] if id_col else []), F.col(text_col))
+    own = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"), key.alias("key"))
+    labels = own.select("label", "key").distinct().groupBy("label").agg(F.count("*").alias("n"), F.min("key").alias("least")).collect()
+    if not labels:
         return np.zeros((0, WINDOW), dtype=np.uint8), []
-    each = max(1, sample // per_document // len(counts))
-    rates = F.create_map(*[F.lit(x) for r in counts for x in (r[label_col], min(1.0, each / r["count"]))])
-    # by row: copies of one text are not all taken together
-    picked = F.rand(7) < F.coalesce(F.try_element_at(rates, F.col(label_col)), F.lit(0.0))
+    sample = max(sample, per_document * len(labels))
+    each = sample // per_document // len(labels)
+    # a row for each class of the network
+    rates = own.sparkSession.createDataFrame([(r["label"], min(1.0, each / r["n"]), r["least"]) for r in labels], "label string, rate double, least bigint")
+    spread = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
+    picked = own.join(F.broadcast(rates), "label").where((spread < F.col("rate")) | (F.col("key") == F.col("least"))).select("text", "label")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,18 +193,41 @@ def training_windows(labelled: DataFrame, *, text_col: str, label_col: str, samp
                     labels.append(label)
             yield pa.RecordBatch.from_arrays([pa.array(windows, pa.binary()), pa.array(labels, pa.string())], names=["window", "label"])
 
-    found = batched(labelled.where(picked).select(text_col, F.col(label_col).cast("string"))).mapInArrow(cut_out, "window binary, label string").limit(2 * sample).toArrow()
-    rows = sorted(zip(found.column("window").to_pylist(), found.column("label").to_pylist(), strict=True), key=lambda r: (zlib.crc32(r[0]), r))[:sample]
-    x = np.frombuffer(b"".join(w for w, _ in rows), dtype=np.uint8).reshape(-1, WINDOW)
-    return x, [label for _, label in rows]
+    # copies of a text give one window each
+    found = batched(picked).mapInArrow(cut_out, "window binary, label string").distinct().orderBy(F.xxhash64("window", "label"), "window", "label").limit(2 * sample).toArrow()
+    rows, seen = [], Counter()
+    for window, label in zip(found.column("window").to_pylist(), found.column("label").to_pylist(), strict=True):
+        rows.append((seen[label], len(rows), window, label))
+        seen[label] += 1
+    rows = sorted(rows)[:sample]  # labels in turn
+    return np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint8).reshape(-1, WINDOW), [r[3] for r in rows]
+
+
+def noise_windows(x: np.ndarray, count: int, seed: int = 3) -> np.ndarray:
+    """Windows of no language: ``count`` of the windows (again from the first, if there are fewer), the bytes of each or its characters in random order."""
+    rng = np.random.default_rng(seed)
+    out = x[np.resize(rng.permutation(len(x)), count)].copy()
+    for i, row in enumerate(out):
+        size = int(np.flatnonzero(row).max(initial=-1)) + 1
+        if i % 2:
+            row[:size] = rng.permutation(row[:size])
+        else:
+            mixed = "".join(rng.permutation(list(row[:size].tobytes().decode(errors="ignore")))).encode()
+            row[:size] = 0
+            row[: len(mixed)] = np.frombuffer(mixed, dtype=np.uint8)
+    return out
 
 
-def learn(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang", sample: int = 12_000, epochs: int = 10) -> ByteCNN | None:
-    """A network trained on ``labelled``, or None if it has no labelled text."""
-    x, labels = training_windows(labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()), text_col=text_col, label_col=label_col, sample=sample)
+def learn(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang", id_col: str | None = None, sample: int = 12_000, epochs: int = 10, noise: bool = False) -> ByteCNN | None:
+    """A network trained on ``labelled``, or None if it has no labelled text; with ``noise`` it has a class ``NOISE``, trained on shuffled windows, as well."""
+    known = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
+    x, labels = training_windows(known, text_col=text_col, label_col=label_col, id_col=id_col, sample=sample)
     if not labels:
         return None
     classes = sorted(set(labels))
+    if noise:
+        extra = noise_windows(x, 2 * -(-len(x) // len(classes)))
+        x, labels, classes = np.concatenate([x, extra]), labels + [NOISE] * len(extra), [*classes, NOISE]
     number = {c: i for i, c in enumerate(classes)}
     return ByteCNN(classes).train(x, np.array([number[v] for v in labels]), epochs=epochs)
 
@@ -236,12 +267,18 @@ def predictions(docs: DataFrame, model: ByteCNN | None, *, text_col: str = "text
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", held_out=None, sample: int = 12_000) -> DataFrame:
     """id_col, held_out, lang_pred, score; learned from the rows where ``held_out`` (a column) is false."""
     held = F.lit(False) if held_out is None else held_out
-    model = learn(docs.where(~held), text_col=text_col, label_col=label_col, sample=sample)
+    model = learn(docs.where(~held), text_col=text_col, label_col=label_col, id_col=id_col, sample=sample)
     return predictions(docs.select(id_col, text_col, held.alias("held_out")), model, text_col=text_col).drop(text_col)
 
 
-def keep_identified(docs: DataFrame, *, text_col: str = "text", label_col: str = "lang", sample: int = 12_000, least_score: float = 0.3) -> DataFrame:
-    """The documents that have a language, with a score of ``least_score`` at least; columns as they were."""
+def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = 12_000, sure: float = 0.99) -> DataFrame:
+    """The documents that have a language; columns as they were.
+
+    Rejected are null texts, texts without a letter and those that the network holds for shuffled bytes with probability ``sure`` or more, which
+    doesn't depend on the number of languages. Without labelled rows nothing is known of any language and everything is rejected.
+    Null ids and repeated rows are judged by their text like any other.
+    """
     lang, score = unused(docs, "lang_pred", "score")
-    found = predictions(docs, learn(docs, text_col=text_col, label_col=label_col, sample=sample), text_col=text_col, out=(lang, score))
-    return found.where((F.col(lang) != "und") & (F.col(score) >= least_score)).select(*docs.columns)
+    model = learn(docs, text_col=text_col, label_col=label_col, id_col=id_col, sample=sample, noise=True)
+    found = predictions(docs, model, text_col=text_col, out=(lang, score))
+    return found.where((F.col(lang) != "und") & ((F.col(lang) != NOISE) | (F.col(score) < sure))).select(*docs.columns)

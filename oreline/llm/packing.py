@@ -7,9 +7,10 @@ computes lower bounds from dual feasible functions over its lengths. A
 partition whose bin count meets its bound is certified and keeps its bins, but
 for the least filled one; a partition with a gap keeps only its full bins.
 What they give up is pooled, dealt anew to fewer partitions and packed again,
-until one partition is left or nothing is gained.
+until one partition is left or a round settles less than a quarter of its rows; then all
+bins stand as they are.
 
-Defined cases: a null text counts as empty (just the separator); repeated rows
+Defined cases: texts of any length are tokenized whole; a null text counts as empty (just the separator); repeated rows
 are packed as often as they occur; an empty table gives an empty result; other
 columns are ignored.
 """
@@ -38,6 +39,13 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: The split of a ByteLevel pre-tokenizer with use_regex, as published, and as it's written with its endings factored out.
+BYTE_LEVEL = (
+    r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",
+    r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",
+)
+
+
 @functools.cache
 def token_encoder(tokenizer_path: str, pattern: str):
     """A function from text to ids as the ``tokenizers`` file defines them.
@@ -52,9 +60,10 @@ def token_encoder(tokenizer_path: str, pattern: str):
     symbols, vocab = byte_symbols(), model["vocab"]
     merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
     pre = spec["pre_tokenizer"]
+    bare = not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
     in_order = all(vocab["".join(m)] == 256 + i for i, m in enumerate(merges))
     plain = pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and not spec["normalizer"] and not model["ignore_merges"]
-    if in_order and plain:
+    if in_order and plain and bare and pattern in BYTE_LEVEL:
         import tiktoken
 
         ranks = {bytes(symbols[c] for c in t): i for t, i in vocab.items() if t not in special}
@@ -159,23 +168,27 @@ def lower_bound(lengths: np.ndarray, capacity: int, most_k: int = 24) -> int:
     return best
 
 
-def _repack(pdf: pd.DataFrame, capacity: int, base: int, last: bool) -> pd.DataFrame:
+def _repacker(capacity: int, base: int, last: bool):
     """One partition's round: pack, certify, and say which rows it gives up."""
-    lengths = pdf["length"].to_numpy()
-    bins, offsets, count = best_fit_decreasing(lengths, capacity)
-    bound = lower_bound(lengths, capacity)
-    fill = np.bincount(bins, weights=lengths, minlength=count).astype(np.int64)
-    given = np.zeros(count, dtype=bool)
-    if not last:
-        if count > bound:
-            given = fill < capacity
-        elif count:
-            given[np.argmin(fill)] = fill.min() < capacity
-    part = int(pdf["part"].iloc[0])
-    return pdf.assign(sequence_id=base + (part << 32) + bins, offset=offsets, given_up=given[bins], bins=count, bound=bound)
-
-
-def pack(pieces: DataFrame, *, capacity: int = 2048, per_partition: int = 8192, most_rounds: int = 6) -> DataFrame:
+
+    def repack(pdf: pd.DataFrame) -> pd.DataFrame:
+        lengths = pdf["length"].to_numpy()
+        bins, offsets, count = best_fit_decreasing(lengths, capacity)
+        bound = lower_bound(lengths, capacity)
+        fill = np.bincount(bins, weights=lengths, minlength=count).astype(np.int64)
+        given = np.zeros(count, dtype=bool)
+        if not last:
+            if count > bound:
+                given = fill < capacity
+            elif count:
+                given[np.argmin(fill)] = fill.min() < capacity
+        part = int(pdf["part"].iloc[0])
+        return pdf.assign(sequence_id=base + (part << 32) + bins, offset=offsets, given_up=given[bins], bins=count, bound=bound)
+
+    return repack
+
+
+def pack(pieces: DataFrame, *, capacity: int = 2048, per_partition: int = 8192) -> DataFrame:
     """Add sequence_id and offset to rows that have a ``length`` of 1 to ``capacity``.
 
     ``pieces`` should be materialized. ``per_partition`` bounds what one task packs at once.
@@ -186,19 +199,16 @@ def pack(pieces: DataFrame, *, capacity: int = 2048, per_partition: int = 8192,
     whole = pieces.where(F.col("length") == capacity).select(*names, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     done = [whole]
     pool, before = pieces.where(F.col("length") < capacity), None
-    for step in range(1, most_rounds + 1):
-        size = pool.count()
-        if not size:
-            break
+    step, last = 0, False
+    while not last and (size := pool.count()):
+        step += 1
         parts = -(-size // per_partition)
-        last = parts == 1 or step == most_rounds or size == before
-        base = -(step << 58)  # whole pieces have the ids from 0, each round its own range below
+        last = parts == 1 or (before is not None and 4 * size > 3 * before)
+        base = -(step << 57)  # whole pieces have the ids from 0, each round its own range below
         dealt = pool.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)))
-        packed = cut(dealt.groupBy("part").applyInPandas(functools.partial(_repack, capacity=capacity, base=base, last=last), schema).coalesce(parts))
+        packed = cut(dealt.groupBy("part").applyInPandas(_repacker(capacity, base, last), schema).coalesce(parts))
         done.append(packed.where(~F.col("given_up")).select(*names, "sequence_id", "offset"))
         pool, before = packed.where("given_up").select(*names), size
-        if last:
-            break
     return functools.reduce(DataFrame.unionByName, done)
 
 

@@ -167,26 +167,25 @@ class MergeReplay:
 
 
 class TextEncoder:
-    """Encodes whole texts; remembers about ``remember`` chunks between calls.
+    """Encodes whole texts; between calls it remembers chunks of at most ``LONGEST`` characters, ``remember`` bytes of them.
 
     A chunk is a text's part between single spaces, with the space before it.
     No pre-token spans such a border, so a chunk's ids do not depend on what
     stands around it. Texts with other white space runs are split by the pattern itself.
     """
 
-    def __init__(self, rank_path: str, pattern: str, remember: int = 600_000):
+    LONGEST = 128
+    #: About what an entry takes beside its characters and ids.
+    ENTRY = 180
+
+    def __init__(self, rank_path: str, pattern: str, remember: int = 160 << 20):
         self.replay = MergeReplay(load_ranks(rank_path))
         self.split = regex.compile(pattern).findall
         self.remember = remember
+        self.held = 0  # bytes, estimated
         self.spaced: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
 
-    def _room(self, known: dict[str, bytes], wanted: set[str]) -> dict[str, bytes]:
-        """``known``, or if that is full the part of it that is wanted again."""
-        if len(known) + len(wanted) <= self.remember:
-            return known
-        return {x: known[x] for x in wanted if x in known}
-
     def _learn(self, spaced: list[str], bare: list[str], pieces: set[str]) -> None:
         chunks = [self.split(" " + x) for x in spaced] + [self.split(x) for x in bare]
         words = list(set(itertools.chain.from_iterable(chunks)) | pieces)
@@ -198,6 +197,19 @@ class TextEncoder:
         self.bare.update((x, join(map(get, c))) for x, c in zip(bare, chunks[len(spaced) :], strict=True))
         self.bare.update((x, of[x]) for x in pieces)
 
+    def _forget(self, new: list[tuple[dict[str, bytes], list[str]]]) -> None:
+        """Drop long chunks, and everything if the chunks held are more than ``remember`` bytes."""
+        for known, added in new:
+            for x in added:
+                if len(x) > self.LONGEST:
+                    del known[x]
+                else:
+                    self.held += self.ENTRY + 2 * len(x) + len(known[x])
+        if self.held > self.remember:
+            self.spaced.clear()
+            self.bare.clear()
+            self.held = 0
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
         cut: list[tuple[bool, list[str]]] = []
@@ -214,14 +226,14 @@ class TextEncoder:
                 cut.append((True, own))
                 bare.add(own[0])
                 spaced.update(own[1:])
-        self.spaced = self._room(self.spaced, spaced)
-        self.bare = self._room(self.bare, bare | pieces)
         spaced_new = [x for x in spaced if x not in self.spaced]
         bare_new = [x for x in bare if x not in self.bare]
         pieces = {x for x in pieces if x not in self.bare}
         self._learn(spaced_new, bare_new, pieces)
         join, get_s, get_b = b"".join, self.spaced.__getitem__, self.bare.__getitem__
-        return [join([get_b(own[0]), *map(get_s, own[1:])]) if plain else join(map(get_b, own)) for plain, own in cut]
+        out = [join([get_b(own[0]), *map(get_s, own[1:])]) if plain else join(map(get_b, own)) for plain, own in cut]
+        self._forget([(self.spaced, spaced_new), (self.bare, list(pieces.union(bare_new)))])
+        return out
 
 
 _encoders: dict[tuple, TextEncoder] = {}

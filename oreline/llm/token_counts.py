@@ -1,7 +1,7 @@
 """Token counts by a map-side two-tier lookup (operator 8).
 
 First pass: every task counts its chunks (a text's parts between single
-spaces) and hands on its most frequent ones; their sums give the most frequent
+spaces, up to 64 characters) and hands on its ``per_task`` most frequent ones, a bounded table and not the texts'; their sums give the most frequent
 chunks of the corpus, at most ``frequent`` of them, whose lengths in tokens are
 broadcast as one compact table. Second pass: a text's count is the sum over
 its chunks, looked up in that table, then in the worker's own cache of
@@ -12,6 +12,9 @@ another character, so no merge crosses the border before a space. Texts with
 repeated, leading or trailing spaces or with the space mark itself are given to
 the tokenizer whole.
 
+Caches are bounded in bytes and keep no long chunks, so texts of any length, with or without spaces, are
+counted whole in bounded memory.
+
 Defined cases: null or empty text has 0 bytes and 0 tokens; repeated rows are
 counted again; an empty table gives an empty result; other columns are ignored.
 """
@@ -33,6 +36,10 @@ SPACE_MARK = "▁"
 _processors: dict[str, object] = {}
 _misses: dict[str, dict[str, int]] = {}
 
+LONGEST = 64
+#: About what a cached chunk takes beside its characters.
+ENTRY = 150
+
 
 def processor(model_path: str):
     """This process's tokenizer; raises if its vocabulary doesn't allow splitting at spaces."""
@@ -63,7 +70,8 @@ def frequent_lengths(docs: DataFrame, model_path: str, text_col: str, frequent:
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t and plain(t):
-                    seen.update(t.split(" "))
+                    own = t.split(" ")
+                    seen.update(own if max(map(len, own)) <= LONGEST else [x for x in own if len(x) <= LONGEST])
                     if len(seen) > held:  # forget the rarest; this can only cost speed
                         seen = Counter(dict(seen.most_common(held // 4)))
         top = seen.most_common(per_task)
@@ -93,15 +101,15 @@ def count_tokens(
     limit: int = 4096,
     frequent: int = 32_768,
     per_task: int = 4_096,
-    remember: int = 800_000,
+    remember: int = 96 << 20,
     group_bytes: int = 4 << 20,
 ) -> DataFrame:
     """Return ``id_col``, ``n_bytes``, ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens).
 
     The broadcast table holds ``frequent`` chunks of at most 64 bytes, so at
-    most about 2 MB. ``remember`` bounds each worker's cache of misses.
+    most about 2 MB. ``remember`` bounds the bytes of each worker's cache of misses.
     """
-    table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, model_path, text_col, frequent, per_task, remember))
+    table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, model_path, text_col, frequent, per_task, remember // (ENTRY + LONGEST)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = processor(model_path)
@@ -119,13 +127,13 @@ def count_tokens(
                     if p:
                         new.update(p)
                 new.difference_update(first)
-                if len(misses) + len(new) > remember:
-                    kept = {x: misses[x] for x in new if x in misses}
-                    misses.clear()
-                    misses.update(kept)
                 missing = [x for x in new if x not in misses]
-                misses.update(zip(missing, map(len, sp.encode(missing, num_threads=1)), strict=True) if missing else ())
-                lengths = first | {x: misses[x] for x in new}
+                counted = dict(zip(missing, map(len, sp.encode(missing, num_threads=1)), strict=True)) if missing else {}
+                lengths = first | {x: misses[x] for x in new if x in misses} | counted
+                short = {x: n for x, n in counted.items() if len(x) <= LONGEST}
+                if (len(misses) + len(short)) * (ENTRY + LONGEST) > remember:
+                    misses.clear()
+                misses.update(short)
                 get = lengths.__getitem__
                 counts = [sum(map(get, p)) if p else len(sp.encode(t)) for p, t in zip(parts, own, strict=True)]
                 n_bytes = [len(t.encode()) for t in own]

@@ -38,7 +38,52 @@ def test_languages_kept(odd_docs):
     kept = langid.keep_identified(odd_docs)
     assert kept.columns == odd_docs.columns
     ids = Counter(r["doc_id"] for r in kept.collect())
-    assert not {3, 4, 5} & set(ids) and ids[8] == 2 and ids[None] == 1
+    assert not {3, 4, 5} & set(ids) and ids[8] in (0, 2) and ids[1] == ids[2] == 1
+
+
+def test_shuffled_text_is_rejected(spark):
+    """A language of its own is kept, its shuffled bytes are not; good documents stay."""
+    docs, labels = docs_of(spark, "/root/testdata/sf0.01"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rng = np.random.default_rng(2)
+    texts = [r["text"] for r in docs.where("length(text) > 1500").orderBy("doc_id").limit(20).collect()]
+    mixed = ["".join(rng.permutation(list(t.lower()))) for t in texts]
+    more = spark.createDataFrame([(10**9 + i, t, None, None, len(t)) for i, t in enumerate(mixed)], docs.schema)
+    kept = langid.keep_identified(docs.unionByName(more), sure=0.8).select("doc_id").cache()
+    assert kept.where(f"doc_id >= {10**9}").count() <= 2
+    good = docs.join(labels.where("quality = 1"), "doc_id")
+    assert good.join(kept, "doc_id", "left_anti").count() == 0
+    kept = langid.keep_identified(docs)
+    assert good.join(kept, "doc_id", "left_anti").count() == 0
+
+
+def test_every_label_is_learned(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)} text of its own " * 3, f"l{i}") for i in range(60)] * 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    x, labels = langid.training_windows(docs, text_col="text", label_col="lang", id_col="doc_id", sample=8)
+    assert set(labels) == {f"l{i}" for i in range(60)} and len(labels) <= 240
+    again, _ = langid.training_windows(docs.repartition(7), text_col="text", label_col="lang", id_col="doc_id", sample=8)
+    assert np.array_equal(x, again)  # whatever the partitions
+
+
+def test_whole_texts_by_the_network_itself():
+    """Predictions of whole texts against the network, window by window, without tables or batches."""
+    net = langid.ByteCNN(["a", "b", "c"], seed=5)
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (1, 3, 4, 127, 128, 129, 400, 5_000)]
+    want = []
+    for t in texts:
+        total, weight, lo = np.zeros(3), 0, 0
+        while lo == 0 or lo + langid.WIDEST - 1 < len(t):
+            part = t[lo : lo + langid.WINDOW]
+            x = np.frombuffer(part.ljust(langid.WINDOW, b"\0"), dtype=np.uint8)[None]
+            logits = np.maximum((net._columns(x) @ net.w["conv"] + net.w["bias"]).max(axis=1), 0)[0] @ net.w["out"] + net.w["out_bias"]
+            total += len(part) * (logits - np.log(np.exp(logits).sum()))
+            weight += len(part)
+            lo += langid.STEP
+        p = np.exp(total / weight)
+        want.append((int(p.argmax()), float(p.max() / p.sum())))
+    best, score = net.table().predict(texts)
+    assert best.tolist() == [k for k, _ in want] and np.allclose(score, [s for _, s in want], atol=1e-4)
 
 
 def test_pair_tables_are_the_network():
@@ -96,11 +141,57 @@ def test_quality_of_odd_rows(spark, odd_docs, no_docs):
     assert quality.keep_good(odd_docs, labels.limit(0)).count() == odd_docs.count()
 
 
-def test_sparse_sites_are_drawn_to_their_hosts(spark):
+def posteriors(rows, share):
+    """Rows (host, path, ratio) to (host_rate, path_rate, score), document by document."""
+    p = [1 / (1 + math.exp(-(r + math.log(share / (1 - share))))) for _, _, r in rows]
+
+    def strength(groups):  # (n, good, prior)
+        total = sum(n for n, _, _ in groups)
+        spread = sum(n * (g / n - q) ** 2 for n, g, q in groups) / total
+        chance = sum(q * (1 - q) for _, _, q in groups) / total
+        level = sum(n * q * (1 - q) for n, _, q in groups) / total
+        return min(1e4, max(1.0, level / max(spread - chance, 1e-9) - 1))
+
+    rate = sum(p) / len(p)
+    hosts, paths = {}, {}
+    for (h, q, _), x in zip(rows, p, strict=True):
+        hosts.setdefault(h, []).append(x)
+        paths.setdefault((h, q), []).append(x)
+    k_host = strength([(len(x), sum(x), rate) for x in hosts.values()])
+    k_path = strength([(len(x), sum(x), (sum(hosts[h]) + rate * k_host) / (len(hosts[h]) + k_host)) for (h, _), x in paths.items()])
+    out = []
+    for (h, q, r), x in zip(rows, p, strict=True):
+        host = (sum(hosts[h]) - x + rate * k_host) / (len(hosts[h]) - 1 + k_host)
+        path = (sum(paths[h, q]) - x + host * k_path) / (len(paths[h, q]) - 1 + k_path)
+        out.append((host, path, 1 / (1 + math.exp(-(r + math.log(path / (1 - path)))))))
+    return out
+
+
+def test_posteriors_by_hand(spark):
+    docs, labels = docs_of(spark, "/root/testdata/sf0.001"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    taught = docs_of(spark, "/root/testdata/sf0.01")
+    evidence, share = quality.learn(taught, labels)
+    rows = docs.withColumn("path", F.expr("concat(lang, doc_id % 7)")).collect()
+    ratio = [float(evidence.ratio(quality.features(r["text"])[None])[0]) if r["text"] else 0.0 for r in rows]
+    want = posteriors([(r["source"], r["path"], x) for r, x in zip(rows, ratio, strict=True)], share)
+    real = quality.learn
+    quality.learn = lambda *_, **__: (evidence, share)
+    try:
+        got = {r["doc_id"]: r for r in quality.classify(docs, labels, path="concat(lang, doc_id % 7)").collect()}
+        kept = {r["doc_id"] for r in quality.keep_good(docs, labels, path="concat(lang, doc_id % 7)").collect()}
+    finally:
+        quality.learn = real
+    for r, x, (host, path, score) in zip(rows, ratio, want, strict=True):
+        own = got[r["doc_id"]]
+        assert np.allclose([own["evidence"], own["host_rate"], own["path_rate"], own["quality_score"]], [x, host, path, score], atol=1e-9)
+        assert own["keep"] == (score >= 0.5) == (r["doc_id"] in kept)
+
+
+def test_sparse_sites_are_drawn_to_their_hosts():
     rows = [("big", "p", 3.0)] * 400 + [("bad", "p", -3.0)] * 400 + [("big", "rare", -3.0), ("bad", "rare", 3.0)]
-    r = {(x["host"], x["path"]): x for x in quality.site_priors(spark.createDataFrame(rows, "host string, path string, ratio double"), 0.5).collect()}
-    assert r["big", "p"]["path_rate"] > 0.9 > 0.1 > r["bad", "p"]["path_rate"]
-    assert r["big", "rare"]["path_rate"] > r["bad", "rare"]["path_rate"]
+    rates = dict(zip([r[:2] for r in rows], [x[1] for x in posteriors(rows, 0.5)], strict=True))
+    assert rates["big", "p"] > 0.9 > 0.1 > rates["bad", "p"]
+    assert rates["big", "rare"] > rates["bad", "rare"]  # its own evidence isn't in it
 
 
 def words(text):

@@ -59,6 +59,34 @@ def test_long_words():
         assert ids(ENCODER.encode([t])[0]) == TIK.encode_ordinary(t)
 
 
+def test_caches_are_bounded_in_bytes(spark):
+    """Many long texts without spaces and many short words: whole results, small caches."""
+    rng = np.random.default_rng(6)
+    long = ["".join(map(chr, rng.integers(0x4E00, 0x9000, 4_000))) for _ in range(60)]
+    short = [" ".join(f"w{x}" for x in rng.integers(0, 10**9, 4_000)) for _ in range(6)]
+    own = bpe.TextEncoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, remember=2_000_000)
+    for texts in (long[:30], short[:3], long[30:], short[3:]):
+        assert [ids(x) for x in own.encode(texts)] == [TIK.encode_ordinary(t) for t in texts]
+        assert own.held <= 2_000_000 and all(len(x) <= own.LONGEST for x in [*own.spaced, *own.bare])
+    docs = spark.createDataFrame(list(enumerate(long + short)), "doc_id bigint, text string")
+    out = token_counts.count_tokens(docs, P.path("piece_bpe_32k.model"), remember=100_000).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in out} == {i: len(SP.encode(t)) for i, t in enumerate(long + short)}
+
+
+def test_library_where_the_file_asks_for_it(tmp_path):
+    """A file whose special tokens strip, or another pattern, goes through the library itself."""
+    import json
+
+    spec = json.load(open(P.path("byte_bpe_50k.json")))
+    spec["added_tokens"][0]["lstrip"] = True
+    path = str(tmp_path / "strip.json")
+    json.dump(spec, open(path, "w"))
+    for file, pattern in ((path, P.PATTERN), (P.path("byte_bpe_50k.json"), r"\S+|\s+"), (P.path("byte_bpe_50k.json"), P.PATTERN)):
+        lib = Tokenizer.from_file(file)
+        for t in ("two words  <|endoftext|> more", "it's 12 o'clock"):
+            assert packing.token_encoder(file, pattern)(t).tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
 def test_encode_decode_of_odd_rows(odd_docs):
     out = bpe.encode_decode(odd_docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
     want = Counter()

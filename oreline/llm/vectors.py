@@ -5,7 +5,7 @@ ids. Each pair of a vector block and a query block is one group, so a task holds
 pair at a time whatever the table's size; each block's best rows are merged
 by a window over the query. Of rows with one and the same vector only those of the
 ``k + 1`` smallest ids, one of which may be the query's own, and of each id only k rows can be among a
-query's k best, so others are left out before the exchange; a vector that many rows share stays small.
+query's k best, so others are left out before the exchange: repeats are counted in the map tasks, then ids are ranked.
 """
 
 from __future__ import annotations
@@ -45,17 +45,16 @@ def search(
     scores of its own k best of each query. Vectors are only compared with those of their own length.
 
     Each vector is sent once per query block and each query once per vector block, so blocks
-    are large: up to ``most_rows`` rows or ``most_values`` components, less only while a
-    small table would otherwise not occupy the cluster.
+    are large: up to ``most_rows`` rows or ``most_values`` components, and a quarter of a small table. They
+    don't depend on the cluster.
     """
     size = vectors.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(1)).alias("d")).first()
     most_rows = max(1, min(most_rows, most_values // size["d"]))
-    spread = -(-size["n"] // (2 * vectors.sparkSession.sparkContext.defaultParallelism))
-    rows = min(most_rows, max(least_rows, spread))
+    rows = min(most_rows, max(least_rows, -(-size["n"] // 4)))
     v_blocks, q_blocks = max(1, -(-size["n"] // rows)), max(1, -(-queries.count() // most_rows))
     first = Window.partitionBy("vec").orderBy("id")
-    repeat = F.row_number().over(first) - F.rank().over(first)  # of one id with one vector, from 0
-    vectors = vectors.withColumn("_n", F.dense_rank().over(first)).withColumn("_again", repeat).where((F.col("_n") <= k + 1) & (F.col("_again") < k)).drop("_n", "_again")
+    vectors = vectors.groupBy("vec", "id").agg(F.least(F.count("*"), F.lit(k)).alias("times")).withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1)
+    vectors = vectors.select("id", "vec", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("again"))
     at = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = vectors.select("id", "vec", F.size("vec").alias("d"), at("v", v_blocks).alias("vb"), each(q_blocks).alias("qb"))

@@ -52,7 +52,7 @@ def test_exact_search_of_odd_rows(spark):
 
 def test_nearest_of_odd_rows(spark):
     rows = odd_vectors(np.random.default_rng(2))
-    out = ann.nearest(spark.createDataFrame(rows, FIELDS), candidates=100_000).collect()
+    out = ann.nearest(spark.createDataFrame(rows, FIELDS), recall=1.0).collect()
     want = brute(rows, cosine, 5, False)
     got = by_query(out, 9)
     assert {q: [s for s, _ in r] for q, r in got.items()} == {q: [s for s, _ in r] for q, r in want.items()}
@@ -67,7 +67,7 @@ def test_repeats_of_a_query_row_take_no_places(spark, run, measure, zero):
     rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(1, 400)]
     rows += [(50, rows[49][1])] * 9 + [(i, rows[49][1]) for i in (700, 701)]  # more copies than places, and others of that vector
     rows += [(100, rows[99][1])] + [(703, rows[2][1])] * 8  # one copy; a candidate that is repeated
-    out = run(spark.createDataFrame([(i, v, 1, 2, "x", 3) for i, v in rows], FIELDS), **({"candidates": 100_000} if run is ann.nearest else {})).collect()
+    out = run(spark.createDataFrame([(i, v, 1, 2, "x", 3) for i, v in rows], FIELDS), **({"recall": 1.0} if run is ann.nearest else {})).collect()
     digits = 9 if run is ann.nearest else None
     assert by_query(out, digits) == brute(rows, measure, 5, zero)
 
@@ -114,9 +114,13 @@ def test_stopping_on_proof_loses_nothing(few):
         assert set(np.flatnonzero(s >= np.sort(s)[-6]).tolist()) <= set(may.tolist()) or few == 10_000
 
 
+def unit(v):
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 def test_forest_gathers_what_it_is_asked_for():
     rng = np.random.default_rng(0)
-    v = rng.normal(size=(500, 16))
+    v = unit(rng.normal(size=(500, 16)))
     f = ann.Forest(v, 4)
     for least in (1, 50, 5_000):
         for i, rows in enumerate(f.candidates(v[:20], least)):
@@ -124,6 +128,45 @@ def test_forest_gathers_what_it_is_asked_for():
             assert len(rows) == 500 or len(rows) * 4 >= least
 
 
+def figures(v, queries, least_recall=0.97):
+    """Recall of the five nearest other rows, and the share of rows that are scored."""
+    f = ann.Forest(v, 192)
+    rows = f.candidates(v[queries], f.fitted(v, 5, least_recall))
+    hits = 0
+    for q, own in zip(queries, rows, strict=True):
+        s = v @ v[q]
+        s[q] = -2
+        hits += len(set(np.argsort(-s)[:5].tolist()) & set(own.tolist()))
+    return hits / 5 / len(queries), float(np.mean([len(own) for own in rows])) / len(v)
+
+
+def test_recall_and_work_on_the_tables(spark, capsys):
+    """Both figures, taken together, on the test tables' own vectors, which have no structure: an index can't leave out most of so few."""
+    for sf, most in (("0.01", 0.75), ("0.1", 0.6)):
+        table = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet").orderBy("vec_id").collect()
+        v = unit(np.array([r["embedding"] for r in table], dtype=np.float64))
+        recall, share = figures(v, [i for i, r in enumerate(table) if r["vec_id"] % 50 == 0])
+        with capsys.disabled():
+            print(f" sf{sf}: recall {recall:.3f}, share of rows scored {share:.3f}")
+        assert recall >= 0.9 and share <= most
+
+
+def test_little_work_where_vectors_have_groups():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(200, 64))
+    v = unit(centres[rng.integers(0, 200, 8000)] + rng.normal(size=(8000, 64)) * 0.4)
+    recall, share = figures(v, list(range(0, 8000, 50)))
+    assert recall >= 0.9 and share <= 0.05
+
+
+def test_blocks_do_not_depend_on_the_cluster(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(6000, 16)).astype(np.float32))]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    a, b = (sorted(map(tuple, ann.nearest(t, recall=0.5).collect())) for t in (table.coalesce(1), table.repartition(5)))
+    assert a == b
+
+
 @pytest.mark.parametrize("run", [ann.nearest, topk.best])
 def test_few_and_none(spark, run):
     empty = spark.createDataFrame([], "vec_id bigint, embedding array<float>")

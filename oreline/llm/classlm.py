@@ -1,20 +1,22 @@
 """Language-model scores from Brown classes (operator 10).
 
-Learning counts every training word, with a map-side combine. The ``units`` most
-frequent words, the end mark and ``SHAPES`` groups of all other words (by length and last
-byte) are units of the exchange clustering: each is moved to the class that
-raises the class-bigram likelihood most, until nothing moves or 8 rounds are over. ``units`` doesn't
-grow with the input: at 512, most words of a large corpus have their group's class only. A word's probability is
+Learning counts every training word, with a map-side combine. The units of the exchange clustering
+are the ``frequent`` most frequent words of up to 64 bytes, the end mark and ``SHAPES`` groups of all other words (by length and last
+byte). Their neighbour counts are summed as a sparse table, stored in blocks of whole rows. The ``core`` most
+frequent units start the classes, exchanged one by one on a dense table. Then all units are exchanged in
+rounds: with the classes of the round before, a task works out for each unit of its blocks, taken out of its own class, the class
+that raises the class-bigram likelihood most; half of the units may move in a round, and rounds end when
+less than one unit in 500 moves, or after ``rounds``. A word's probability is
 
     L * P(class | class before) * P(word | class) + (1 - L) * P(word)
 
 with add-0.1 emissions. Both emissions are in proportion to the word's count
 plus 0.1, so a text's score is the sum of log10(count + 0.1) over its
 tokens and of a term per pair of neighbouring classes. The pair terms need only the
-classes. Counts of the ``frequent`` most frequent words are broadcast, a bounded
-table; every other word's count comes from a join.
+classes. Counts and classes of the ``frequent`` words are broadcast, a bounded
+table; every other word's count comes from a join, and its class is its group's.
 
-Defined cases: a null or empty text is its end mark alone; with no training
+Defined cases: a null or empty text is its end mark alone; a text of any length is scored whole; with no training
 rows all counts are zero; repeated rows count and are scored as often as they occur; an
 empty table gives an empty result; other columns are ignored; a null id is held out.
 """
@@ -31,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oreline.llm.common import batched, fresh_path, groups_of_bytes
+from oreline.llm.common import batched, fresh_path, groups_of_bytes, remove
 
 END = b""  # no word is empty
 SHAPES = 64
@@ -49,20 +51,23 @@ def shapes_of(words: list[bytes]) -> np.ndarray:
     return np.minimum(lengths, 15) // 2 * 8 + last
 
 
-def word_counts(docs: DataFrame, text_col: str, held: int = 400_000) -> DataFrame:
-    """word (binary), c. Tasks combine their own counts before the exchange."""
+def word_counts(docs: DataFrame, text_col: str, held: int = 400_000, held_bytes: int = 64 << 20) -> DataFrame:
+    """word (binary), c. Tasks combine their own counts, up to ``held`` words or those of ``held_bytes`` of text, before the exchange."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
 
         seen: Counter[bytes] = Counter()
+        size = 0
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 seen.update(tokens_of(t))
-                if len(seen) > held:
+                size += len(t or "")
+                if len(seen) > held or (size > held_bytes and len(seen) > held // 8):
                     yield out()
                     seen.clear()
+                    size = 0
         yield out()
 
     return batched(docs.select(text_col)).mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
@@ -86,8 +91,12 @@ def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(((bytes(r["word"]), r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
+def _h(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1.0))
+
+
 class Exchange:
-    """Exchange clustering of units by their bigram counts; unit 0 keeps a class of its own."""
+    """Exchange clustering of few units by their bigram counts, one by one; unit 0 keeps a class of its own."""
 
     def __init__(self, bigrams: np.ndarray, classes: int):
         self.b = bigrams.astype(np.float64)
@@ -97,12 +106,8 @@ class Exchange:
         self.of = np.zeros(n, dtype=np.int64)
         self.of[order] = np.arange(n - 1) % (self.k - 1) + 1
 
-    @staticmethod
-    def _h(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1.0))
-
-    def run(self, rounds: int = 8) -> np.ndarray:
-        b, k, h = self.b, self.k, self._h
+    def run(self, rounds: int = 4) -> np.ndarray:
+        b, k, h = self.b, self.k, _h
         z = np.eye(k)[self.of]
         to, fro = b @ z, b.T @ z  # each unit's counts before and after each class
         n = z.T @ to
@@ -118,7 +123,7 @@ class Exchange:
                 n[old] -= r
                 n[:, old] -= c
                 n[old, old] -= own
-                left, right = n.sum(axis=1), n.sum(axis=0)
+                left, right = n.sum(axis=1) + c, n.sum(axis=0) + r
                 diag = np.arange(k)
                 gain = (h(n + r) - h(n)).sum(axis=1) + (h(n.T + c) - h(n.T)).sum(axis=1)
                 d = n[diag, diag]
@@ -143,14 +148,173 @@ class Exchange:
         return self.of
 
 
+def best_classes(n: np.ndarray, old: np.ndarray, after: np.ndarray, before: np.ndarray, own: np.ndarray, at_once: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """For each unit the class that raises the likelihood most, and by how much it does so more than its own.
+
+    ``n`` counts pairs of classes; ``old`` is each unit's class or -1, ``after`` and ``before`` its neighbours by
+    class, ``own`` its pairs with itself, which are in ``after`` and ``before`` if it has a class. Class 0 takes no unit.
+    """
+    k, best, more = len(n), np.empty(len(old), dtype=np.int64), np.empty(len(old))
+    diag = np.arange(k)
+    for lo in range(0, len(old), at_once):
+        o, s = old[lo : lo + at_once], own[lo : lo + at_once, None]
+        r, c = after[lo : lo + at_once].copy(), before[lo : lo + at_once].copy()
+        has = np.flatnonzero(o >= 0)
+        r[has, o[has]] -= s[has, 0]
+        c[has, o[has]] -= s[has, 0]
+        m = np.repeat(n[None], len(o), axis=0)
+        m[has, o[has]] -= r[has]
+        m[has, :, o[has]] -= c[has]
+        m[has, o[has], o[has]] -= s[has, 0]
+        left, right, d = m.sum(axis=2) + c, m.sum(axis=1) + r, m[:, diag, diag]
+        hm = _h(m)
+        gain = (_h(m + r[:, None, :]) - hm).sum(axis=2) + (_h(m + c[:, :, None]) - hm).sum(axis=1)
+        gain += _h(d + r + c + s) - _h(d + r) - _h(d + c) + _h(d)
+        gain -= _h(left + r.sum(axis=1, keepdims=True) + s) - _h(left) + _h(right + c.sum(axis=1, keepdims=True) + s) - _h(right)
+        gain[:, 0] = -np.inf
+        best[lo : lo + at_once] = gain.argmax(axis=1)
+        more[lo : lo + at_once] = gain.max(axis=1) - np.where(o >= 0, gain[np.arange(len(o)), o], -np.inf)
+    return best, more
+
+
+class Neighbours:
+    """The sparse table of neighbouring units, by blocks: a row of the stored table holds all pairs of a block's units."""
+
+    def __init__(self, docs: DataFrame, text_col: str, pairs, n_units: int, per_block: int = 256):
+        """``pairs(texts)`` gives the units of neighbouring tokens as one array of unit * n_units + next unit."""
+        self.spark, self.n_units = docs.sparkSession, n_units
+        self.path = fresh_path(self.spark, "neighbours")
+        blocks = -(-n_units // per_block)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def out() -> pa.RecordBatch:
+                key, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+                n = np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64)
+                return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["pair", "n"])
+
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            size = 0
+            for batch in batches:
+                for key in pairs(batch.column(0).to_pylist()):
+                    held.append(np.unique(key, return_counts=True))
+                    size += len(held[-1][0])
+                    if size > 4_000_000:
+                        yield out()
+                        held, size = [], 0
+            if held:
+                yield out()
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def out() -> pa.RecordBatch:
+                columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+                return pa.RecordBatch.from_arrays([pa.array([x.astype("<i4" if i < 2 else "<i8").tobytes()], pa.binary()) for i, x in enumerate(columns)], names=["unit", "other", "n"])
+
+            held: list[tuple[np.ndarray, ...]] = []
+            current = None
+            for batch in batches:
+                block, *rest = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+                edges = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)] if len(block) else [0]
+                for lo, hi in zip(edges, edges[1:], strict=False):
+                    if held and block[lo] != current:
+                        yield out()
+                        held = []
+                    current = block[lo]
+                    held.append(tuple(x[lo:hi] for x in rest))
+            if held:
+                yield out()
+
+        summed = batched(docs.select(text_col)).mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+        a, b = F.floor(F.col("pair") / n_units).cast("int"), (F.col("pair") % n_units).cast("int")
+        # a unit's pair with the one after it, and, as ~other, with the one before
+        sides = F.explode(F.array(F.struct(a.alias("unit"), b.alias("other")), F.struct(b.alias("unit"), F.bitwise_not(a).alias("other")))).alias("x")
+        rows = summed.select(sides, "n").select((F.col("x.unit") % blocks).alias("block"), "x.unit", "x.other", "n")
+        rows.repartition("block").sortWithinPartitions("block").mapInArrow(pack, "unit binary, other binary, n binary").write.parquet(self.path)
+        self.table = self.spark.read.parquet(self.path)
+
+    @staticmethod
+    def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for unit, other, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                yield np.frombuffer(unit, dtype="<i4"), np.frombuffer(other, dtype="<i4"), np.frombuffer(n, dtype="<i8")
+
+    def between(self, group: np.ndarray, k: int) -> np.ndarray:
+        """Counts of pairs of groups (k x k); units of group -1 are left out."""
+        shared = self.spark.sparkContext.broadcast(group.astype(np.int32))
+        arrays = self._arrays
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of, total = shared.value, np.zeros(k * k)
+            for unit, other, n in arrays(batches):
+                keep = other >= 0
+                x, y, n = of[unit[keep]], of[other[keep]], n[keep]
+                known = (x >= 0) & (y >= 0)
+                total += np.bincount(x[known] * np.int64(k) + y[known], weights=n[known], minlength=k * k)
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], names=["cell", "n"])
+
+        out = np.zeros(k * k)
+        found = self.table.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+        shared.unpersist()
+        return out.reshape(k, k)
+
+    def moves(self, class_of: np.ndarray, n: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+        """Units and their new classes: those without a class, and of the others the half whose turn it is."""
+        k = len(n)
+        shared = self.spark.sparkContext.broadcast((class_of.astype(np.int32), n))
+        arrays = self._arrays
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of, n = shared.value
+            for unit, other, count in arrays(batches):
+                free = (unit != 0) & ((of[unit] < 0) | ((unit // 2 + unit + turn) % 2 == 0))
+                unit, other, count = unit[free], other[free], count[free]
+                if not len(unit):
+                    continue
+                units, row = np.unique(unit, return_inverse=True)
+                next_ = other >= 0
+                to = of[np.where(next_, other, ~other)]
+                sums = []
+                for side in (next_ & (to >= 0), ~next_ & (to >= 0)):
+                    sums.append(np.bincount(row[side] * k + to[side], weights=count[side], minlength=len(units) * k).reshape(len(units), k))
+                itself = next_ & (other == unit)
+                own = np.bincount(row[itself], weights=count[itself], minlength=len(units))
+                new, more = best_classes(n, of[units], *sums, own)
+                changed = (new != of[units]) & (more > 1e-6)
+                yield pa.RecordBatch.from_arrays([pa.array(units[changed].astype(np.int32)), pa.array(new[changed].astype(np.int32))], names=["unit", "class"])
+
+        found = self.table.mapInArrow(run, "unit int, class int").toArrow()
+        shared.unpersist()
+        return found.column("unit").to_numpy(), found.column("class").to_numpy()
+
+    def drop(self) -> None:
+        remove(self.spark, self.path)
+
+
+def cluster(table: Neighbours, n_words: int, classes: int, core: int, rounds: int) -> np.ndarray:
+    """The class of every unit: words, the first of which is the end mark, then shapes."""
+    n_units = table.n_units
+    first = np.concatenate([np.arange(min(n_words, core + 1)), np.arange(n_words, n_units)])
+    place = np.full(n_units, -1)
+    place[first] = np.arange(len(first))
+    class_of = np.full(n_units, -1)
+    class_of[first] = Exchange(table.between(place, len(first)), classes).run()
+    k = int(class_of.max()) + 1
+    for turn in range(rounds):
+        units, new = table.moves(class_of, table.between(class_of, k), turn)
+        class_of[units] = new
+        if 500 * len(units) < n_units:
+            break
+    return np.where(class_of < 0, k - 1, class_of)
+
+
 @dataclasses.dataclass
 class ClassModel:
     counts: DataFrame  # word, c: all training words
     n: int
     v: int
-    frequent: dict[bytes, int]  # word to its place in the arrays
-    log_count: np.ndarray
-    unit: np.ndarray
+    frequent: dict[bytes, int]  # word to its unit
+    log_count: np.ndarray  # of each frequent word
     class_of: np.ndarray  # of each unit
     pair: np.ndarray  # log10 of what a pair of classes adds to a word's count term
 
@@ -159,90 +323,75 @@ class ClassModel:
         return float(np.log10(self.n + 0.1 * (self.v + 1)))
 
 
-def _units(words: list[bytes], place: dict[bytes, int], unit: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+def _units(words: list[bytes], place: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """The place (or -1) and the unit of each token."""
     get = place.get
     at = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
-    known = unit[at] if len(unit) else np.zeros(len(at), dtype=np.int64)
-    return at, np.where(at >= 0, known, base + shapes_of(words))
+    u = at.copy()
+    rare = np.flatnonzero(at < 0)
+    u[rare] = len(place) + shapes_of([words[i] for i in rare.tolist()])
+    return at, u
 
 
 def learn(
-    docs: DataFrame, *, text_col: str = "text", frequent: int = 131_072, units: int = 512, classes: int = 32, mix: float = 0.9, group_bytes: int = 4 << 20
+    docs: DataFrame, *, text_col: str = "text", frequent: int = 131_072, core: int = 512, classes: int = 64, rounds: int = 6, mix: float = 0.9, group_bytes: int = 4 << 20
 ) -> ClassModel:
-    """Learn from all rows of ``docs``. To the driver come ``frequent`` words at most, and counts of pairs of units."""
+    """Learn from all rows of ``docs``. To the driver come ``frequent`` words at most, and counts of pairs of classes and of core units."""
     spark = docs.sparkSession
     path = fresh_path(spark, "word-counts")
     word_counts(docs, text_col).write.parquet(path)
     counts = spark.read.parquet(path)
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     top = most_frequent(counts, frequent)
-    named = [END, *[w for w, _ in top if w != END][:units]]
-    base = len(named)  # units from here on are shapes
-    n_units = base + SHAPES
+    end = counts.where(F.octet_length("word") == 0).first()
+    top = [(END, end["c"] if end else 0), *[x for x in top if x[0] != END]]
     place = {w: i for i, (w, _) in enumerate(top)}
-    unit = base + shapes_of([w for w, _ in top]) if top else np.zeros(0, dtype=np.int64)
-    for u, w in enumerate(named):
-        if w in place:
-            unit[place[w]] = u
-    if END not in place:  # nothing to learn from, or few and long texts
-        end = counts.where(F.octet_length("word") == 0).first()
-        top.append((END, end["c"] if end else 0))
-        place[END] = len(place)
-        unit = np.append(unit, 0)
-    shared = spark.sparkContext.broadcast((place, unit))
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, unit = shared.value
-        total = np.zeros(n_units * n_units, dtype=np.int64)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for lo, hi in groups_of_bytes(texts, group_bytes, lambda t: len(t or "")):
-                words: list[bytes] = [END]
-                for t in texts[lo:hi]:
-                    words += tokens_of(t)
-                u = _units(words, place, unit, base)[1]
-                total += np.bincount(u[:-1] * n_units + u[1:], minlength=n_units * n_units)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["pair", "n"])
-
-    bigrams = np.zeros(n_units * n_units, dtype=np.int64)
-    found = batched(docs.select(text_col)).mapInArrow(pairs, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    bigrams[found.column("pair").to_numpy()] = found.column("n").to_numpy()
-    bigrams = bigrams.reshape(n_units, n_units)
-    class_of = Exchange(bigrams, classes).run()
+    n_units = len(top) + SHAPES
+    shared = spark.sparkContext.broadcast(place)
+
+    def pairs(texts: list[str | None]) -> Iterator[np.ndarray]:
+        place = shared.value
+        for lo, hi in groups_of_bytes(texts, group_bytes, lambda t: len(t or "")):
+            words: list[bytes] = [END]
+            for t in texts[lo:hi]:
+                words += tokens_of(t)
+            u = _units(words, place)[1]
+            yield u[:-1] * n_units + u[1:]
+
+    table = Neighbours(docs, text_col, pairs, n_units)
+    class_of = cluster(table, len(top), classes, core, rounds)
     k = int(class_of.max()) + 1
+    follow = table.between(class_of, k)
+    table.drop()
 
     def masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, unit = shared.value
+        place = shared.value
         n, v = np.zeros(n_units, dtype=np.int64), np.zeros(n_units, dtype=np.int64)
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            u = _units(words, place, unit, base)[1]
+            u = _units(batch.column(0).to_pylist(), place)[1]
             np.add.at(n, u, batch.column(1).to_numpy())
             v += np.bincount(u, minlength=n_units)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_units)), pa.array(n), pa.array(v)], names=["unit", "n", "v"])
+        some = np.flatnonzero(v)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(v[some])], names=["unit", "n", "v"])
 
     mass = np.zeros((2, k))
-    for r in batched(counts).mapInArrow(masses, "unit bigint, n bigint, v bigint").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
-        mass[:, class_of[r["unit"]]] += (r["n"], r["v"])
-    z = np.eye(k)[class_of]
-    follow = z.T @ bigrams @ z
+    found = batched(counts).mapInArrow(masses, "unit bigint, n bigint, v bigint").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toArrow()
+    for i, c in enumerate(("n", "v")):
+        mass[i] = np.bincount(class_of[found.column("unit").to_numpy()], weights=found.column(c).to_numpy(), minlength=k)
     p = (follow + 0.5) / (follow.sum(axis=1, keepdims=True) + 0.5 * k)
     pair = np.log10(mix * p / (mass[0] + 0.1 * (mass[1] + 1))[None, :] + (1 - mix) / (totals["n"] + 0.1 * (totals["v"] + 1)))
     log_count = np.log10(np.array([c for _, c in top], dtype=np.float64) + 0.1)
-    return ClassModel(counts, totals["n"], totals["v"], place, log_count, unit, class_of, pair)
+    return ClassModel(counts, totals["n"], totals["v"], place, log_count, class_of, pair)
 
 
 def score(docs: DataFrame, model: ClassModel, *, id_col: str = "doc_id", text_col: str = "text", held_col: str = "held_out", group_bytes: int = 4 << 20) -> DataFrame:
     """id_col, held_col, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    base = int(len(model.class_of)) - SHAPES
-    shared = spark.sparkContext.broadcast((model.frequent, model.unit, model.log_count, model.class_of, model.pair))
+    shared = spark.sparkContext.broadcast((model.frequent, model.log_count, model.class_of, model.pair))
     known_end = model.n > 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, unit, log_count, class_of, pair = shared.value
+        place, log_count, class_of, pair = shared.value
         first = TaskContext.get().partitionId() << 33
         done = 0
         for batch in batches:
@@ -256,7 +405,7 @@ def score(docs: DataFrame, model: ClassModel, *, id_col: str = "doc_id", text_co
                     words += own
                 sizes_ = np.array(sizes)
                 doc = np.repeat(np.arange(len(sizes)), sizes_)
-                at, u = _units(words, place, unit, base)
+                at, u = _units(words, place)
                 cls = class_of[u]
                 before = np.concatenate([[0], cls[:-1]])
                 before[np.cumsum(sizes_)[:-1]] = 0

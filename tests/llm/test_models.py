@@ -222,12 +222,12 @@ def scored(docs, **options):
 @pytest.mark.parametrize("frequent", [131_072, 50, 0])
 def test_scores_by_hand(spark, data, frequent):
     docs = docs_of(spark, data)
-    out = scored(docs, frequent=frequent, units=64, classes=12).collect()
+    out = scored(docs, frequent=frequent, core=64, classes=12).collect()
     check_lm([(r["doc_id"], r["text"]) for r in docs.collect()], out)
 
 
 def test_scores_of_odd_rows(odd_docs, no_docs):
-    out = scored(odd_docs, frequent=10, units=4, classes=4).collect()
+    out = scored(odd_docs, frequent=10, core=4, classes=4).collect()
     check_lm([(r["doc_id"], r["text"]) for r in odd_docs.collect()], out)
     assert all(math.isfinite(r["score"]) for r in out)
     assert scored(no_docs).count() == 0
@@ -243,16 +243,82 @@ def test_probabilities_add_up(spark):
     """After any word, the probabilities of all words and of each class's unseen word are at most 1, and nearly 1."""
     texts = [(i, "a b a b c d " * 5 + "e" * (i % 7)) for i in range(40)]
     docs = spark.createDataFrame(texts, "doc_id bigint, text string")
-    m = classlm.learn(docs, units=3, classes=3)
+    m = classlm.learn(docs, core=3, classes=3)
     all_words = [bytes(r["word"]) for r in m.counts.collect()]
     c = np.array([r["c"] for r in m.counts.collect()])
-    base = len(m.class_of) - classlm.SHAPES
-    cls = m.class_of[classlm._units(all_words, m.frequent, m.unit, base)[1]]
+    cls = m.class_of[classlm._units(all_words, m.frequent)[1]]
     for before in sorted(set(cls.tolist())):
         total = ((c + 0.1) * 10 ** m.pair[before, cls]).sum()
         assert 0.9 < total <= 1.0 + 1e-9
 
 
+def test_class_scores_by_hand(spark, data):
+    """The score of every text from plain counts of classes, class pairs and words, given which words are in which class."""
+    rows = [(r["doc_id"], r["text"]) for r in docs_of(spark, data).collect()]
+    docs = docs_of(spark, data).select("doc_id", "text", held_out("doc_id", 10).alias("held_out"))
+    m = classlm.learn(docs.where("not held_out"), frequent=2_000, core=100, classes=12)
+    of = lambda w: int(m.class_of[m.frequent[w] if w in m.frequent else len(m.frequent) + int(classlm.shapes_of([w])[0])])
+    c, pairs, mass, kinds = Counter(), Counter(), Counter(), Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            own = words(t)
+            c.update(own)
+            pairs.update(zip(map(of, [b"", *own]), map(of, own), strict=False))
+    for w, x in c.items():
+        mass[of(w)] += x
+        kinds[of(w)] += 1
+    n, v, k = sum(c.values()), len(c), len(m.pair)
+    after = Counter()
+    for (a, _), x in pairs.items():
+        after[a] += x
+    got = {r["doc_id"]: r["score"] for r in classlm.score(docs, m).collect()}
+    for i, t in rows:
+        total, before = 0.0, of(b"")
+        for w in words(t):
+            x = of(w)
+            step = (pairs[before, x] + 0.5) / (after[before] + 0.5 * k) * (c[w] + 0.1) / (mass[x] + 0.1 * (kinds[x] + 1))
+            total += math.log10(0.9 * step + 0.1 * (c[w] + 0.1) / (n + 0.1 * (v + 1)))
+            before = x
+        assert got[i] == pytest.approx(total, rel=1e-9)
+
+
+def test_rounds_raise_the_likelihood(spark):
+    """Words of two kinds that take turns: all of them, far beyond the core, come out by kind; gains are exact."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"{'ab'[j % 2]}{int(rng.zipf(1.3)) % 400}" for j in range(60)) for _ in range(500)]
+    m = classlm.learn(spark.createDataFrame([(t,) for t in texts], "text string"), core=4, classes=3)
+    kinds = {kind: Counter(int(m.class_of[u]) for w, u in m.frequent.items() if w[:1] == kind) for kind in (b"a", b"b")}
+    top = {kind: x.most_common(1)[0] for kind, x in kinds.items()}
+    assert top[b"a"][0] != top[b"b"][0]
+    assert all(n >= 0.95 * sum(kinds[kind].values()) for kind, (_, n) in top.items())
+
+
+def test_gains_are_those_of_the_likelihood():
+    rng = np.random.default_rng(7)
+    b = rng.poisson(0.4, (30, 30)).astype(float)
+    of = np.concatenate([[0], rng.integers(1, 5, 29)])
+    of[rng.choice(np.arange(1, 30), 4, replace=False)] = -1
+
+    def likelihood(of):
+        known = of >= 0
+        z = np.eye(5)[np.where(known, of, 0)] * known[:, None]
+        n = z.T @ b @ z
+        return classlm._h(n).sum() - classlm._h(n.sum(axis=0)).sum() - classlm._h(n.sum(axis=1)).sum()
+
+    known = of >= 0
+    z = np.eye(5)[np.where(known, of, 0)] * known[:, None]
+    best, more = classlm.best_classes(z.T @ b @ z, of, b @ z, b.T @ z, np.diag(b).copy(), at_once=7)
+    for u in range(1, 30):
+        all_ = []
+        for k in range(1, 5):
+            to = of.copy()
+            to[u] = k
+            all_.append(likelihood(to))
+        assert max(all_) == pytest.approx(all_[best[u] - 1], abs=1e-6)
+        if of[u] >= 0:
+            assert more[u] == pytest.approx(max(all_) - likelihood(of), abs=1e-6)
+
+
 def test_classes_beat_words_alone(spark):
     docs = docs_of(spark, "/root/testdata/sf0.01")
     r = scored(docs).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()

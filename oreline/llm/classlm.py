@@ -51,7 +51,7 @@ def shapes_of(words: list[bytes]) -> np.ndarray:
     return np.minimum(lengths, 15) // 2 * 8 + last
 
 
-def word_counts(docs: DataFrame, text_col: str, held: int = 400_000, held_bytes: int = 64 << 20) -> DataFrame:
+def word_counts(docs: DataFrame, text_col: str, held: int = 300_000, held_bytes: int = 64 << 20) -> DataFrame:
     """word (binary), c. Tasks combine their own counts, up to ``held`` words or those of ``held_bytes`` of text, before the exchange."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,49 +148,98 @@ class Exchange:
         return self.of
 
 
-def best_classes(n: np.ndarray, old: np.ndarray, after: np.ndarray, before: np.ndarray, own: np.ndarray, at_once: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def best_classes(n: np.ndarray, old: np.ndarray, after: np.ndarray, before: np.ndarray, own: np.ndarray, at_once: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """For each unit the class that raises the likelihood most, and by how much it does so more than its own.
 
     ``n`` counts pairs of classes; ``old`` is each unit's class or -1, ``after`` and ``before`` its neighbours by
     class, ``own`` its pairs with itself, which are in ``after`` and ``before`` if it has a class. Class 0 takes no unit.
+    Only cells that a unit's neighbours touch are worked on, so units with few go through together.
     """
     k, best, more = len(n), np.empty(len(old), dtype=np.int64), np.empty(len(old))
-    diag = np.arange(k)
-    for lo in range(0, len(old), at_once):
-        o, s = old[lo : lo + at_once], own[lo : lo + at_once, None]
-        r, c = after[lo : lo + at_once].copy(), before[lo : lo + at_once].copy()
+    touched = np.maximum((after > 0).sum(axis=1), (before > 0).sum(axis=1))
+    order = np.argsort(touched, kind="stable")
+    lo = 0
+    while lo < len(order):
+        hi = min(len(order), lo + max(1, at_once // (k * max(1, int(touched[order[min(len(order), lo + 512) - 1]])))), lo + 512)
+        u = order[lo:hi]
+        o, s = old[u], own[u]
+        at = np.arange(len(u))
         has = np.flatnonzero(o >= 0)
-        r[has, o[has]] -= s[has, 0]
-        c[has, o[has]] -= s[has, 0]
-        m = np.repeat(n[None], len(o), axis=0)
-        m[has, o[has]] -= r[has]
-        m[has, :, o[has]] -= c[has]
-        m[has, o[has], o[has]] -= s[has, 0]
-        left, right, d = m.sum(axis=2) + c, m.sum(axis=1) + r, m[:, diag, diag]
-        hm = _h(m)
-        gain = (_h(m + r[:, None, :]) - hm).sum(axis=2) + (_h(m + c[:, :, None]) - hm).sum(axis=1)
-        gain += _h(d + r + c + s) - _h(d + r) - _h(d + c) + _h(d)
-        gain -= _h(left + r.sum(axis=1, keepdims=True) + s) - _h(left) + _h(right + c.sum(axis=1, keepdims=True) + s) - _h(right)
+        r, c = after[u].copy(), before[u].copy()
+        r[has, o[has]] -= s[has]
+        c[has, o[has]] -= s[has]
+        gain = np.zeros((len(u), k))
+        width = max(1, int(touched[u].max()))
+        for cells, x, y in ((n.T, r, c), (n, c, r)):
+            j = np.argsort(-x, axis=1, kind="stable")[:, :width]  # all that the unit touches
+            v = np.take_along_axis(x, j, axis=1)[:, :, None]
+            m = cells[j]  # unit, touched class, class that might take it
+            m[has, :, o[has]] -= v[has, :, 0]
+            i, t = np.nonzero(j == o[:, None])
+            m[i, t] -= y[i]
+            m[i, t, o[i]] -= s[i]
+            gain += (_h(m + v) - _h(m)).sum(axis=1)
+        d = np.repeat(np.diag(n)[None], len(u), axis=0)
+        d[has, o[has]] -= (r + c)[has, o[has]] + s[has]
+        gain += _h(d + r + c + s[:, None]) - _h(d + r) - _h(d + c) + _h(d)
+        for total, x, y in ((n.sum(axis=1), r, c), (n.sum(axis=0), c, r)):
+            m = total + np.where(o >= 0, 0, 1)[:, None] * y
+            m[has, o[has]] -= x.sum(axis=1)[has] + s[has]
+            gain -= _h(m + (x.sum(axis=1) + s)[:, None]) - _h(m)
         gain[:, 0] = -np.inf
-        best[lo : lo + at_once] = gain.argmax(axis=1)
-        more[lo : lo + at_once] = gain.max(axis=1) - np.where(o >= 0, gain[np.arange(len(o)), o], -np.inf)
+        best[u] = gain.argmax(axis=1)
+        more[u] = gain.max(axis=1) - np.where(o >= 0, gain[at, o], -np.inf)
+        lo = hi
     return best, more
 
 
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of several lists, and the sums of their counts."""
+    if not held:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(n[order], first)
+
+
+def _packed(key: np.ndarray, n: np.ndarray) -> bytes:
+    """Steps of the sorted keys in four planes of bytes, then the counts in eight: high ones are mostly zero and compress."""
+    steps = np.diff(key, prepend=0).astype("<u4")
+    return steps.view(np.uint8).reshape(-1, 4).T.tobytes() + n.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size = len(blob) // 12
+    raw = np.frombuffer(blob, dtype=np.uint8)
+    steps = np.ascontiguousarray(raw[: 4 * size].reshape(4, size).T).view("<u4")[:, 0]
+    return np.cumsum(steps, dtype=np.int64), np.ascontiguousarray(raw[4 * size :].reshape(8, size).T).view("<i8")[:, 0]
+
+
 class Neighbours:
-    """The sparse table of neighbouring units, by blocks: a row of the stored table holds all pairs of a block's units."""
+    """The sparse table of neighbouring units. A row of the stored table holds a block: the units of one remainder, with all units after and before each."""
 
-    def __init__(self, docs: DataFrame, text_col: str, pairs, n_units: int, per_block: int = 256):
-        """``pairs(texts)`` gives the units of neighbouring tokens as one array of unit * n_units + next unit."""
+    def __init__(self, docs: DataFrame, text_col: str, pairs, n_units: int, per_block: int = 256, held_pairs: int = 800_000):
+        """``pairs(texts)`` gives the units of neighbouring tokens as arrays of unit * n_units + next unit."""
         self.spark, self.n_units = docs.sparkSession, n_units
         self.path = fresh_path(self.spark, "neighbours")
-        blocks = -(-n_units // per_block)
+        self.blocks = blocks = -(-n_units // per_block)
+        depth = -(-n_units // blocks)  # a key within a block is below depth * n_units, four bytes
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def out() -> pa.RecordBatch:
-                key, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-                n = np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64)
-                return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["pair", "n"])
+            """A row for each block and side with this task's pairs, once for ``held_pairs`` distinct ones or so."""
+
+            def out(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+                a, b = np.divmod(key, n_units)
+                for side, (x, y) in enumerate(((a, b), (b, a))):
+                    where = (x % blocks * depth + x // blocks) * n_units + y
+                    order = np.argsort(where, kind="stable")
+                    where = where[order]
+                    edges = np.searchsorted(where, np.arange(blocks + 1) * (depth * n_units)).tolist()
+                    rows = [(k, side, _packed(where[lo:hi] - k * depth * n_units, n[order[lo:hi]])) for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)) if hi > lo]
+                    for lo in range(0, len(rows), 64):
+                        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[lo : lo + 64]], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["block", "side", "pairs"])
 
             held: list[tuple[np.ndarray, np.ndarray]] = []
             size = 0
@@ -198,62 +247,71 @@ class Neighbours:
                 for key in pairs(batch.column(0).to_pylist()):
                     held.append(np.unique(key, return_counts=True))
                     size += len(held[-1][0])
-                    if size > 4_000_000:
-                        yield out()
-                        held, size = [], 0
+                    if size > held_pairs:
+                        held = [_summed(held)]
+                        size = len(held[0][0])
+                        if 2 * size > held_pairs:
+                            yield from out(*held[0])
+                            held, size = [], 0
             if held:
-                yield out()
+                yield from out(*_summed(held))
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """A row for each block; what it holds is summed whenever it has grown by ``held_pairs``, so it stays within the pairs there are."""
 
-        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def out() -> pa.RecordBatch:
-                columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-                return pa.RecordBatch.from_arrays([pa.array([x.astype("<i4" if i < 2 else "<i8").tobytes()], pa.binary()) for i, x in enumerate(columns)], names=["unit", "other", "n"])
+                return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), *(pa.array([_packed(*_summed(x))], pa.binary()) for x in held)], names=["block", "after", "before"])
 
-            held: list[tuple[np.ndarray, ...]] = []
-            current = None
+            held: tuple[list, list] = ([], [])
+            current, grown = None, 0
             for batch in batches:
-                block, *rest = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-                edges = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)] if len(block) else [0]
-                for lo, hi in zip(edges, edges[1:], strict=False):
-                    if held and block[lo] != current:
+                for block, side, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                    if current is not None and block != current:
                         yield out()
-                        held = []
-                    current = block[lo]
-                    held.append(tuple(x[lo:hi] for x in rest))
-            if held:
+                        held, grown = ([], []), 0
+                    current = block
+                    held[side].append(_unpacked(blob))
+                    grown += len(held[side][-1][0])
+                    if grown > held_pairs:
+                        held, grown = tuple([_summed(x)] for x in held), 0
+            if current is not None:
                 yield out()
 
-        summed = batched(docs.select(text_col)).mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-        a, b = F.floor(F.col("pair") / n_units).cast("int"), (F.col("pair") % n_units).cast("int")
-        # a unit's pair with the one after it, and, as ~other, with the one before
-        sides = F.explode(F.array(F.struct(a.alias("unit"), b.alias("other")), F.struct(b.alias("unit"), F.bitwise_not(a).alias("other")))).alias("x")
-        rows = summed.select(sides, "n").select((F.col("x.unit") % blocks).alias("block"), "x.unit", "x.other", "n")
-        rows.repartition("block").sortWithinPartitions("block").mapInArrow(pack, "unit binary, other binary, n binary").write.parquet(self.path)
+        rows = batched(docs.select(text_col)).mapInArrow(count, "block int, side int, pairs binary").repartition("block").sortWithinPartitions("block")
+        # readers hold a row group at a time, so groups are small
+        groups = {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 4}
+        rows.mapInArrow(merge, "block int, after binary, before binary").write.options(**groups).parquet(self.path)
         self.table = self.spark.read.parquet(self.path)
 
-    @staticmethod
-    def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        for batch in batches:
-            for unit, other, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                yield np.frombuffer(unit, dtype="<i4"), np.frombuffer(other, dtype="<i4"), np.frombuffer(n, dtype="<i8")
+    def _decoder(self):
+        n_units, blocks = self.n_units, self.blocks
+
+        def units(block: int, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Unit, its neighbour and their count."""
+            key, n = _unpacked(blob)
+            inner, other = np.divmod(key, n_units)
+            return inner * blocks + block, other, n
+
+        return units
 
     def between(self, group: np.ndarray, k: int) -> np.ndarray:
         """Counts of pairs of groups (k x k); units of group -1 are left out."""
         shared = self.spark.sparkContext.broadcast(group.astype(np.int32))
-        arrays = self._arrays
+        units = self._decoder()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of, total = shared.value, np.zeros(k * k)
-            for unit, other, n in arrays(batches):
-                keep = other >= 0
-                x, y, n = of[unit[keep]], of[other[keep]], n[keep]
-                known = (x >= 0) & (y >= 0)
-                total += np.bincount(x[known] * np.int64(k) + y[known], weights=n[known], minlength=k * k)
+            for batch in batches:
+                for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    unit, other, n = units(block, blob)
+                    x, y = of[unit], of[other]
+                    known = (x >= 0) & (y >= 0)
+                    total += np.bincount(x[known] * np.int64(k) + y[known], weights=n[known], minlength=k * k)
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], names=["cell", "n"])
 
         out = np.zeros(k * k)
-        found = self.table.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        found = self.table.select("block", "after").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
         out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
         shared.unpersist()
         return out.reshape(k, k)
@@ -262,26 +320,26 @@ class Neighbours:
         """Units and their new classes: those without a class, and of the others the half whose turn it is."""
         k = len(n)
         shared = self.spark.sparkContext.broadcast((class_of.astype(np.int32), n))
-        arrays = self._arrays
+        units, blocks = self._decoder(), self.blocks
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of, n = shared.value
-            for unit, other, count in arrays(batches):
-                free = (unit != 0) & ((of[unit] < 0) | ((unit // 2 + unit + turn) % 2 == 0))
-                unit, other, count = unit[free], other[free], count[free]
-                if not len(unit):
-                    continue
-                units, row = np.unique(unit, return_inverse=True)
-                next_ = other >= 0
-                to = of[np.where(next_, other, ~other)]
-                sums = []
-                for side in (next_ & (to >= 0), ~next_ & (to >= 0)):
-                    sums.append(np.bincount(row[side] * k + to[side], weights=count[side], minlength=len(units) * k).reshape(len(units), k))
-                itself = next_ & (other == unit)
-                own = np.bincount(row[itself], weights=count[itself], minlength=len(units))
-                new, more = best_classes(n, of[units], *sums, own)
-                changed = (new != of[units]) & (more > 1e-6)
-                yield pa.RecordBatch.from_arrays([pa.array(units[changed].astype(np.int32)), pa.array(new[changed].astype(np.int32))], names=["unit", "class"])
+            for batch in batches:
+                for block, *sides in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    own = np.arange(block, len(of), blocks)  # a unit's place among them is unit // blocks
+                    sums = []
+                    for side, blob in enumerate(sides):
+                        unit, other, count = units(block, blob)
+                        if side == 0:
+                            itself = unit == other
+                            loops = np.bincount(unit[itself] // blocks, weights=count[itself], minlength=len(own))
+                        to = of[other]
+                        known = to >= 0
+                        sums.append(np.bincount(unit[known] // blocks * k + to[known], weights=count[known], minlength=len(own) * k).reshape(len(own), k))
+                    free = np.flatnonzero((own != 0) & ((of[own] < 0) | ((own // blocks + own + turn) % 2 == 0)))
+                    new, more = best_classes(n, of[own[free]], *(x[free] for x in sums), loops[free])
+                    changed = (new != of[own[free]]) & (more > 1e-6)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[free][changed].astype(np.int32)), pa.array(new[changed].astype(np.int32))], names=["unit", "class"])
 
         found = self.table.mapInArrow(run, "unit int, class int").toArrow()
         shared.unpersist()
@@ -334,7 +392,7 @@ def _units(words: list[bytes], place: dict[bytes, int]) -> tuple[np.ndarray, np.
 
 
 def learn(
-    docs: DataFrame, *, text_col: str = "text", frequent: int = 131_072, core: int = 512, classes: int = 64, rounds: int = 6, mix: float = 0.9, group_bytes: int = 4 << 20
+    docs: DataFrame, *, text_col: str = "text", frequent: int = 131_072, core: int = 512, classes: int = 64, rounds: int = 6, mix: float = 0.9, group_bytes: int = 1 << 20
 ) -> ClassModel:
     """Learn from all rows of ``docs``. To the driver come ``frequent`` words at most, and counts of pairs of classes and of core units."""
     spark = docs.sparkSession
@@ -384,7 +442,7 @@ def learn(
     return ClassModel(counts, totals["n"], totals["v"], place, log_count, class_of, pair)
 
 
-def score(docs: DataFrame, model: ClassModel, *, id_col: str = "doc_id", text_col: str = "text", held_col: str = "held_out", group_bytes: int = 4 << 20) -> DataFrame:
+def score(docs: DataFrame, model: ClassModel, *, id_col: str = "doc_id", text_col: str = "text", held_col: str = "held_out", group_bytes: int = 2 << 20) -> DataFrame:
     """id_col, held_col, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.frequent, model.log_count, model.class_of, model.pair))

@@ -29,11 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oreline.llm.common import batched, fresh_path, groups_of_bytes, remove
+from oreline.llm.common import batched, fresh_path, groups_of_bytes, in_few, remove
 
 END = b""  # no word is empty
 SHAPES = 64
@@ -205,14 +206,18 @@ def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def _packed(key: np.ndarray, n: np.ndarray) -> bytes:
-    """Steps of the sorted keys in four planes of bytes, then the counts in eight: high ones are mostly zero and compress."""
+    """Steps of the sorted keys in four planes of bytes, then the counts in eight, compressed: high planes are mostly zero.
+
+    Done here so that the JVM only sees the small result; its codecs would hold each block in buffers outside the heap.
+    """
     steps = np.diff(key, prepend=0).astype("<u4")
-    return steps.view(np.uint8).reshape(-1, 4).T.tobytes() + n.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    planes = steps.view(np.uint8).reshape(-1, 4).T.tobytes() + n.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return zstandard.compress(planes, 1)
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    size = len(blob) // 12
-    raw = np.frombuffer(blob, dtype=np.uint8)
+    raw = np.frombuffer(zstandard.decompress(blob), dtype=np.uint8)
+    size = len(raw) // 12
     steps = np.ascontiguousarray(raw[: 4 * size].reshape(4, size).T).view("<u4")[:, 0]
     return np.cumsum(steps, dtype=np.int64), np.ascontiguousarray(raw[4 * size :].reshape(8, size).T).view("<i8")[:, 0]
 
@@ -279,8 +284,8 @@ class Neighbours:
 
         rows = batched(docs.select(text_col)).mapInArrow(count, "block int, side int, pairs binary").repartition("block").sortWithinPartitions("block")
         # readers hold a row group at a time, so groups are small
-        groups = {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 4}
-        rows.mapInArrow(merge, "block int, after binary, before binary").write.options(**groups).parquet(self.path)
+        groups = {"compression": "none", "parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 4}
+        in_few(rows.mapInArrow(merge, "block int, after binary, before binary"), docs).write.options(**groups).parquet(self.path)
         self.table = self.spark.read.parquet(self.path)
 
     def _decoder(self):
@@ -397,7 +402,7 @@ def learn(
     """Learn from all rows of ``docs``. To the driver come ``frequent`` words at most, and counts of pairs of classes and of core units."""
     spark = docs.sparkSession
     path = fresh_path(spark, "word-counts")
-    word_counts(docs, text_col).write.parquet(path)
+    in_few(word_counts(docs, text_col), docs).write.parquet(path)
     counts = spark.read.parquet(path)
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     top = most_frequent(counts, frequent)

@@ -13,8 +13,62 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from oreline.functions.scalars import url_allowed
+
+#: Fixed values of the manifest format: what digests and ids look like, the splits and the representations there are.
 SHA256 = r"^[0-9a-f]{64}\z"
-IDENT = r"^[a-z0-9][a-z0-9._-]*\z"
+IDENT = r"^[a-z][a-z0-9_-]{2,63}\z"
+SPLITS = ("discovery", "validation", "heldout")
+REPRESENTATIONS = ("raw-bytes", "uint8", "uint16le", "uint32le", "uint64le", "int16le", "int32le", "int64le", "float32-bitcast-le", "float64-bitcast-le")
+
+
+def filled(text: Column | str) -> Column:
+    """Whether a text is there and has more than white space."""
+    return F.coalesce(F.length(F.trim(F.col(text) if isinstance(text, str) else text)) > 0, F.lit(False))
+
+
+def manifest_rules(today: Column | None = None) -> dict[str, Column]:
+    """The rules of a source's record, for rows with the manifest's columns."""
+    c = F.col
+    rebuilt = (c("representation") != "raw-bytes") & c("reconstructible")
+    return {
+        "ident": c("ident").rlike(IDENT),
+        "origin": c("origin").rlike(IDENT),
+        "family": c("family").rlike(IDENT),
+        "split": c("split").isin(*SPLITS),
+        "sha256": c("digest").rlike(SHA256),
+        "positive": c("n_bytes") > 0,
+        "url": url_allowed("url"),
+        **{name: filled(name) for name in ("publisher", "release", "license", "preprocess")},
+        "representation": c("representation").isin(*REPRESENTATIONS),
+        "reconstructible": c("reconstructible").isNotNull(),
+        "recipe": ~F.coalesce(rebuilt, F.lit(False)) | filled("recipe"),
+        "date": valid_date(c("retrieved")),
+        "future": ~valid_date(c("retrieved")) | (F.try_to_date(c("retrieved"), "yyyy-MM-dd") <= (F.current_date() if today is None else today)),
+    }
+
+
+def manifest_structure(rows: DataFrame, least_origins: int = 3) -> DataFrame:
+    """One row: sources and origins, how many of each split, and whether that is enough to be frozen."""
+    each = [F.count_if(F.coalesce(F.col("split") == s, F.lit(False))).alias(s) for s in SPLITS]
+    found = rows.agg(F.count("*").alias("sources"), F.countDistinct("origin").alias("origins"), *each)
+    enough = F.col("origins") >= least_origins
+    for s in SPLITS:
+        enough &= F.col(s) > 0
+    return found.withColumn("complete", enough)
+
+
+def roster(rows: DataFrame, col: str, most: int = 10_000) -> list:
+    """The distinct values of a registry's column, of which there may be ``most``; more raise."""
+    found = [r[0] for r in rows.select(col).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{col} has more than {most} values")
+    return found
+
+
+def with_every(rows: DataFrame, name: str, values: list, kind: str = "string") -> DataFrame:
+    """Each row once with every value of a roster."""
+    return rows.withColumn(name, F.explode(F.array(*[F.lit(v).cast(kind) for v in values]) if values else F.array().cast(f"array<{kind}>")))
 
 
 def violations(rows: DataFrame, keys: list[str], rules: dict[str, Column]) -> DataFrame:
@@ -70,7 +124,7 @@ def identity(value) -> str:
 
 
 def schema_errors(value, spec: dict, path: str = "$") -> list[str]:
-    """Where a value breaks a typed schema: kinds, exact keys, patterns, enums and bounds, all the way down."""
+    """Where a value breaks a typed schema: kinds, exact keys, constants, patterns, enums, bounds, empty values and order, all the way down."""
     kinds = {"object": dict, "array": list, "string": str, "bool": bool, "int": int, "number": (int, float)}
     kind = spec["kind"]
     if value is None and spec.get("nullable"):
@@ -78,6 +132,12 @@ def schema_errors(value, spec: dict, path: str = "$") -> list[str]:
     if not isinstance(value, kinds[kind]) or (kind in ("int", "number") and isinstance(value, bool)):
         return [f"{path}: not {kind}"]
     out = []
+    if "const" in spec and (value != spec["const"] or isinstance(value, bool) != isinstance(spec["const"], bool)):
+        out.append(f"{path}: not {spec['const']!r}")
+    if spec.get("nonempty") and (not value or (kind == "string" and not value.strip())):
+        out.append(f"{path}: empty")
+    if kind == "array" and spec.get("sorted_unique") and any(not isinstance(x, type(y)) or not x < y for x, y in zip(value, value[1:], strict=False)):
+        out.append(f"{path}: not sorted and distinct")
     if "enum" in spec and value not in spec["enum"]:
         out.append(f"{path}: not one of the allowed values")
     if kind == "string" and "pattern" in spec and not re.fullmatch(spec["pattern"], value):
@@ -128,3 +188,27 @@ def verdicts(gates: DataFrame, keys: list[str], gate: str, passed: str) -> DataF
         F.array_join(F.array_sort(F.collect_set(F.when(~F.col(passed), F.col(gate)))), ";").alias("failed"),
         F.when(F.bool_and(passed), "PASS").otherwise("FAIL").alias("verdict"),
     )
+
+
+def provenance(rows: DataFrame, key: str, kind: str, rules: dict[str, Column]) -> DataFrame:
+    """key, kind, complete and missing: the names of the rules that a row breaks, in order, each a condition that must hold."""
+    broken = F.array(*[F.when(~F.coalesce(holds, F.lit(False)), F.lit(name)) for name, holds in sorted(rules.items())])
+    return rows.select(key, kind, F.array_join(F.array_compact(broken), ";").alias("missing")).withColumn("complete", F.col("missing") == "")
+
+
+def isolation(rows: DataFrame, key: str, role: str, sealed: list[str], dimensions: list[str]) -> DataFrame:
+    """Of every row in a sealed role, which of its ``dimensions`` rows in open roles have as well; a null is shared with none.
+
+    Values of open roles are aggregated to one row each before the join, so a value that many rows have costs no more than any other.
+    """
+    is_sealed = F.coalesce(F.col(role).isin(*sealed), F.lit(False))
+    long = rows.select(key, is_sealed.alias("_s"), F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col(d).cast("string").alias("v")) for d in dimensions])).alias("_x"))
+    shared = long.where("not _s and _x.v is not null").select("_x.d", "_x.v").distinct().withColumn("_hit", F.lit(True))
+    hits = long.where("_s").select(key, "_x.d", "_x.v").join(shared, ["d", "v"], "left").groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("_hit"), F.col("d")))), ";").alias("problems"))
+    return hits.withColumn("isolated", F.col("problems") == "")
+
+
+def lineages(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """kind, value, members and first of the rows that share a generator, publisher or producer; nulls share nothing."""
+    long = rows.select("id", F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("value")) for kind, c in columns.items()])).alias("_x"))
+    return long.where("_x.value is not null").groupBy("_x.kind", "_x.value").agg(F.count("*").alias("members"), F.min("id").alias("first"))

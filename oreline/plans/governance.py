@@ -27,26 +27,172 @@ def manifest(t):
     )
 
 
+#: Documents as sources of a corpus, with ids at the edges of what is allowed, and one thing or another missing.
+SOURCES = """src AS (SELECT doc_id,
+    CASE doc_id % 29 WHEN 0 THEN 'ab' WHEN 1 THEN 'abc' WHEN 2 THEN repeat('a', 64) WHEN 3 THEN repeat('a', 65) WHEN 4 THEN '1abc' WHEN 5 THEN 'a.bc' WHEN 6 THEN 'Abc' WHEN 7 THEN 'a_b-1' WHEN 8 THEN NULL ELSE 'doc-' || doc_id END AS ident,
+    'org-' || (doc_id % 11) AS origin, 'fam_' || coalesce(source, '?') AS family, CASE WHEN doc_id % 10 = 0 THEN 'heldout' WHEN doc_id % 10 = 1 THEN 'external' WHEN doc_id % 10 < 4 THEN 'validation' ELSE 'discovery' END AS split,
+    CASE WHEN doc_id % 31 = 0 THEN upper(sha256(text)) ELSE sha256(text) END AS digest, strlen(text)::BIGINT AS n_bytes,
+    CASE doc_id % 37 WHEN 0 THEN 'http://h/' WHEN 1 THEN 'https://u:p@h/' WHEN 2 THEN 'https://h/#f' WHEN 3 THEN 'https:///x' WHEN 4 THEN NULL ELSE 'https://h.example/' || doc_id END AS url,
+    CASE WHEN doc_id % 41 = 0 THEN ' ' ELSE source END AS publisher, CASE WHEN doc_id % 43 = 0 THEN '' ELSE 'r1' END AS release, CASE WHEN doc_id % 47 <> 0 THEN 'cc0' END AS license, 'none' AS preprocess,
+    CASE doc_id % 7 WHEN 0 THEN 'uint16le' WHEN 1 THEN 'text' ELSE 'raw-bytes' END AS representation, CASE WHEN doc_id % 53 <> 0 THEN doc_id % 2 = 0 END AS reconstructible, CASE WHEN doc_id % 3 = 0 THEN 'shift' END AS recipe,
+    CASE doc_id % 59 WHEN 0 THEN '2024-02-30' WHEN 1 THEN '24-1-1' WHEN 2 THEN '2999-01-01' WHEN 3 THEN NULL ELSE '2024-01-15' END AS retrieved, lang FROM documents)"""
+
+
+def sources(t):
+    i = F.col("doc_id")
+
+    def cases(modulus, values, otherwise):
+        out = None
+        for k, v in values.items():
+            v = v if hasattr(v, "alias") else F.lit(v)
+            out = F.when(i % modulus == k, v) if out is None else out.when(i % modulus == k, v)
+        return out.otherwise(otherwise)
+
+    edge = {0: "ab", 1: "abc", 2: "a" * 64, 3: "a" * 65, 4: "1abc", 5: "a.bc", 6: "Abc", 7: "a_b-1", 8: None}
+    return t("documents").select(
+        "doc_id",
+        cases(29, edge, F.concat(F.lit("doc-"), i.cast("string"))).alias("ident"),
+        F.concat(F.lit("org-"), (i % 11).cast("string")).alias("origin"),
+        F.concat(F.lit("fam_"), F.coalesce("source", F.lit("?"))).alias("family"),
+        F.when(i % 10 == 0, "heldout").when(i % 10 == 1, "external").when(i % 10 < 4, "validation").otherwise("discovery").alias("split"),
+        F.when(i % 31 == 0, F.upper(F.sha2("text", 256))).otherwise(F.sha2("text", 256)).alias("digest"),
+        F.octet_length("text").cast("bigint").alias("n_bytes"),
+        cases(37, {0: "http://h/", 1: "https://u:p@h/", 2: "https://h/#f", 3: "https:///x", 4: None}, F.concat(F.lit("https://h.example/"), i.cast("string"))).alias("url"),
+        F.when(i % 41 == 0, " ").otherwise(F.col("source")).alias("publisher"),
+        F.when(i % 43 == 0, "").otherwise("r1").alias("release"),
+        F.when(i % 47 != 0, "cc0").alias("license"),
+        F.lit("none").alias("preprocess"),
+        cases(7, {0: "uint16le", 1: "text"}, F.lit("raw-bytes")).alias("representation"),
+        F.when(i % 53 != 0, i % 2 == 0).alias("reconstructible"),
+        F.when(i % 3 == 0, "shift").alias("recipe"),
+        cases(59, {0: "2024-02-30", 1: "24-1-1", 2: "2999-01-01", 3: None}, F.lit("2024-01-15")).alias("retrieved"),
+        "lang",
+    )
+
+
+IDENT_SQL = "regexp_matches({}, '^[a-z][a-z0-9_-]{{2,63}}$')"
+DATE_SQL = "coalesce(regexp_matches(retrieved, '^\\d{4}-\\d{2}-\\d{2}$') AND try_cast(retrieved AS DATE) IS NOT NULL, false)"
 RULES = {
+    "ident": IDENT_SQL.format("ident"),
+    "origin": IDENT_SQL.format("origin"),
+    "family": IDENT_SQL.format("family"),
+    "split": "split IN ('discovery', 'validation', 'heldout')",
     "sha256": "regexp_matches(digest, '^[0-9a-f]{64}$')",
-    "ident": "regexp_matches(ident, '^[a-z0-9][a-z0-9._-]*$')",
-    "date": "regexp_matches(retrieved, '^\\d{4}-\\d{2}-\\d{2}$') AND try_cast(retrieved AS DATE) IS NOT NULL",
-    "positive": "n_chars > 0",
-    "known_lang": "lang IN ('en', 'de', 'fr')",
+    "positive": "n_bytes > 0",
+    "url": "regexp_matches(url, '^https://[^/@#?\\s]+([/?][^#\\s]*)?$')",
+    **{c: f"trim({c}) <> ''" for c in ("publisher", "release", "license", "preprocess")},
+    "representation": "representation IN ('raw-bytes', 'uint8', 'uint16le', 'uint32le', 'uint64le', 'int16le', 'int32le', 'int64le', 'float32-bitcast-le', 'float64-bitcast-le')",
+    "reconstructible": "reconstructible IS NOT NULL",
+    "recipe": "NOT coalesce(representation <> 'raw-bytes' AND reconstructible, false) OR coalesce(trim(recipe) <> '', false)",
+    "date": DATE_SQL,
+    "future": f"NOT {DATE_SQL} OR try_cast(retrieved AS DATE) <= current_date",
 }
 
 
-@query("manifest_violations", f"WITH {MANIFEST} " + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS rule FROM man WHERE NOT coalesce({v}, false)" for k, v in RULES.items()))
+@query("manifest_violations", f"WITH {SOURCES} " + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS rule FROM src WHERE NOT coalesce({v}, false)" for k, v in RULES.items()))
 def manifest_violations(t):
-    """One row per document and rule that its manifest entry breaks."""
-    rules = {
-        "sha256": F.col("digest").rlike(govern.SHA256),
-        "ident": F.col("ident").rlike(govern.IDENT),
-        "date": govern.valid_date(F.col("retrieved")),
-        "positive": F.col("n_chars") > 0,
-        "known_lang": F.col("lang").isin("en", "de", "fr"),
+    """One row per source and rule of the manifest that it breaks."""
+    return govern.violations(sources(t), ["doc_id"], govern.manifest_rules())
+
+
+@query("manifest_structure", f"""WITH {SOURCES} SELECT count(*)::BIGINT AS sources, count(DISTINCT origin)::BIGINT AS origins, (count(*) FILTER (WHERE split = 'discovery'))::BIGINT AS discovery, (count(*) FILTER (WHERE split = 'validation'))::BIGINT AS validation,
+    (count(*) FILTER (WHERE split = 'heldout'))::BIGINT AS heldout, count(DISTINCT origin) >= 3 AND bool_or(split = 'discovery') AND bool_or(split = 'validation') AND bool_or(split = 'heldout') AS complete FROM src""")
+def manifest_structure(t):
+    """Whether a manifest has origins and splits enough."""
+    return govern.manifest_structure(sources(t))
+
+
+ENTRIES = """ent AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'git-raw' WHEN 1 THEN 'https-file' WHEN 2 THEN 'archive-extract' WHEN 3 THEN 'host-installed' ELSE 'generate' END AS kind,
+    CASE WHEN doc_id % 5 = 0 AND doc_id % 15 <> 0 THEN coalesce(source, 'none') || '/repo' END AS repository, CASE WHEN doc_id % 4 <> 0 THEN 'c1' END AS "commit", 'p' AS path, CASE WHEN doc_id % 6 <> 0 THEN 'https://h/' END AS url, CASE WHEN doc_id % 8 <> 2 THEN 'a.zip' END AS archive,
+    CASE WHEN doc_id % 9 <> 3 THEN 'pkg' END AS host_install, CASE WHEN doc_id % 17 <> 0 THEN true END AS git_tracked, doc_id % 13 = 0 AS executable, CASE WHEN doc_id % 26 = 0 THEN 't' END AS toolchain, CASE WHEN doc_id % 5 = 4 AND doc_id % 20 <> 4 OR doc_id % 35 = 0 THEN 's' || (doc_id % 3) END AS synthetic,
+    doc_id % 2 = 0 AS counted, CASE WHEN doc_id % 14 <> 0 THEN 'd' END AS counts_digest, CASE WHEN doc_id % 10 = 0 THEN 'heldout' WHEN doc_id % 10 = 1 THEN 'external' WHEN doc_id % 10 = 2 THEN NULL ELSE 'discovery' END AS role,
+    'pub' || (doc_id % 97) AS publisher, 'prj' || (doc_id % 150) AS project, 'rel' || doc_id AS release, lang, CASE doc_id % 4 WHEN 0 THEN 'unknown-no-redistribution' WHEN 1 THEN 'permissive' ELSE 'attribution' END AS status,
+    CASE WHEN doc_id % 12 <> 0 THEN doc_id % 4 <> 0 END AS redistribution, doc_id % 4 >= 2 AS attribution, CASE WHEN doc_id % 18 <> 2 THEN 'by' END AS attribution_text FROM documents)"""
+
+
+def entries(t):
+    i = F.col("doc_id")
+    some = lambda when, value: F.when(when, F.lit(value) if isinstance(value, (str, bool)) else value)
+    kind = F.when(i % 5 == 0, "git-raw").when(i % 5 == 1, "https-file").when(i % 5 == 2, "archive-extract").when(i % 5 == 3, "host-installed").otherwise("generate")
+    return t("documents").select(
+        "doc_id",
+        kind.alias("kind"),
+        some((i % 5 == 0) & (i % 15 != 0), F.concat(F.coalesce("source", F.lit("none")), F.lit("/repo"))).alias("repository"),
+        some(i % 4 != 0, "c1").alias("commit"),
+        F.lit("p").alias("path"),
+        some(i % 6 != 0, "https://h/").alias("url"),
+        some(i % 8 != 2, "a.zip").alias("archive"),
+        some(i % 9 != 3, "pkg").alias("host_install"),
+        some(i % 17 != 0, True).alias("git_tracked"),
+        (i % 13 == 0).alias("executable"),
+        some(i % 26 == 0, "t").alias("toolchain"),
+        some(((i % 5 == 4) & (i % 20 != 4)) | (i % 35 == 0), F.concat(F.lit("s"), (i % 3).cast("string"))).alias("synthetic"),
+        (i % 2 == 0).alias("counted"),
+        some(i % 14 != 0, "d").alias("counts_digest"),
+        F.when(i % 10 == 0, "heldout").when(i % 10 == 1, "external").when(i % 10 == 2, F.lit(None)).otherwise("discovery").alias("role"),
+        F.concat(F.lit("pub"), (i % 97).cast("string")).alias("publisher"),
+        F.concat(F.lit("prj"), (i % 150).cast("string")).alias("project"),
+        F.concat(F.lit("rel"), i.cast("string")).alias("release"),
+        "lang",
+        F.when(i % 4 == 0, "unknown-no-redistribution").when(i % 4 == 1, "permissive").otherwise("attribution").alias("status"),
+        some(i % 12 != 0, i % 4 != 0).alias("redistribution"),
+        (i % 4 >= 2).alias("attribution"),
+        some(i % 18 != 2, "by").alias("attribution_text"),
+    )
+
+
+#: What a source of each kind must have: (kind, column) by rule.
+NEEDED = {"archive": ("archive-extract", "archive"), "commit": ("git-raw", "commit"), "host_install": ("host-installed", "host_install"), "path": ("git-raw", "path"), "repository": ("git-raw", "repository")}
+PROVENANCE = {k: f"kind <> '{kind}' OR {c} IS NOT NULL" for k, (kind, c) in NEEDED.items()} | {
+    "commit": "kind <> 'git-raw' OR \"commit\" IS NOT NULL",
+    "url": "kind NOT IN ('https-file', 'archive-extract') OR url IS NOT NULL",
+    "git_tracked": "git_tracked IS NOT NULL",
+    "toolchain": "NOT executable OR toolchain IS NOT NULL",
+    "synthetic": "(kind = 'generate') = (synthetic IS NOT NULL)",
+    "counts_digest": "NOT counted OR counts_digest IS NOT NULL",
+}
+MISSING_SQL = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN NOT ({v}) THEN '{k}' END" for k, v in sorted(PROVENANCE.items())) + "], lambda x: x IS NOT NULL), ';')"
+
+
+@query("provenance_completeness", f"WITH {ENTRIES}, m AS (SELECT doc_id, kind, {MISSING_SQL} AS missing FROM ent) SELECT doc_id, kind, missing, missing = '' AS complete FROM m")
+def provenance_completeness(t):
+    """What each entry's provenance lacks for its kind of source."""
+    rules = {k: (F.col("kind") != kind) | F.col(c).isNotNull() for k, (kind, c) in NEEDED.items()} | {
+        "url": ~F.col("kind").isin("https-file", "archive-extract") | F.col("url").isNotNull(),
+        "git_tracked": F.col("git_tracked").isNotNull(),
+        "toolchain": ~F.col("executable") | F.col("toolchain").isNotNull(),
+        "synthetic": (F.col("kind") == "generate") == F.col("synthetic").isNotNull(),
+        "counts_digest": ~F.col("counted") | F.col("counts_digest").isNotNull(),
     }
-    return govern.violations(manifest(t), ["doc_id"], rules)
+    return govern.provenance(entries(t), "doc_id", "kind", rules)
+
+
+@query("publisher_isolation", f"""WITH {ENTRIES}, l AS (SELECT doc_id, coalesce(role IN ('heldout', 'external'), false) AS sealed, unnest(['publisher', 'project', 'release', 'lang', 'repository']) AS d, unnest([publisher, project, release, lang, repository]) AS v FROM ent),
+    o AS (SELECT DISTINCT d, v FROM l WHERE NOT sealed AND v IS NOT NULL), p AS (SELECT doc_id, coalesce(string_agg(d, ';' ORDER BY d) FILTER (WHERE o.v IS NOT NULL), '') AS problems FROM l LEFT JOIN o USING (d, v) WHERE sealed GROUP BY doc_id)
+    SELECT doc_id, problems, problems = '' AS isolated FROM p""")
+def publisher_isolation(t):
+    """What sealed entries share with open ones."""
+    return govern.isolation(entries(t), "doc_id", "role", ["heldout", "external"], ["publisher", "project", "release", "lang", "repository"])
+
+
+@query("lineage_clusters", f"""WITH {ENTRIES} SELECT kind, value, count(*)::BIGINT AS members, min(doc_id) AS first FROM (SELECT doc_id, unnest(['generator', 'publisher', 'producer']) AS kind, unnest([synthetic, publisher, repository]) AS value FROM ent) WHERE value IS NOT NULL GROUP BY ALL""")
+def lineage_clusters(t):
+    """Entries by shared generator, publisher and producer, whatever their role."""
+    return govern.lineages(entries(t).withColumnRenamed("doc_id", "id"), {"generator": "synthetic", "publisher": "publisher", "producer": "repository"})
+
+
+LICENCE = {"attribution": "NOT attribution OR attribution_text IS NOT NULL", "redistribution": "status <> 'unknown-no-redistribution' OR coalesce(NOT redistribution, false)"}
+
+
+@query("licence_completeness", f"""WITH {ENTRIES}, m AS (SELECT doc_id, status, status <> 'unknown-no-redistribution' OR coalesce(redistribution, false) AS admissible,
+    array_to_string(list_filter([{", ".join(f"CASE WHEN NOT ({v}) THEN '{k}' END" for k, v in LICENCE.items())}], lambda x: x IS NOT NULL), ';') AS missing FROM ent) SELECT doc_id, status, missing, missing = '' AS complete, admissible FROM m""")
+def licence_completeness(t):
+    """What each entry's licence lacks, and whether it may be handed on."""
+    e = entries(t)
+    unknown = F.col("status") == "unknown-no-redistribution"
+    rules = {"attribution": ~F.col("attribution") | F.col("attribution_text").isNotNull(), "redistribution": ~unknown | F.coalesce(~F.col("redistribution"), F.lit(False))}
+    admissible = (~unknown | F.coalesce("redistribution", F.lit(False))).alias("admissible")
+    return govern.provenance(e.select("*", admissible), "doc_id", "status", rules).join(e.select("doc_id", admissible), "doc_id")
 
 
 @query("split_leakage", f"""WITH {MANIFEST} SELECT digest AS key, count(DISTINCT split)::BIGINT AS values, count(*)::BIGINT AS rows, 'origin' AS rule FROM man WHERE digest IS NOT NULL GROUP BY digest HAVING count(DISTINCT split) > 1
@@ -73,7 +219,7 @@ def dedup_keep_first(t):
 def registry_missing(t):
     """Languages and sources without a long document: a registry less what was observed."""
     d = t("documents")
-    universe = d.select("lang").distinct().crossJoin(F.broadcast(d.select("source").distinct()))  # two registries of fixed size
+    universe = govern.with_every(d.select("lang").distinct(), "source", govern.roster(d, "source"))
     return universe.subtract(d.where("n_chars > 5000").select("lang", "source"))
 
 

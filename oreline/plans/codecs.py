@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import io
+import struct
+import zipfile
 import zlib
 from collections.abc import Iterator
 
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 from oreline.operators.codecs import bits, decode_all, encode_all, matches
 from oreline.operators.codecs.registry import REGISTRY
 from oreline.plans.registry import query
-from oreline.sources import census, container
+from oreline.sources import census, container, readers
 
 BLOCK = 4096
 
@@ -97,9 +100,9 @@ def budgeted_selection(t):
 
 @query("container_scan", """SELECT doc_id, ((strlen(text) + 4095) // 4096)::BIGINT AS blocks, strlen(text)::BIGINT AS size FROM documents WHERE text <> ''""")
 def container_scan(t):
-    """Documents written as containers, read again strictly, block by block."""
+    """Documents written as containers, read again strictly: every block is decoded and its CRC compared, and a wrong one raises."""
     files = container.assemble(container.encode_blocks(blocks(t), ["doc_id", "block_id"], "data", (2, 32)), "doc_id", "block_id", BLOCK)
-    return container.inspect(container.scan(files, "doc_id"), "doc_id").select("doc_id", "blocks", "size")
+    return container.inspect(container.scan(files, "doc_id", with_data=True), "doc_id").select("doc_id", "blocks", "size")
 
 
 @query("crc32_blocks")
@@ -134,13 +137,48 @@ def packing_roundtrip(t):
     return groups.mapInArrow(run, "l_suppkey bigint, part bigint, n bigint, width bigint, size bigint, ok boolean")
 
 
-@query("embedded_stream_census", """SELECT 'gzip' AS kind, count(*)::BIGINT AS streams, count(*)::BIGINT AS verified, sum(strlen(html))::BIGINT AS plain_bytes FROM pages WHERE html <> ''""")
+#: Which container a page's bytes are put into, by its id.
+PLANTED = "CASE page_id % 5 WHEN 0 THEN 'gzip' WHEN 1 THEN 'zip' WHEN 2 THEN 'png' WHEN 3 THEN 'zlib' ELSE 'zip' END"
+
+
+def planted(number: int, raw: bytes) -> bytes:
+    """A gzip file, a zip archive with sizes behind the data, a PNG, a zlib stream or an archive with 64-bit sizes."""
+    if number % 5 == 0:
+        return zlib.compress(raw, wbits=31)
+    if number % 5 == 3:
+        return zlib.compress(raw)
+    if number % 5 == 2:
+        chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+        packed = zlib.compress(raw)
+        half = len(packed) // 2
+        return census.PNG + chunk(b"IHDR", bytes(13)) + chunk(b"IDAT", packed[:half]) + chunk(b"IDAT", packed[half:]) + chunk(b"IEND", b"")
+
+    class Pipe(io.RawIOBase):  # can't seek, so sizes follow the data
+        def __init__(self):
+            super().__init__()
+            self.parts = []
+
+        def writable(self):
+            return True
+
+        def write(self, b):
+            self.parts.append(bytes(b))
+            return len(b)
+
+    pipe = Pipe()
+    with zipfile.ZipFile(pipe, "w", zipfile.ZIP_DEFLATED) as z, z.open("page.html", "w", force_zip64=number % 5 == 4) as f:
+        f.write(raw)
+    return b"".join(pipe.parts)
+
+
+@query("embedded_stream_census", f"""SELECT {PLANTED} AS kind, count(*)::BIGINT AS streams, count(*)::BIGINT AS verified, sum(strlen(html))::BIGINT AS plain_bytes FROM pages WHERE html <> '' GROUP BY 1""")
 def embedded_stream_census(t):
-    """Streams found in files that hold a gzip stream each, between other bytes."""
+    """Streams found in files that hold a gzip file, a zip archive, a PNG or a zlib stream each, between other bytes."""
 
     def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b"head" + zlib.compress(h.encode(), wbits=31) + b"tail" for h in batch.column(1).to_pylist()], pa.binary())], names=["path", "content"])
+            files = [b"head" + planted(i, h.encode()) + b"tail" for i, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], names=["path", "content"])
 
     files = t("pages").where("html <> ''").select(F.col("page_id").alias("path"), "html").mapInArrow(wrap, "path bigint, content binary")
     return census.summary(census.census(files)).select("kind", "streams", "verified", "plain_bytes")
@@ -235,13 +273,15 @@ def series_segments_roundtrip(t):
 
 @query("deflate_replay")
 def deflate_replay(t):
-    """Whether each page's deflate stream can be written again from its text, and at which level."""
+    """Whether each page's zlib stream, of a level, window, memory level and strategy by its id, can be written again from its text, and at which settings."""
 
-    def kernel(html):
-        found = census.replay(zlib.compress((html or "").encode(), 6))
-        return (found[0] if found else None), found is not None
+    def kernel(i, html):
+        c = zlib.compressobj(1 + i % 9, zlib.DEFLATED, 15 - i % 3, 9 - i % 2, census.STRATEGIES[i % 5])
+        found = census.replay(c.compress((html or "").encode()) + c.flush())
+        return (*found, True) if found else (None, None, None, None, False)
 
-    return per_row(t("pages").select("page_id", "html"), ["page_id"], kernel, "level bigint, ok boolean")
+    rows = t("pages").select("page_id", F.struct("page_id", "html").alias("x"))
+    return per_row(rows, ["page_id"], lambda x: kernel(x["page_id"], x["html"]), "level bigint, window bigint, memory bigint, strategy bigint, ok boolean")
 
 
 @query("gcd_modulus")
@@ -345,3 +385,22 @@ def invariant_candidates(t):
     last = lambda c: F.lag("i").over(Window.partitionBy("l_suppkey", c).orderBy("i"))
     c = k.select("l_suppkey", "i", last("minus").alias("a"), last("plus").alias("b"))
     return c.groupBy("l_suppkey").agg(F.count("a").alias("minus_matches"), F.count("b").alias("plus_matches"), F.sum(F.col("i") - F.col("a")).alias("minus_distance"))
+
+
+@query("resumed_rows", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'old' END AS version, o_custkey FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0""")
+def resumed_rows(t):
+    """A table of results in which a later run replaces the rows that it has and appends those that were missing."""
+    rows = lambda k, name: t("orders").where(f"o_orderkey % {k} = 0").select("o_orderkey", F.lit(name).alias("version"), "o_custkey")
+    replaced = readers.replace_rows(rows(2, "old"), rows(6, "new"), ["o_orderkey"])
+    return readers.append_missing(replaced, rows(3, "new"), ["o_orderkey"])
+
+
+@query("pin_mismatches", """SELECT 'page-' || page_id AS name, CASE WHEN page_id % 7 = 0 THEN 'missing' ELSE 'differs' END AS problem FROM pages WHERE html IS NOT NULL AND (page_id % 7 = 0 OR page_id % 11 = 0 OR page_id % 13 = 0)""")
+def pin_mismatches(t):
+    """Pages as fetched files, of which some are missing, cut or altered, against their pinned sizes and digests."""
+    i, html = F.col("page_id"), F.col("html")
+    pages = t("pages").where("html is not null")
+    pins = pages.select(F.concat(F.lit("page-"), i.cast("string")).alias("name"), F.octet_length(html).cast("bigint").alias("bytes"), F.md5(html).alias("md5"))
+    content = F.when(i % 11 == 0, F.concat(html, F.lit("x"))).when(i % 13 == 0, F.concat(F.lit("x"), html)).otherwise(html)
+    found = pages.where(i % 7 != 0).select(F.concat(F.lit("/files/page-"), i.cast("string")).alias("path"), F.encode(content, "UTF-8").alias("content"))
+    return readers.verify_pins(found, pins)

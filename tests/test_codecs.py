@@ -1,6 +1,7 @@
 """Codecs and containers: round trips, cuts, mutations."""
 
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -184,9 +185,55 @@ def test_census():
 
 def test_replay():
     text = b"what is replayed must be the same bytes " * 30
-    level, memory = census.replay(zlib.compress(text, 9))
-    c = zlib.compressobj(level, zlib.DEFLATED, 15, memory)
-    assert c.compress(text) + c.flush() == zlib.compress(text, 9)
+    for level, window, memory, strategy in ((9, 15, 8, 0), (1, 12, 9, 0), (4, 15, 5, 1), (6, 14, 8, 2), (7, 9, 8, 3), (0, 15, 8, 0), (6, 15, 9, 4)):
+        c = zlib.compressobj(level, zlib.DEFLATED, window, memory, strategy)
+        stream = c.compress(text) + c.flush()
+        found = census.replay(stream)
+        c = zlib.compressobj(found[0], zlib.DEFLATED, found[1], found[2], found[3])
+        assert c.compress(text) + c.flush() == stream
+    assert census.replay(zlib.compress(text)[:2] + b"\x01\x00\x00\xff\xff" + struct.pack(">I", 1)) is None
+
+
+def cabinet(blocks):
+    """One folder of deflate blocks, each with the block before as its dictionary."""
+    body, before = b"", b""
+    for b in blocks:
+        c = zlib.compressobj(6, zlib.DEFLATED, -15, zdict=before) if before else zlib.compressobj(6, zlib.DEFLATED, -15)
+        packed = b"CK" + c.compress(b) + c.flush()
+        body += struct.pack("<IHH", 0, len(packed), len(b)) + packed
+        before = b
+    head = 36 + 8
+    return census.CABINET + struct.pack("<IIIIBBHHHHH", head + len(body), 0, head, 0, 3, 1, 1, 0, 0, 7, 0) + struct.pack("<IHH", head, len(blocks), 1) + body
+
+
+def test_census_of_harder_files():
+    import io
+    import zipfile
+
+    from oreline.plans.codecs import planted
+
+    text = b"a text that is packed, " * 400
+    for k, kind in enumerate(("gzip", "zip", "png", "zlib", "zip")):
+        (found,) = census.streams(b"head" + planted(k, text) + b"tail")
+        assert found[0] == kind and found[4:] == (len(text), True)
+    (found,) = census.streams(b"xx" + cabinet([text[:500], text[100:700]]) + b"tail")
+    assert found[:2] == ("cab", "folder 0") and found[4:] == (1100, True)
+    # an archive of many entries, one damaged, behind bytes that look like headers
+    z = io.BytesIO()
+    with zipfile.ZipFile(z, "w", zipfile.ZIP_DEFLATED) as f:
+        for i in range(20):
+            f.writestr(f"{i}.txt", text + bytes([i]))
+        f.comment = b"a comment"
+    raw = bytearray(b"\x78\x9c\x78\x9c\x1f\x8b\x08" + z.getvalue())
+    assert [(x[1], x[5]) for x in census.streams(bytes(raw))] == [(f"{i}.txt", True) for i in range(20)]
+    with zipfile.ZipFile(io.BytesIO(z.getvalue())) as f:
+        at = f.infolist()[7].header_offset
+    raw[7 + at + 30 + 5 + 20] ^= 255
+    found = census.streams(bytes(raw))
+    assert len(found) == 20 and not found[7][5] and sum(x[5] for x in found) == 19
+    # candidates in great number, none of them a stream
+    assert census.streams(b"\x78\x9c" * 50_000) == []
+    assert census.streams(z.getvalue()[:200]) and not any(x[5] for x in census.streams(z.getvalue()[:60]))
 
 
 COLUMNS = st.lists(st.one_of(st.integers(-(2**60), 2**60).map(str), st.integers(-5, 5).map(str), st.sampled_from(["-0", "01", "x", "", "é", "1.5"])), min_size=1, max_size=25)

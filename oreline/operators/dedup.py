@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -133,13 +134,31 @@ def similar_sets(sets: DataFrame, id_col: str, num: int = 4, den: int = 5) -> Da
     return found.where(F.col("shared") * den >= F.col("total") * num)
 
 
-def contained(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, chunk_bytes: int = 32 << 20) -> DataFrame:
-    """id_col and item_col where a document holds an item's whole text.
+_finders: dict[str, tuple] = {}
 
-    Items go to the workers in automata of bounded size, one pass over the documents for each.
-    """
+
+def _finder(name: str, rows: list[tuple], anchor: int) -> tuple:
+    """This worker's automaton over the items' first ``anchor`` characters, and the items of each beginning; built once."""
     import ahocorasick
 
+    if name not in _finders:
+        _finders.clear()
+        automaton, items = ahocorasick.Automaton(), {}
+        for item, text in rows:
+            items.setdefault(text[:anchor], {}).setdefault(text, []).append(item)
+        for begin in items:
+            automaton.add_word(begin, begin)
+        automaton.make_automaton()
+        _finders[name] = automaton, items
+    return _finders[name]
+
+
+def contained(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, chunk_bytes: int = 32 << 20, anchor: int = 32) -> DataFrame:
+    """id_col and item_col where a document holds an item's whole text.
+
+    Items go to the workers in sets of at most ``chunk_bytes`` (a longer item is a set of its own), one pass over the documents for each. An
+    automaton finds the first ``anchor`` characters of items, so its size is bounded by their number; the rest is compared in place.
+    """
     rows = items.where(F.octet_length(item_text) > 0).select(item_col, item_text)
     total = rows.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     chunks = max(1, -(-total // chunk_bytes))
@@ -147,23 +166,19 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, ite
     item_kind = items.schema[item_col].dataType.simpleString()
     out = None
     for c in range(chunks):
+        name = uuid.uuid4().hex
         shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in rows.where(F.pmod(F.xxhash64(item_text), F.lit(chunks)) == c).collect()])
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = ahocorasick.Automaton()
-            ids: dict[str, list] = {}
-            for item, text in shared.value:
-                ids.setdefault(text, []).append(item)
-            for text in ids:
-                automaton.add_word(text, text)
-            if ids:
-                automaton.make_automaton()
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            automaton, items = _finder(name, shared.value, anchor) if shared.value else (None, {})
             for batch in batches:
                 at, found = [], []
-                for i, text in enumerate(batch.column(1).to_pylist() if ids else []):
-                    own = sorted({x for _, w in automaton.iter(text or "") for x in ids[w]})
+                for i, text in enumerate(batch.column(1).to_pylist() if items else []):
+                    own = set()
+                    for end, begin in automaton.iter(text or ""):
+                        own.update(x for whole, ids in items[begin].items() if text.startswith(whole, end + 1 - len(begin)) for x in ids)
                     at += [i] * len(own)
-                    found += own
+                    found += sorted(own)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, shared_type)], names=[id_col, item_col])
 
         shared_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]
@@ -186,9 +201,8 @@ def mulmod(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def minhash_signatures(sets: DataFrame, id_col: str, permutations: int = 64) -> DataFrame:
     """id_col and sig: the least of (a h + b) mod 2^61 - 1 over a set's hashes, for each of the permutations."""
-    seeds = [hashlib.blake2b(b"minhash" + i.to_bytes(2, "big"), digest_size=16).digest() for i in range(permutations)]
-    a = np.array([int.from_bytes(s[:8], "big") % (int(PRIME) - 1) + 1 for s in seeds], dtype=np.uint64)
-    b = np.array([int.from_bytes(s[8:], "big") % int(PRIME) for s in seeds], dtype=np.uint64)
+    rng = np.random.default_rng(61)
+    a, b = rng.integers(1, int(PRIME), permutations, dtype=np.uint64), rng.integers(0, int(PRIME), permutations, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -132,19 +132,31 @@ def strided(v: np.ndarray) -> list[tuple[int, int, int]]:
     return found
 
 
+#: Fixed values of the probe: fewest words; strides and lanes looked at; steps of a lane that are looked at, and how many more words
+#: it needs; what a small step is; and the share of them that must be small, in eighths.
+PROBE_WORDS, PROBE_STRIDES, PROBE_LANES, PROBE_STEPS, PROBE_REACH, PROBE_SMALL, PROBE_EIGHTHS = 128, 12, 4, 32, 24, 4096, 7
+
+
 def numeric_probe(v: np.ndarray) -> bool:
-    """Whether some lane of a stride up to 12 moves by small steps: 7 of 8 among its first 32 within 4096."""
-    if len(v) < 128:
+    """Whether some lane of words moves by small steps, over all strides and lanes at once.
+
+    For every stride the differences of words that far apart are one array; a lane's first steps
+    are a slice of a running count of the small ones.
+    """
+    n = len(v)
+    if n < PROBE_WORDS:
         return False
-    for stride in range(1, 13):
-        for lane in range(min(stride, 4)):
-            if len(v) <= lane + 24 * stride:
-                continue
-            pairs = min(32, (len(v) - 1 - lane) // stride)
-            part = v[lane : lane + pairs * stride + 1 : stride]
-            small = np.abs(signed((part[1:] - part[:-1]) % RING)) <= 4096
-            if int(small.sum()) * 8 >= pairs * 7:
-                return True
+    v = np.asarray(v, dtype=np.int64)
+    for stride in range(1, PROBE_STRIDES + 1):
+        lanes = np.arange(min(stride, PROBE_LANES))
+        lanes = lanes[n > lanes + PROBE_REACH * stride]
+        steps = np.minimum(PROBE_STEPS, (n - 1 - lanes) // stride)
+        # rows are steps and columns are lanes; what is past a lane's steps never counts
+        at = lanes + stride * np.arange(PROBE_STEPS)[:, None]
+        inside = np.arange(PROBE_STEPS)[:, None] < steps
+        step = signed((v[np.where(inside, at + stride, 0)] - v[np.where(inside, at, 0)]) % RING)
+        if ((inside & (np.abs(step) <= PROBE_SMALL)).sum(axis=0) * 8 >= steps * PROBE_EIGHTHS).any():
+            return True
     return False
 
 

@@ -144,9 +144,15 @@ def carrier_sizes(parsed: DataFrame, shapes: DataFrame, magic: int = 6) -> DataF
 
 
 def tokens(parsed: DataFrame, shapes: DataFrame, order: str) -> DataFrame:
-    """One row per token: shape_id, occurrence (of the record in its shape), slot, token and the record's order."""
+    """One row per token: shape_id, occurrence (of the record in its shape), slot, token and the record's order.
+
+    Records are ranked by shape and order over range partitions, so a shape that most records have is many tasks' work; a
+    shape's first rank is its offset.
+    """
     rows = parsed.where("valid").select(order, template().alias("template"), "values").join(shapes.select("template", "shape_id"), "template")
-    numbered = rows.withColumn("occurrence", F.row_number().over(Window.partitionBy("shape_id").orderBy(order)) - 1)
+    ranked = cut(global_rank(rows.select("shape_id", order, "values"), ["shape_id", order], "_rank"))
+    first = ranked.groupBy("shape_id").agg(F.min("_rank").alias("_first"))
+    numbered = ranked.join(first, "shape_id").withColumn("occurrence", (F.col("_rank") - F.col("_first")).cast("int"))
     return numbered.select(order, "shape_id", "occurrence", F.posexplode("values").alias("slot", "token"))
 
 

@@ -12,6 +12,14 @@ from oreline.session import cut
 GRID = """grid AS (SELECT l_suppkey AS file, l_returnflag || l_linestatus || '-q' || l_linenumber AS codec, (100000 + l_suppkey * 1000)::BIGINT AS input_bytes,
     (sum(l_partkey) % 90000 + 1000)::BIGINT AS bytes, (sum(l_quantity::BIGINT) % 500 + 1)::DOUBLE / 4 AS enc, (sum(l_partkey + l_linenumber * 7) % 2000 + 1)::DOUBLE / 8 AS dec,
     (sum(l_orderkey) % 100000 + 1000)::BIGINT AS rss, bool_and(l_quantity > 0) AS roundtrip FROM lineitem GROUP BY ALL)"""
+
+
+def _leaf_sql() -> str:
+    from oreline.plans.leaves import LINEITEM_ORDER, profile_sql
+
+    return profile_sql("lineitem", "l_suppkey", LINEITEM_ORDER, "l_partkey")
+
+
 IS_REF, IS_CAND = "codec[1] IN ('A', 'N')", "codec[1] = 'R'"
 
 
@@ -386,9 +394,10 @@ def wire_partition(t):
 @query("full_grid_cross", f"""WITH {GRID} SELECT c.codec, r.rep::INT AS rep, count(*)::BIGINT AS cells FROM (SELECT DISTINCT file FROM grid) f, (SELECT DISTINCT codec FROM grid) c, (SELECT unnest(range(0, 3)) AS rep) r GROUP BY ALL""")
 def full_grid_cross(t):
     """The grid of files, codecs and repetitions that a run has to fill."""
+    from oreline.operators import govern
+
     g = grid(t)
-    reps = g.sparkSession.range(3).select(F.col("id").cast("int").alias("rep"))
-    cells = g.select("file").distinct().crossJoin(F.broadcast(g.select("codec").distinct())).crossJoin(F.broadcast(reps))  # two fixed rosters
+    cells = govern.with_every(govern.with_every(g.select("file").distinct(), "codec", govern.roster(g, "codec")), "rep", [0, 1, 2], "int")
     return cells.groupBy("codec", "rep").agg(F.count("*").alias("cells"))
 
 
@@ -405,3 +414,97 @@ def bootstrap_ci(t):
     """Paired bootstrap intervals of each supplier's ratios, of 20,000 samples each."""
     pairs = t("lineitem").select("l_suppkey", F.concat_ws("-", F.lpad("l_orderkey", 12, "0"), "l_linenumber", "l_partkey").alias("pair"), (F.col("l_extendedprice") + 1).alias("a"), (F.col("l_extendedprice") * (1 - F.col("l_discount")) + 1).alias("b"))
     return stats.paired_bootstrap(pairs, ["l_suppkey"], "pair", "a", "b", samples=20_000)
+
+
+#: Runs of seven files each: 1 arithmetic, 2 time series, 3 repeated JSON, the others negative controls.
+RUNS = """run AS (SELECT l_suppkey AS run, l_linenumber AS file, (sum(l_partkey) % 5)::BIGINT AS mode, (sum(l_partkey) % 4 <> 0) AS models, (sum(l_orderkey) % 40000 + 20000)::BIGINT AS own, (sum(l_orderkey) % 40000 + 20000 - sum(l_partkey) % 3)::BIGINT AS whole,
+    (sum(l_partkey) % 60000 + 10000)::BIGINT AS q5, (sum(l_partkey * 3) % 60000 + 10000)::BIGINT AS q11, (sum(l_partkey + 1) % 300 + 1)::BIGINT AS enc, (sum(l_orderkey + 1) % 300 + 1)::BIGINT AS whole_enc, (sum(l_partkey + 2) % 300 + 1)::BIGINT AS "dec", (sum(l_orderkey + 2) % 300 + 1)::BIGINT AS q5_dec, (sum(l_orderkey + 3) % 300 + 1)::BIGINT AS q11_dec
+    FROM lineitem GROUP BY ALL),
+    one AS (SELECT run, count(*) AS files, count(*) FILTER (WHERE file > 2 AND NOT models) AS skips, """ + ", ".join(
+    f'max(CASE WHEN file = {k} THEN "{c}" END) AS {name}_{c}'.replace('max(CASE WHEN file = %d THEN "models"' % k, 'bool_or(CASE WHEN file = %d THEN models' % k) for k, name in ((1, "a"), (2, "t"), (3, "r")) for c in ("mode", "models", "own", "whole", "q5", "q11", "enc", "whole_enc", "dec", "q5_dec", "q11_dec")
+) + " FROM run GROUP BY run)"
+
+
+def runs(t):
+    n = lambda x: F.sum(F.expr(x))
+    r = t("lineitem").groupBy(F.col("l_suppkey").alias("run"), F.col("l_linenumber").alias("file")).agg(
+        (n("l_partkey") % 5).alias("mode"),
+        (n("l_partkey") % 4 != 0).alias("models"),
+        (n("l_orderkey") % 40000 + 20000).alias("own"),
+        (n("l_orderkey") % 40000 + 20000 - n("l_partkey") % 3).alias("whole"),
+        (n("l_partkey") % 60000 + 10000).alias("q5"),
+        (n("l_partkey * 3") % 60000 + 10000).alias("q11"),
+        (n("l_partkey + 1") % 300 + 1).alias("enc"),
+        (n("l_orderkey + 1") % 300 + 1).alias("whole_enc"),
+        (n("l_partkey + 2") % 300 + 1).alias("dec"),
+        (n("l_orderkey + 2") % 300 + 1).alias("q5_dec"),
+        (n("l_orderkey + 3") % 300 + 1).alias("q11_dec"),
+    )
+    columns = [c for c in r.columns if c not in ("run", "file")]
+    at = [F.max(F.when(F.col("file") == k, F.col(c))).alias(f"{name}_{c}") for k, name in ((1, "a"), (2, "t"), (3, "r")) for c in columns]
+    return r.groupBy("run").agg(F.count("*").alias("files"), F.count_if((F.col("file") > 2) & ~F.col("models")).alias("skips"), *at)
+
+
+GATE_SQL = {
+    "hybrid": (["a_mode = 1 AND a_models", "r_mode IN (2, 3)", "t_mode = 2", "a_own < a_q11", "a_dec > a_q11_dec", "true"],
+        "CASE WHEN NOT (h1 AND h2 AND h6) THEN 'INVALID_ENVELOPE_SELECTION' WHEN h1 AND h2 AND h3 AND h4 AND h5 AND h6 THEN 'HYBRID_ARCHITECTURE_VALIDATED_DISCOVERY' ELSE 'HYBRID_ARCHITECTURE_PARTIAL_DISCOVERY' END"),
+    "fast": (["a_mode = 1 AND a_models AND a_own = a_whole AND a_own < a_q5 AND a_dec > a_q5_dec", "true", "a_enc > a_whole_enc AND t_enc > t_whole_enc", "t_mode = 2 AND t_own = t_whole", "files = 7", "true"],
+        "CASE WHEN h1 AND h2 AND h3 AND h4 AND h5 AND h6 THEN 'FAST-ENCODE-TRADEOFF-DISCOVERY' ELSE 'FAST-SEARCH-NO-THROUGHPUT-RETURN' END"),
+    "budget": (["a_mode = 4 AND a_own < 33204", "t_mode = 2 AND t_own <= 120602", "skips >= 4", "a_enc > a_whole_enc AND t_enc > t_whole_enc", "a_own >= 0 AND a_q5 >= 0 AND a_q11 >= 0", "a_mode = 4 AND a_dec > a_q5_dec AND a_dec > a_q11_dec"],
+        "CASE WHEN h1 AND h2 AND h3 AND h4 AND h5 AND h6 THEN 'PASS' ELSE 'FAIL' END"),
+}
+
+
+def gates_sql(name: str) -> str:
+    gates, ruling = GATE_SQL[name]
+    return f"SELECT '{name}' AS gate_table, run, h1, h2, h3, h4, h5, h6, {ruling} AS ruling FROM (SELECT run, {', '.join(f'coalesce({g}, false) AS h{i + 1}' for i, g in enumerate(gates))} FROM one)"
+
+
+@query("gate_tables", f"WITH {RUNS} " + " UNION ALL ".join(map(gates_sql, GATE_SQL)))
+def gate_tables(t):
+    """The six gates and the ruling of each run under the hybrid, the fast and the budgeted protocol."""
+    r = cut(runs(t))
+    out = None
+    for name, rule in (("hybrid", select.hybrid_gates), ("fast", select.fast_gates), ("budget", select.budget_gates)):
+        gates, ruling = rule(F.col)
+        gates = [F.coalesce(g, F.lit(False)) for g in gates]
+        own = r.select(F.lit(name).alias("gate_table"), "run", *[g.alias(f"h{i + 1}") for i, g in enumerate(gates)], ruling(gates).alias("ruling"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+SIZED = f"""blk AS (SELECT l_suppkey % 5 AS file, 4096 * (1 << (2 * (l_linenumber % 3))) AS block_size, (l_partkey * 3 + 50)::BIGINT AS a, (l_orderkey % 6000 + 60)::BIGINT AS b, l_quantity = 50 AS raw, (4096 * (1 << (2 * (l_linenumber % 3))))::BIGINT AS blen FROM lineitem),
+    fr AS (SELECT *, 1 + {uv("2 + " + uv("blen") + " + a")} + 4 + 2 + {uv("blen")} + a AS fa, 1 + {uv("2 + " + uv("blen") + " + b")} + 4 + 2 + {uv("blen")} + b AS fb, 1 + {uv("blen")} + 4 + blen AS fraw FROM blk),
+    whole AS (SELECT file, block_size, sum(a) * 97 // 100 AS wa, sum(b) * 96 // 100 AS wb FROM blk WHERE NOT raw GROUP BY ALL),
+    su AS (SELECT file, block_size, count(*) AS blocks, count(*) FILTER (WHERE NOT raw AND a < b) AS wins_a, count(*) FILTER (WHERE NOT raw AND a >= b) AS wins_b, count(*) FILTER (WHERE raw) AS wins_raw, sum(CASE WHEN raw THEN fa ELSE least(fa, fb) END) AS oracle, sum(least(CASE WHEN raw THEN fa ELSE least(fa, fb) END, fraw)) AS oracle_any,
+        sum(fa) AS sum_a, sum(CASE WHEN raw THEN 0 ELSE fb END) AS sum_b FROM fr GROUP BY ALL),
+    wh AS (SELECT *, least(wa, wb) AS w, wb <= wa AS is_b FROM whole JOIN su USING (file, block_size)),
+    fw AS (SELECT *, 1 + {uv("2 + " + uv("w") + " + w")} + 4 + 2 + {uv("w")} + w AS framed FROM wh)"""
+
+
+@query("block_size_rollup", f"""WITH {SIZED} SELECT block_size::BIGINT AS block_size, sum(blocks)::BIGINT AS blocks, sum(wins_a)::BIGINT AS wins_a, sum(wins_b)::BIGINT AS wins_b, sum(wins_raw)::BIGINT AS wins_raw, sum(oracle)::BIGINT AS oracle, sum(oracle_any)::BIGINT AS oracle_any, sum(framed)::BIGINT AS whole_framed,
+    sum(oracle - framed)::BIGINT AS regret, sum(CASE WHEN is_b THEN sum_b ELSE sum_a END - framed)::BIGINT AS warm_up FROM fw GROUP BY block_size""")
+def block_size_rollup(t):
+    """For each block size: the best backend block by block against one stream per file, and what starting anew costs."""
+    size = F.lit(4096).cast("bigint") * F.pow(F.lit(4), F.col("l_linenumber") % 3).cast("bigint")
+    b = t("lineitem").select((F.col("l_suppkey") % 5).alias("file"), size.alias("block_size"), (F.col("l_partkey") * 3 + 50).cast("bigint").alias("a"), (F.col("l_orderkey") % 6000 + 60).cast("bigint").alias("b"), (F.col("l_quantity") == 50).alias("raw"))
+    b = b.withColumn("blen", F.col("block_size"))
+    whole = b.where("not raw").groupBy("file", "block_size").agg((F.floor(F.sum("a") * 97 / 100)).cast("bigint").alias("wa"), (F.floor(F.sum("b") * 96 / 100)).cast("bigint").alias("wb"))
+    return select.block_sizes(b, whole)
+
+
+@query("proxy_regret", "WITH" + _leaf_sql() + """, p AS (SELECT l_suppkey, leaf_id, size, payload, row_number() OVER (PARTITION BY l_suppkey ORDER BY payload, leaf_id) AS proxy, row_number() OVER (PARTITION BY l_suppkey ORDER BY size, leaf_id) AS oracle FROM c),
+    y AS (SELECT l_suppkey % 10 AS file, sum(size) FILTER (WHERE proxy = 1) AS chosen, sum(size) FILTER (WHERE oracle = 1) AS least FROM p GROUP BY 1)
+    SELECT file, chosen::BIGINT AS chosen, least::BIGINT AS least, (chosen - least)::BIGINT AS regret, round(100.0 * (chosen - least) / least, 9) AS regret_pct FROM y
+    UNION ALL SELECT -1, sum(chosen)::BIGINT, sum(least)::BIGINT, sum(chosen - least)::BIGINT, round(100.0 * sum(chosen - least) / sum(least), 9) FROM y
+    UNION ALL SELECT -2, NULL, NULL, max(chosen - least)::BIGINT, max(round(100.0 * (chosen - least) / least, 9)) FROM y""")
+def proxy_regret(t):
+    """What choosing encodings by the cheap proxy costs in each file, in all (-1) and at worst (-2)."""
+    from oreline.operators import leaves
+
+    rows = t("lineitem").withColumn("tok", F.col("l_partkey"))
+    found = leaves.leaf_candidates(leaves.leaf_sizes(leaves.column_profile(rows, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey"], "tok")), ["l_suppkey"])
+    least = lambda c: F.min(F.struct(c, "leaf_id", "size"))["size"]
+    each = found.groupBy("l_suppkey").agg(least("payload").alias("chosen"), F.min("size").alias("least"))
+    files = cut(each.groupBy((F.col("l_suppkey") % 10).alias("file")).agg(F.sum("chosen").alias("chosen"), F.sum("least").alias("least")))
+    return select.regret(files, "file")

@@ -97,6 +97,21 @@ def leaf_rank_proxy_s1(t):
     )
 
 
+@query(
+    "substitutions_top24",
+    "WITH" + profile_sql("lineitem", "l_suppkey", LINEITEM_ORDER, "l_partkey")
+    + """, r AS (SELECT l_suppkey, size AS raw FROM c WHERE leaf_id = 0)
+    SELECT (l_suppkey // 10)::BIGINT AS shape, (l_suppkey % 10)::BIGINT AS slot, leaf_id::INT AS leaf, (size - raw)::BIGINT AS delta FROM c JOIN r USING (l_suppkey) WHERE leaf_id <> 0 ORDER BY delta, shape, slot, leaf LIMIT 24""",
+)
+def substitutions_top24(t):
+    """The 24 best replacements of raw columns."""
+    from oreline.operators import select
+
+    rows = t("lineitem").withColumn("tok", F.col("l_partkey"))
+    found = leaves.leaf_candidates(leaves.leaf_sizes(leaves.column_profile(rows, ["l_suppkey"], LINEITEM_ORDER.split(", "), "tok")), ["l_suppkey"])
+    return select.substitutions(found, ["l_suppkey"], F.floor(F.col("l_suppkey") / 10).cast("bigint"), (F.col("l_suppkey") % 10).cast("bigint"))
+
+
 @query(
     "scalar_costs",
     f"""WITH k AS (SELECT o_orderkey, o_custkey, (o_custkey - 700)::BIGINT AS x FROM orders)

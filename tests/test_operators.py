@@ -380,3 +380,77 @@ def test_containment_in_chunks(spark):
     want = {(1, 7), (1, 11), (4, 7), (4, 11), (4, 8)}
     for chunk in (1 << 20, 7):
         assert {tuple(r) for r in dedup.contained(docs, items, "d", "t", "i", "x", chunk).collect()} == want
+
+
+def test_probe_step_by_step():
+    """The strided computation against plain loops over lanes."""
+    from oreline.operators import series
+
+    rng = np.random.default_rng(3)
+
+    def plain(v):
+        for stride in range(1, 13):
+            for lane in range(min(stride, 4)):
+                own = [int(x) for x in v[lane::stride]]
+                if len(v) > lane + 24 * stride:
+                    moves = [(b - a) % (1 << 32) for a, b in zip(own, own[1:], strict=False)][:32]
+                    if 8 * sum(m <= 4096 or m >= (1 << 32) - 4096 for m in moves) >= 7 * len(moves):
+                        return True
+        return False
+
+    for n in (127, 128, 129, 200, 300, 512):
+        for stride in (1, 3, 7, 12):
+            v = rng.integers(0, 1 << 32, n)
+            assert series.numeric_probe(v) == (n >= 128 and plain(v))
+            lane = int(rng.integers(0, stride))
+            v[lane::stride] = np.cumsum(rng.integers(-4000, 4000, len(v[lane::stride]))) % (1 << 32)
+            assert series.numeric_probe(v) == (n >= 128 and plain(v))
+
+
+def test_manifest_rules_at_their_edges(spark):
+    good = dict(doc_id=0, ident="abc", origin="org-1", family="fam_1", split="discovery", digest="a" * 64, n_bytes=1, url="https://h/x", publisher="p", release="r", license="l", preprocess="none", representation="raw-bytes", reconstructible=True, recipe=None, retrieved="2024-01-15")
+    bad = [
+        *[("ident", x) for x in ("ab", "a" * 65, "1ab", "a.b", "Abc", "abc\n", None, "")],
+        ("origin", "a b"), ("family", "é"), ("split", "external"), ("sha256", "A" * 64), ("sha256", "a" * 63), ("positive", 0), ("positive", None),
+        *[("url", x) for x in ("http://h/", "https://u@h/", "https://h/#x", "https:///x", "https://h/ x", None)],
+        ("publisher", " "), ("release", ""), ("license", None), ("preprocess", "  "), ("representation", "uint9"), ("reconstructible", None), ("date", "2023-02-29"), ("date", "2024-1-5"), ("date", None), ("future", "2999-01-01"),
+    ]
+    column = {"sha256": "digest", "positive": "n_bytes", "date": "retrieved", "future": "retrieved"}
+    rows, want = [good, {**good, "doc_id": 1, "ident": "a" * 64}, {**good, "doc_id": 2, "ident": "a_b-1"}, {**good, "doc_id": 3, "representation": "uint8", "recipe": "x"}, {**good, "doc_id": 4, "representation": "uint8", "reconstructible": False}], []
+    for k, (rule, value) in enumerate([*bad, ("recipe", " ")]):
+        rows.append({**good, "doc_id": 100 + k, column.get(rule, rule): value, **({"representation": "uint8"} if rule == "recipe" else {}), **({"recipe": "x"} if rule == "representation" else {})})
+        want.append((100 + k, rule))
+    schema = "doc_id int, ident string, origin string, family string, split string, digest string, n_bytes bigint, url string, publisher string, release string, license string, preprocess string, representation string, reconstructible boolean, recipe string, retrieved string"
+    found = govern.violations(spark.createDataFrame([tuple(r.values()) for r in rows], schema), ["doc_id"], govern.manifest_rules())
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_more_schema_kinds():
+    spec = {"kind": "object", "fields": {"v": {"kind": "int", "const": 1}, "name": {"kind": "string", "nonempty": True}, "ids": {"kind": "array", "nonempty": True, "sorted_unique": True, "items": {"kind": "string"}}}}
+    assert govern.schema_errors({"v": 1, "name": "x", "ids": ["a", "b"]}, spec) == []
+    assert govern.schema_errors({"v": 2, "name": " ", "ids": ["b", "a"]}, spec) == ["$.v: not 1", "$.name: empty", "$.ids: not sorted and distinct"]
+    assert govern.schema_errors({"v": 1, "name": "x", "ids": ["a", "a"]}, spec) == ["$.ids: not sorted and distinct"]
+    assert govern.schema_errors({"v": 1, "name": "x", "ids": []}, spec) == ["$.ids: empty"]
+
+
+def test_rosters_are_bounded(spark):
+    rows = spark.range(30).selectExpr("id % 7 AS a")
+    assert sorted(govern.roster(rows, "a", 7)) == list(range(7))
+    with pytest.raises(ValueError):
+        govern.roster(rows, "a", 6)
+
+
+def test_minhash_recall(spark, data):
+    """Estimated pairs against the exact ones."""
+    rng = np.random.default_rng(9)
+    sets = []
+    for k in range(60):
+        base = rng.integers(-(1 << 62), 1 << 62, 200)
+        sets += [(2 * k, sorted(base.tolist())), (2 * k + 1, sorted([*base[: 200 - int(rng.integers(2, 14))].tolist(), int(rng.integers(1 << 62))]))]
+    rows = spark.createDataFrame(sets, "id bigint, s array<bigint>")
+    exact = {(r["a"], r["b"]) for r in dedup.similar_sets(rows, "id").collect()}
+    sigs = dedup.minhash_signatures(rows, "id")
+    found = {(r["a"], r["b"]) for r in dedup.minhash_pairs(sigs, "id").collect()}
+    of = {r["id"]: r["sig"] for r in sigs.collect()}
+    # equal signatures are one class and so no pair
+    assert len(exact) >= 55 and sum(p in found or of[p[0]] == of[p[1]] for p in exact) >= 0.95 * len(exact)

@@ -53,11 +53,6 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     return (df if rows is None else df.coalesce(max(1, -(-rows // 100_000)))).checkpoint(eager=True)
 
 
-def in_few(df: DataFrame, of: DataFrame, each: int = 8) -> DataFrame:
-    """``df``, smaller than ``of``, in a partition for ``each`` of those of ``of``, and so in few files (see ``cut``)."""
-    return df.coalesce(max(each, of.rdd.getNumPartitions() // each))
-
-
 def unused(df: DataFrame, *names: str) -> list[str]:
     """``names``, with underscores in front of those that ``df`` already has."""
     taken = {c.lower() for c in df.columns}

@@ -24,6 +24,7 @@ empty table gives an empty result; other columns are ignored; a null id is held
 from __future__ import annotations
 
 import dataclasses
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -388,11 +389,10 @@ class ClassModel:
 
 def _units(words: list[bytes], place: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """The place (or -1) and the unit of each token."""
-    get = place.get
-    at = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
+    at = np.fromiter(map(place.get, words, itertools.repeat(-1)), dtype=np.int64, count=len(words))
     u = at.copy()
-    rare = np.flatnonzero(at < 0)
-    u[rare] = len(place) + shapes_of([words[i] for i in rare.tolist()])
+    rare = at < 0
+    u[rare] = len(place) + shapes_of(list(itertools.compress(words, rare.tolist())))
     return at, u
 
 
@@ -481,15 +481,19 @@ def score(docs: DataFrame, model: ClassModel, *, id_col: str = "doc_id", text_co
                 n = len(sizes)
                 keys = first + done + np.arange(n)
                 done += n
-                rare = Counter((d, words[i]) for i, d in zip(np.flatnonzero(~some).tolist(), doc[~some].tolist(), strict=True))
+                # rare words of the group by number, then each document's, once with its count
+                number: dict[bytes, int] = {}
+                own = np.fromiter((number.setdefault(w, len(number)) for w in itertools.compress(words, (~some).tolist())), dtype=np.int64, count=int((~some).sum()))
+                rare, tf = np.unique(doc[~some] * max(1, len(number)) + own, return_counts=True)
+                rare_doc, rare_word = np.divmod(rare, max(1, len(number)))
                 m = len(rare)
                 none = pa.nulls(m, pa.int64())
                 # a document's own row joins nothing: no word has a space
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.concat_arrays([pa.array(keys), pa.array([int(keys[d]) for d, _ in rare], pa.int64())]),
-                        pa.array([b" %d" % x for x in keys.tolist()] + [w for _, w in rare], pa.binary()),
-                        pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(list(rare.values()), pa.int64())]),
+                        pa.concat_arrays([pa.array(keys), pa.array(keys[rare_doc])]),
+                        pa.concat_arrays([pa.array([b" %d" % x for x in keys.tolist()], pa.binary()), pa.array(list(number), pa.binary()).take(pa.array(rare_word))]),
+                        pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(tf)]),
                         pa.concat_arrays([batch.column(0).slice(lo, n), pa.nulls(m, batch.column(0).type)]),
                         pa.concat_arrays([batch.column(1).slice(lo, n), pa.nulls(m, pa.bool_())]),
                         pa.concat_arrays([pa.array(sizes, pa.int64()), none]),

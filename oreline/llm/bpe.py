@@ -48,6 +48,7 @@ class MergeReplay:
         self.vocab = [b""] * self.size
         for token, rank in ranks.items():
             self.vocab[rank] = token
+        self.decimal = [b"%d " % i for i in range(self.size)]
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         keys, values = [], []
         for token, rank in ranks.items():
@@ -178,7 +179,7 @@ class TextEncoder:
     #: About what an entry takes beside its characters and ids.
     ENTRY = 180
 
-    def __init__(self, rank_path: str, pattern: str, remember: int = 160 << 20):
+    def __init__(self, rank_path: str, pattern: str, remember: int = 256 << 20):
         self.replay = MergeReplay(load_ranks(rank_path))
         self.split = regex.compile(pattern).findall
         self.remember = remember
@@ -265,6 +266,7 @@ def encode_decode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(rank_path, pattern)
+        decimal = enc.replay.decimal.__getitem__
         for batch in batches:
             keys = batch.column(0)
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -274,7 +276,7 @@ def encode_decode(
                     ids = np.frombuffer(packed, dtype="<u4")
                     plain = enc.replay.decode(ids)
                     counts.append(len(ids))
-                    ids_sha.append(hashlib.sha256(" ".join(map(str, ids.tolist())).encode()).hexdigest())
+                    ids_sha.append(hashlib.sha256(b"".join(map(decimal, ids.tolist()))[:-1]).hexdigest())
                     text_sha.append(hashlib.sha256(plain).hexdigest())
                     if with_ids:
                         ids_out.append(ids.astype(np.int32))

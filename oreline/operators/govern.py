@@ -212,3 +212,35 @@ def lineages(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     """kind, value, members and first of the rows that share a generator, publisher or producer; nulls share nothing."""
     long = rows.select("id", F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("value")) for kind, c in columns.items()])).alias("_x"))
     return long.where("_x.value is not null").groupBy("_x.kind", "_x.value").agg(F.count("*").alias("members"), F.min("id").alias("first"))
+
+
+def threshold_findings(locks: DataFrame, declared: DataFrame, key: str, required: list[str], denominators: list[str]) -> DataFrame:
+    """key, name and code where a lock doesn't declare exactly the audited thresholds (undeclared, unaudited) or one can't be used (a denominator that isn't positive).
+
+    ``locks`` has every key, ``declared`` has key, name and value.
+    """
+    wanted = with_every(locks.select(key), "name", required)
+    known = F.col("name").isin(*required)
+    missing = wanted.join(declared.select(key, "name"), [key, "name"], "left_anti").withColumn("code", F.lit("undeclared"))
+    extra = declared.where(~known).select(key, "name", F.lit("unaudited").alias("code"))
+    unusable = declared.where(F.col("name").isin(*denominators) & ~F.coalesce(F.col("value") > 0, F.lit(False))).select(key, "name", F.lit("unusable").alias("code"))
+    return missing.unionByName(extra).unionByName(unusable)
+
+
+def code_thresholds(source: str, pinned: dict[str, float] | None = None) -> list[str]:
+    """Names of numbers that a module's source sets at its top level or as a parameter's default, other than those pinned: thresholds that are in no lock."""
+    import ast
+
+    pinned = pinned or {}
+    number = lambda x: isinstance(x, ast.Constant) and isinstance(x.value, (int, float)) and not isinstance(x.value, bool)
+    tree, found = ast.parse(source), []
+    for node in tree.body:
+        if isinstance(node, (ast.Assign, ast.AnnAssign)) and node.value is not None and number(node.value):
+            targets = node.targets if isinstance(node, ast.Assign) else [node.target]
+            found += [t.id for t in targets if isinstance(t, ast.Name) and pinned.get(t.id) != node.value.value]
+    for node in ast.walk(tree):
+        if isinstance(node, ast.FunctionDef):
+            a = node.args
+            pairs = [*zip([*a.posonlyargs, *a.args][::-1], a.defaults[::-1], strict=False), *((x, d) for x, d in zip(a.kwonlyargs, a.kw_defaults, strict=True) if d is not None)]
+            found += [f"{node.name}.{x.arg}" for x, d in pairs if number(d) and pinned.get(x.arg) != d.value]
+    return sorted(found)

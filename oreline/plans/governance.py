@@ -325,3 +325,21 @@ def schema_errors(t):
     """Where event properties break a typed schema."""
     spec = {"kind": "object", "fields": {"k": {"kind": "int", "least": 0, "most": 90}}}
     return govern.validate_json(t("events"), "event_id", "props", spec)
+
+
+AUDITED = ["bands", "jaccard_den", "jaccard_num", "permutations", "shingle"]
+LOCKS = """lk AS (SELECT s_suppkey AS lock FROM supplier), dc AS (SELECT lock, name, CASE WHEN name = 'jaccard_den' AND lock % 7 = 0 THEN 0 WHEN name = 'jaccard_den' AND lock % 11 = 0 THEN NULL ELSE 5 END AS value
+    FROM lk, (SELECT unnest(['bands', 'jaccard_den', 'jaccard_num', 'permutations', 'shingle', 'speed']) AS name, unnest(range(6)) AS k) WHERE CASE WHEN name = 'speed' THEN lock % 4 = 0 ELSE lock % 6 <> k END)"""
+
+
+@query("threshold_findings", f"""WITH {LOCKS}, rq AS (SELECT unnest(['bands', 'jaccard_den', 'jaccard_num', 'permutations', 'shingle']) AS name) SELECT lock, name, 'undeclared' AS code FROM (SELECT lock, name FROM lk, rq EXCEPT SELECT lock, name FROM dc)
+    UNION ALL SELECT lock, name, 'unaudited' FROM dc WHERE name NOT IN (SELECT name FROM rq) UNION ALL SELECT lock, name, 'unusable' FROM dc WHERE name = 'jaccard_den' AND coalesce(value, 0) <= 0""")
+def threshold_findings(t):
+    """Thresholds that a lock lacks, that nobody audits, or that can't be used."""
+    locks = t("supplier").select(F.col("s_suppkey").alias("lock"))
+    names = [*AUDITED, "speed"]
+    long = locks.select("lock", F.posexplode(F.array(*map(F.lit, names))).alias("k", "name"))
+    lock = F.col("lock")
+    value = F.when(F.col("name") != "jaccard_den", 5).when(lock % 7 == 0, 0).when(lock % 11 == 0, F.lit(None)).otherwise(5)
+    declared = long.where(F.when(F.col("name") == "speed", lock % 4 == 0).otherwise(lock % 6 != F.col("k"))).select("lock", "name", value.alias("value"))
+    return govern.threshold_findings(locks, declared, "lock", AUDITED, ["jaccard_den"])

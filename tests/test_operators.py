@@ -454,3 +454,9 @@ def test_minhash_recall(spark, data):
     of = {r["id"]: r["sig"] for r in sigs.collect()}
     # equal signatures are one class and so no pair
     assert len(exact) >= 55 and sum(p in found or of[p[0]] == of[p[1]] for p in exact) >= 0.95 * len(exact)
+
+
+def test_code_thresholds():
+    source = "PI = 3.14\nLIMIT = 0.8\nNAME = 'x'\nFLAG = True\n\ndef f(x, cut=0.5, name='a', *, most=3, flag=False):\n    y = 7\n    return y\n"
+    assert govern.code_thresholds(source, {"PI": 3.14}) == ["LIMIT", "f.cut", "f.most"]
+    assert govern.code_thresholds("def f(x, cut):\n    return x > cut\n") == []

@@ -2,7 +2,8 @@
 
 Vectors become integers, floor(scale * x). The index of a block of vectors keeps, for each
 quantised impact level from the highest down and each dimension, the
-posting segment of rows whose component has that impact. Segments are processed level by
+posting segment of rows whose component has that impact; a level whose segments hold over a 64th of all
+places is kept as one array with zeros between. Segments are processed level by
 level for a block of queries at once, adding query component times
 impact to the rows' accumulators. After a level, what a row can still gain is
 at most the query's norm times the norm of the row's unread components; and the
@@ -36,20 +37,33 @@ class ImpactIndex:
         self.vectors = vectors
         size = np.abs(vectors)
         # edges between levels, highest first, so that levels hold about as many postings each
-        edges = np.unique(np.quantile(size, np.linspace(0, 1, levels + 1)[1:-1]))[::-1]
+        some = size[size > 0]
+        edges = np.unique(np.quantile(some, np.linspace(0, 1, levels + 1)[1:-1]))[::-1] if len(some) else np.zeros(0)
         level = np.searchsorted(-edges, -size, side="left")
         self.levels = []
         rest = (vectors * vectors).sum(axis=1)
         for x in range(len(edges) + 1):
             here = level == x
-            segments = []
-            for d in range(vectors.shape[1]):
-                rows = np.flatnonzero(here[:, d] & (vectors[:, d] != 0))
-                if len(rows):
-                    segments.append((d, rows, vectors[rows, d]))
+            segments: list | np.ndarray = []
+            if (here & (size > 0)).mean() > 1 / 64:
+                segments = np.where(here, vectors, 0)
+            else:
+                for d in range(vectors.shape[1]):
+                    rows = np.flatnonzero(here[:, d] & (vectors[:, d] != 0))
+                    if len(rows):
+                        segments.append((d, rows, vectors[rows, d]))
             rest = rest - np.where(here, vectors * vectors, 0).sum(axis=1)
             self.levels.append((segments, np.sqrt(np.maximum(rest, 0))))
 
+    @staticmethod
+    def _add(scores: np.ndarray, segments: list | np.ndarray, columns: np.ndarray) -> None:
+        """Process one level for all queries. Sums of whole numbers are exact in any order."""
+        if isinstance(segments, np.ndarray):
+            scores += segments @ columns
+        else:
+            for d, rows, impacts in segments:
+                scores[rows] += impacts[:, None] * columns[d]
+
     def possible(self, queries: np.ndarray, k: int, few: int, own: np.ndarray | None = None) -> list[np.ndarray]:
         """Rows that may be among the k best of each query; all others are proved out. ``own`` (rows x queries) marks rows that take no place."""
         n = len(self.vectors)
@@ -59,8 +73,7 @@ class ImpactIndex:
         norm = np.sqrt((queries * queries).sum(axis=1)) * (1 + 1e-9)
         columns = np.ascontiguousarray(queries.T)
         for segments, rest in self.levels[:-1]:
-            for d, rows, impacts in segments:
-                scores[rows] += impacts[:, None] * columns[d]
+            self._add(scores, segments, columns)
             if n <= max(few, k) or rest.mean() > 0.5 * np.sqrt((self.vectors**2).sum(axis=1)).mean():
                 continue
             top = np.argpartition(scores, n - k, axis=0)[n - k :]
@@ -69,8 +82,7 @@ class ImpactIndex:
             may = scores + rest[:, None] * norm >= floor - 1
             if may.sum(axis=0).max() <= few:
                 return [np.flatnonzero(may[:, i]) for i in range(len(queries))]
-        for d, rows, impacts in self.levels[-1][0]:
-            scores[rows] += impacts[:, None] * columns[d]
+        self._add(scores, self.levels[-1][0], columns)
         if n <= k:
             return [np.arange(n)] * len(queries)
         edge = np.partition(scores, n - k, axis=0)[n - k]

@@ -118,6 +118,19 @@ def unit(v):
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+@pytest.mark.parametrize("few", [8, 64])
+def test_sparse_vectors_use_posting_segments(few):
+    """Mostly zeros: levels are segments, not arrays, and the proof holds."""
+    rng = np.random.default_rng(few)
+    v = np.floor(rng.normal(size=(900, 64)) * 60) * (rng.random((900, 64)) < 0.03)
+    q = np.floor(rng.normal(size=(20, 64)) * 60)
+    index = topk.ImpactIndex(v)
+    assert any(isinstance(segments, list) and segments for segments, _ in index.levels)
+    for x, may in zip(q, index.possible(q, 6, few), strict=True):
+        s = v @ x
+        assert set(np.flatnonzero(s > np.sort(s)[-6]).tolist()) <= set(may.tolist())
+
+
 def test_forest_gathers_what_it_is_asked_for():
     rng = np.random.default_rng(0)
     v = unit(rng.normal(size=(500, 16)))

@@ -43,7 +43,7 @@ def round_trip(t, number: int):
     return blocks(t).mapInArrow(run, "doc_id bigint, block_id int, n_bytes bigint, size bigint, ok boolean")
 
 
-for _name, _number in {"huffman": 1, "rans": 2, "rans_clustered": 3, "arithmetic": 4, "mtf": 6, "bwt": 7, "self_reference": 11, "context_split": 13, "transpose": 14}.items():
+for _name, _number in {"huffman": 1, "rans": 2, "rans_clustered": 3, "arithmetic": 4, "mtf": 6, "bwt": 7, "bwt_huffman": 8, "self_reference": 11, "context_split": 13, "transpose": 14, "lz_rans": 15}.items():
     query(f"{_name}_roundtrip")(lambda t, n=_number: round_trip(t, n))
 for _name, _number in {"sparse": 16, "word_reference": 17, "token_streams": 18, "measured_parse": 19}.items():
     query(f"{_name}_roundtrip")(lambda t, n=_number: round_trip(t, n))
@@ -72,7 +72,10 @@ def lz_greedy_tokens(t):
 
 @query("codec_grid")
 def codec_grid(t):
-    """Every codec's bytes over all blocks, and whether all come back."""
+    """The quicker codecs' bytes over all blocks, and whether all come back.
+
+    Codecs 3, 4, 7, 8, 10, 11 and 13 to 19 are left out; each has a round trip of its own.
+    """
     numbers = (0, 1, 2, 5, 6, 9, 12, 32, 33, 34, 35, 36, 37)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,14 +64,33 @@ def with_roots(rows: DataFrame, id_col: str, links: DataFrame) -> DataFrame:
 def unit_ids(rooted: DataFrame, id_col: str, largest: int = 100_000) -> DataFrame:
     """root, size and unit: 'iu-' and 16 hex digits of the SHA-256 of the sorted members.
 
-    A unit above ``largest`` members isn't gathered; its name is the hash of its root and size.
+    The members of a unit above ``largest`` aren't gathered: they are hashed one after the other as they come sorted.
     """
     sized = rooted.groupBy("root").agg(F.count("*").alias("size"))
-    small = sized.where(F.col("size") <= largest)
-    listed = rooted.join(small, "root").groupBy("root", "size").agg(F.array_sort(F.collect_list(id_col)).alias("_m"))
-    named = listed.select("root", "size", F.array_join(F.transform("_m", lambda x: x.cast("string")), ",").alias("_t"))
-    named = named.unionByName(sized.where(F.col("size") > largest).select("root", "size", F.concat_ws("#", "root", "size").alias("_t")))
-    return named.select("root", "size", F.concat(F.lit("iu-"), F.substring(F.sha2("_t", 256), 1, 16)).alias("unit"))
+    listed = rooted.join(sized.where(F.col("size") <= largest), "root").groupBy("root", "size").agg(F.array_sort(F.collect_list(id_col)).alias("_m"))
+    small = listed.select("root", "size", F.sha2(F.array_join(F.transform("_m", lambda x: x.cast("string")), ","), 256).alias("_d"))
+    members = rooted.join(sized.where(F.col("size") > largest), "root").repartition("root").sortWithinPartitions("root", id_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root = size = digest = None
+        done: list[tuple] = []
+        for batch in batches:
+            for own, n, member in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if digest is None or own != root:
+                    if digest is not None:
+                        done.append((root, size, digest.hexdigest()))
+                    root, size, digest = own, n, hashlib.sha256(member.encode())
+                else:
+                    digest.update(b"," + member.encode())
+        if digest is not None:
+            done.append((root, size, digest.hexdigest()))
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], names=["root", "size", "_d"])
+
+    kind = rooted.schema["root"].dataType.simpleString()
+    kinds = [{"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind], pa.int64(), pa.string()]
+    large = members.select("root", "size", F.col(id_col).cast("string")).mapInArrow(run, f"root {kind}, size bigint, _d string")
+    return small.unionByName(large).select("root", "size", F.concat(F.lit("iu-"), F.substring("_d", 1, 16)).alias("unit"))
 
 
 def normalise_line_ends(text: Column) -> Column:
@@ -109,11 +128,27 @@ def shingle_sets(rows: DataFrame, id_col: str, text_col: str, n: int = 5) -> Dat
     return rows.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, s array<bigint>")
 
 
-def similar_sets(sets: DataFrame, id_col: str, num: int = 4, den: int = 5) -> DataFrame:
+def partners(rows: DataFrame, id_col: str, key: str, allowed: Callable[[DataFrame, DataFrame], Column] | None = None, split: int = 1024) -> DataFrame:
+    """Pairs (a, b), a below b, of rows with equal keys that ``allowed`` lets through, each once.
+
+    The rows of a key with over ``split`` of them are dealt: a row meets the others in as many
+    parts as ``split`` goes into their number, so that no task has all pairs of a frequent key.
+    """
+    often = rows.groupBy(key).agg(F.count("*").alias("_m")).where("_m > 1")
+    sized = rows.join(often, key).withColumn("_parts", F.ceil(F.col("_m") / split).cast("int")).drop("_m")
+    a = sized.withColumn("_r", F.pmod(F.xxhash64(id_col), "_parts").cast("int")).alias("a")
+    b = sized.withColumn("_r", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).alias("b")
+    on = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a._r") == F.col("b._r")) & (F.col(f"a.{id_col}") < F.col(f"b.{id_col}"))
+    found = a.join(b, on if allowed is None else on & allowed(a, b))
+    return found.select(F.col(f"a.{id_col}").alias("a"), F.col(f"b.{id_col}").alias("b")).distinct()
+
+
+def similar_sets(sets: DataFrame, id_col: str, num: int = 4, den: int = 5, split: int = 1024) -> DataFrame:
     """Pairs (a, b) of different sets, each by its least id, with Jaccard num / den at least: shared and total shingles.
 
     Exact: ordered by rarity, similar sets share one of the first |s| - ceil(t |s|) + 1
-    shingles, so only sets that share such a rare one are compared, and compared in full.
+    shingles, so only sets that share such a rare one are compared, and compared in full if
+    their sizes, and what follows the shingle in both, leave room for enough in common.
     Equal sets are one class; empty sets have no partner.
     """
     kinds = cut(sets.where(F.size("s") > 0).groupBy("s").agg(F.min(id_col).alias("id")))
@@ -124,16 +159,28 @@ def similar_sets(sets: DataFrame, id_col: str, num: int = 4, den: int = 5) -> Da
     prefix = each.join(often.where("df > 1"), "g").select("id", "n", "g", "df")
     # shingles that no other set has come first in the order but can't make a pair: they only use up places
     lone = each.groupBy("id").agg(F.count("*").alias("all")).join(prefix.groupBy("id").agg(F.count("*").alias("common")), "id").select("id", (F.col("all") - F.col("common")).alias("lone"))
-    prefix = cut(prefix.join(lone, "id").withColumn("_p", place + F.col("lone")).where(F.col("_p") <= keep).select("id", "n", "g"))
-    a, b = prefix.alias("a"), prefix.alias("b")
-    near = (F.col("a.id") < F.col("b.id")) & (F.col("a.n") * den >= F.col("b.n") * num) & (F.col("b.n") * den >= F.col("a.n") * num)
-    pairs = a.join(b, (F.col("a.g") == F.col("b.g")) & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    prefix = cut(prefix.join(lone, "id").withColumn("p", place + F.col("lone")).where(F.col("p") <= keep).select("id", "n", "g", "p"))
+
+    def room(a: DataFrame, b: DataFrame) -> Column:
+        # of the first shingle that two sets share, and what follows it in the shorter rest, all they have in common is part
+        rest = F.least(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p")) + 1
+        sizes = (F.col("a.n") * den >= F.col("b.n") * num) & (F.col("b.n") * den >= F.col("a.n") * num)
+        return sizes & (rest * (num + den) >= (F.col("a.n") + F.col("b.n")) * num)
+
+    pairs = partners(prefix, "id", "g", room, split)
     left, right = kinds.select(F.col("id").alias("a"), F.col("s").alias("sa")), kinds.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
     found = pairs.join(left, "a").join(right, "b").select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb") - shared).alias("total"))
     return found.where(F.col("shared") * den >= F.col("total") * num)
 
 
+def link_counts(rows: DataFrame, id_col: str, key: str, pairs: DataFrame) -> DataFrame:
+    """id_col, class_id (the least id with that key) and links, of how many other classes it has a pair (a, b); null keys have a class for each id."""
+    ends = pairs.select("a").unionAll(pairs.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("class_id")).agg(F.count("*").alias("links"))
+    own = classes(rows, id_col, F.col(key)).select(id_col, "class_id")
+    return own.join(ends, "class_id", "left").select(id_col, "class_id", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
+
+
 _finders: dict[str, tuple] = {}
 
 
@@ -218,14 +265,12 @@ def minhash_signatures(sets: DataFrame, id_col: str, permutations: int = 64) ->
     return sets.select(id_col, "s").mapInArrow(run, f"`{id_col}` {sets.schema[id_col].dataType.simpleString()}, sig array<bigint>")
 
 
-def minhash_pairs(sigs: DataFrame, id_col: str, bands: int = 16, num: int = 4, den: int = 5) -> DataFrame:
+def minhash_pairs(sigs: DataFrame, id_col: str, bands: int = 16, num: int = 4, den: int = 5, split: int = 1024) -> DataFrame:
     """Pairs (a, b) of different signatures whose share of equal places is num / den at least, found through bands."""
     kinds = cut(sigs.groupBy("sig").agg(F.min(id_col).alias("id")))
     width = F.floor(F.size("sig") / bands).cast("int")
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.slice("sig", k * width + 1, width)))
-    banded = kinds.select("id", F.explode(keys).alias("key"))
-    a, b = banded.alias("a"), banded.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    pairs = partners(kinds.select("id", F.explode(keys).alias("key")), "id", "key", split=split)
     left, right = kinds.select(F.col("id").alias("a"), F.col("sig").alias("x")), kinds.select(F.col("id").alias("b"), F.col("sig").alias("y"))
     same = F.aggregate(F.zip_with("x", "y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
     return pairs.join(left, "a").join(right, "b").select("a", "b", same.alias("same"), F.size("x").alias("places")).where(F.col("same") * den >= F.col("places") * num)

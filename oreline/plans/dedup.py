@@ -57,19 +57,29 @@ def crlf_block_pairs(t):
     return dedup.star_links(dedup.block_digests(t("documents"), "doc_id", dedup.normalise_line_ends(text), 64), "doc_id", "digest")
 
 
-SHINGLES = """w AS (SELECT doc_id, regexp_extract_all(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[A-Z]', '', 'g'), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL)"""
-
-
-@query("shingle_jaccard_pairs", """WITH w AS (SELECT min(doc_id) AS doc_id, regexp_extract_all(translate(replace(text, chr(13) || chr(10), chr(10)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL GROUP BY 2),
+SIMILAR = """w AS (SELECT min(doc_id) AS doc_id, regexp_extract_all(translate(replace(text, chr(13) || chr(10), chr(10)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL GROUP BY 2),
     s AS (SELECT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] END AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM w WHERE len(w) > 0)),
     d AS (SELECT DISTINCT doc_id, g FROM s), k AS (SELECT doc_id, list_sort(list(g)) AS gs FROM d GROUP BY doc_id), c AS (SELECT gs, min(doc_id) AS id FROM k GROUP BY gs),
-    f AS (SELECT id, len(gs) AS n, unnest(gs) AS g FROM c), p AS (SELECT x.id AS a, y.id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS shared FROM f x JOIN f y ON x.g = y.g AND x.id < y.id GROUP BY x.id, y.id)
-    SELECT a, b, shared::INT AS shared, (na + nb - shared)::INT AS total FROM p WHERE shared * 5 >= (na + nb - shared) * 4""")
+    f AS (SELECT id, len(gs) AS n, unnest(gs) AS g FROM c), p AS (SELECT x.id AS a, y.id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS shared FROM f x JOIN f y ON x.g = y.g AND x.id < y.id GROUP BY x.id, y.id)"""
+
+
+@query("shingle_jaccard_pairs", f"WITH {SIMILAR} SELECT a, b, shared::INT AS shared, (na + nb - shared)::INT AS total FROM p WHERE shared * 5 >= (na + nb - shared) * 4")
 def shingle_jaccard_pairs(t):
     """Different sets of five-word shingles that are 0.8 alike or more."""
     return dedup.similar_sets(dedup.shingle_sets(t("documents"), "doc_id", "text", 5), "doc_id")
 
 
+@query("shingle_jaccard_classes", f"""WITH {SIMILAR},
+    y AS (SELECT a, b FROM p WHERE shared * 5 >= (na + nb - shared) * 4), n AS (SELECT id, count(*) AS links FROM (SELECT a AS id FROM y UNION ALL SELECT b FROM y) GROUP BY id),
+    ws AS (SELECT doc_id, regexp_extract_all(translate(replace(text, chr(13) || chr(10), chr(10)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
+    own AS (SELECT ws.doc_id, c.id AS class_id FROM ws JOIN w USING (w) JOIN k ON k.doc_id = w.doc_id JOIN c USING (gs))
+    SELECT d.doc_id, coalesce(own.class_id, d.doc_id) AS class_id, coalesce(n.links, 0)::BIGINT AS links FROM documents d LEFT JOIN own USING (doc_id) LEFT JOIN n ON n.id = own.class_id""")
+def shingle_jaccard_classes(t):
+    """Each document with the first of its set of five-word shingles, and how many other sets are 0.8 like it or more."""
+    sets = cut(dedup.shingle_sets(t("documents"), "doc_id", "text", 5))
+    return dedup.link_counts(sets.withColumn("s", F.when(F.size("s") > 0, F.col("s"))), "doc_id", "s", dedup.similar_sets(sets, "doc_id"))
+
+
 @query("benchmark_containment", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def benchmark_containment(t):
     """Documents that hold a benchmark item's whole text."""
@@ -151,3 +161,10 @@ def minhash_pairs(t):
     """Pairs whose MinHash signatures agree in 0.8 of their places or more."""
     sets = dedup.shingle_sets(t("documents"), "doc_id", "text", 5)
     return dedup.minhash_pairs(dedup.minhash_signatures(sets, "doc_id"), "doc_id")
+
+
+@query("minhash_classes")
+def minhash_classes(t):
+    """Each document with the first of its MinHash signature, and how many other signatures agree with it in 0.8 of their places or more."""
+    sigs = cut(dedup.minhash_signatures(dedup.shingle_sets(t("documents"), "doc_id", "text", 5), "doc_id"))
+    return dedup.link_counts(sigs, "doc_id", "sig", dedup.minhash_pairs(sigs, "doc_id"))

@@ -346,7 +346,9 @@ def test_components_and_units(spark):
     assert {r["id"]: r["root"] for r in rooted.collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 10: 10, 11: 10}
     units = {r["root"]: r for r in dedup.unit_ids(rooted, "id").collect()}
     assert units[1]["size"] == 3 and units[1]["unit"].startswith("iu-") and len({u["unit"] for u in units.values()}) == 3
-    assert {r["root"]: r["size"] for r in dedup.unit_ids(rooted, "id", largest=2).collect()} == {1: 3, 4: 1, 10: 2}
+    for largest in (0, 1, 2):
+        assert {r["root"]: r for r in dedup.unit_ids(rooted, "id", largest=largest).collect()} == units
+    assert dedup.unit_ids(rooted.where("id < 0"), "id", largest=0).collect() == []
 
 
 def test_similar_sets_against_all_pairs(spark):
@@ -365,7 +367,23 @@ def test_similar_sets_against_all_pairs(spark):
             own[tuple(r["s"])] = min(own[tuple(r["s"])], r["id"])
     kinds = sorted((i, set(s)) for s, i in own.items())
     want = {(a, b) for k, (a, x) in enumerate(kinds) for b, y in kinds[k + 1 :] if len(x & y) * 5 >= len(x | y) * 4}
-    assert {(r["a"], r["b"]) for r in dedup.similar_sets(sets, "id").collect()} == want and want
+    for split in (1, 3, 1024):
+        found = [(r["a"], r["b"]) for r in dedup.similar_sets(sets, "id", split=split).collect()]
+        assert len(found) == len(set(found)) and set(found) == want and want
+    counted = {r["id"]: (r["class_id"], r["links"]) for r in dedup.link_counts(sets.selectExpr("id", "nullif(s, array()) AS s"), "id", "s", dedup.similar_sets(sets, "id")).collect()}
+    for r in sets.collect():
+        i = own.get(tuple(r["s"]), r["id"])
+        assert counted[r["id"]] == (i, sum(i in p for p in want))
+    assert dedup.similar_sets(sets.where("id < 0"), "id").collect() == []
+
+
+def test_partners_of_a_frequent_key(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i // 6}") for i in range(300)], "id bigint, key string")
+    by = {}
+    for r in rows.collect():
+        by.setdefault(r["key"], []).append(r["id"])
+    want = sorted((a, b) for ids in by.values() for a in ids for b in ids if a < b)
+    assert sorted((r["a"], r["b"]) for r in dedup.partners(rows, "id", "key", split=16).collect()) == want
 
 
 def test_minhash_arithmetic():

@@ -68,12 +68,28 @@ def looks_incompressible(repeats: Column, n: Column, samples: int = 1024, least:
     return (n >= least) & (repeats * 100 <= samples)
 
 
-def byte_statistics(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id_col, n_bytes, distinct_bytes, printable, entropy, order1_entropy, h0_scaled, repeats, records, stride, matrix_bytes, xor_zeros."""
-    names = ["n_bytes", "distinct_bytes", "printable", "entropy", "order1_entropy", "h0_scaled", "repeats", "records", "stride", "matrix_bytes", "xor_zeros"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), *[pa.int64()] * 6]
-    clear = np.zeros(256, dtype=bool)
-    clear[[9, 10, 11, 12, 13, *range(32, 127)]] = True
+PRINTABLE = np.zeros(256, dtype=bool)
+PRINTABLE[[9, 10, 11, 12, 13, *range(32, 127)]] = True
+
+#: What each group of statistics is called, and how it comes from a text's bytes and their histogram.
+STATISTICS = {
+    ("n_bytes",): lambda raw, data, hist: (len(raw),),
+    ("distinct_bytes",): lambda raw, data, hist: (int((hist > 0).sum()),),
+    ("printable",): lambda raw, data, hist: (int(hist[PRINTABLE].sum()),),
+    ("entropy",): lambda raw, data, hist: (entropy(hist),),
+    ("order1_entropy",): lambda raw, data, hist: (conditional_entropy(data),),
+    ("h0_scaled",): lambda raw, data, hist: (scaled_entropy(hist),),
+    ("repeats",): lambda raw, data, hist: (sampled_repeats(data),),
+    ("records", "stride", "matrix_bytes", "xor_zeros"): lambda raw, data, hist: record_xor(raw),
+}
+FRACTIONS = ("entropy", "order1_entropy")
+
+
+def byte_statistics(texts: DataFrame, id_col: str, text_col: str, wanted: list[str]) -> DataFrame:
+    """id_col and the ``wanted`` statistics, names of ``STATISTICS``; only those are computed. A null text is empty."""
+    groups = {names: f for names, f in STATISTICS.items() if set(names) & set(wanted)}
+    names = [n for group in groups for n in group]
+    kinds = [pa.float64() if n in FRACTIONS else pa.int64() for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,13 +98,13 @@ def byte_statistics(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 raw = (text or "").encode()
                 data = np.frombuffer(raw, dtype=np.uint8)
                 hist = np.bincount(data, minlength=256)
-                rows.append((len(raw), int((hist > 0).sum()), int(hist[clear].sum()), entropy(hist), conditional_entropy(data), scaled_entropy(hist), sampled_repeats(data), *record_xor(raw)))
+                rows.append([x for f in groups.values() for x in f(raw, data, hist)])
             columns = zip(*rows, strict=True) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=[id_col, *names])
 
     kind = texts.schema[id_col].dataType.simpleString()
-    spec = ", ".join(f"{n} {'double' if k == pa.float64() else 'bigint'}" for n, k in zip(names, kinds, strict=True))
-    return texts.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {spec}")
+    spec = ", ".join(f"{n} {'double' if n in FRACTIONS else 'bigint'}" for n in names)
+    return texts.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {spec}").select(id_col, *wanted)
 
 
 def context_sizes(texts: DataFrame, text_col: str) -> DataFrame:

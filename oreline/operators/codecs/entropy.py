@@ -257,10 +257,33 @@ class Model:
 TOP, BOTTOM, MASK = 1 << 24, 1 << 16, 0xFFFFFFFF
 
 
-def arithmetic_encode(data: bytes) -> bytes:
-    """Carry-less range coding under an adaptive order-0 model."""
-    model, low, span, out = Model(), 0, MASK, bytearray()
+class Contexts:
+    """Which model codes the next byte: one for all, or that of the byte before once it has been seen ``gate`` times.
+
+    No gate is order 0, a gate of 0 is order 1. A first byte has the common model.
+    """
+
+    def __init__(self, gate: int | None = None):
+        self.gate, self.common = gate, Model()
+        self.own: list[Model | None] = [None] * 256
+        self.times = [0] * 256
+
+    def after(self, before: int | None) -> Model:
+        if self.gate is None or before is None:
+            return self.common
+        self.times[before] += 1
+        if self.times[before] <= self.gate:
+            return self.common
+        if self.own[before] is None:
+            self.own[before] = Model()
+        return self.own[before]
+
+
+def arithmetic_encode(data: bytes, gate: int | None = None) -> bytes:
+    """Carry-less range coding under adaptive models, of order 0 unless there is a gate."""
+    contexts, before, low, span, out = Contexts(gate), None, 0, MASK, bytearray()
     for s in data:
+        model, before = contexts.after(before), s
         span //= model.total
         low = low + span * model.below(s) & MASK
         span *= model.freq[s]
@@ -273,16 +296,18 @@ def arithmetic_encode(data: bytes) -> bytes:
     return put_uvar(len(data)) + bytes(out) + low.to_bytes(4, "big")
 
 
-def arithmetic_decode(data: bytes) -> bytes:
+def arithmetic_decode(data: bytes, gate: int | None = None) -> bytes:
     n, at = get_uvar(data, 0)
     if len(data) < at + 4:
         raise Corrupt("no codes")
-    model, low, span, out = Model(), 0, MASK, bytearray()
+    contexts, before, low, span, out = Contexts(gate), None, 0, MASK, bytearray()
     code, at = int.from_bytes(data[at : at + 4], "big"), at + 4
     for _ in range(n):
+        model = contexts.after(before)
         span //= model.total
         s, start = model.find(min((code - low & MASK) // span, model.total - 1))
         out.append(s)
+        before = s
         low = low + span * start & MASK
         span *= model.freq[s]
         while (low ^ low + span) < TOP or span < BOTTOM:
@@ -297,3 +322,19 @@ def arithmetic_decode(data: bytes) -> bytes:
     if at != len(data):
         raise Corrupt("codes go on after the text")
     return bytes(out)
+
+
+#: The literal modes by number and the times a byte has to be seen before it is a context of its own.
+LITERAL_MODES = {1: None, 2: 0, 3: 4, 4: 8, 5: 16}
+
+
+def literal_encode(data: bytes, mode: int | None = None) -> bytes:
+    """A literal mode and the codes under it; without a mode the one of fewest bytes, ties to the lower number."""
+    modes = sorted(LITERAL_MODES) if mode is None else [mode]
+    return min((bytes([m]) + arithmetic_encode(data, LITERAL_MODES[m]) for m in modes), key=len)
+
+
+def literal_decode(data: bytes) -> bytes:
+    if not data or data[0] not in LITERAL_MODES:
+        raise Corrupt("no such literal mode")
+    return arithmetic_decode(data[1:], LITERAL_MODES[data[0]])

@@ -56,6 +56,48 @@ BWT, MTF, RUNS = (transforms.bwt_encode, transforms.bwt_decode), (transforms.mtf
 RANS, HUFFMAN, ARITHMETIC = (entropy.rans_encode, entropy.rans_decode), (entropy.huffman_encode, entropy.huffman_decode), (entropy.arithmetic_encode, entropy.arithmetic_decode)
 SPLIT, LINES = (transforms.context_split_encode, transforms.context_split_decode), (transforms.transpose_encode, transforms.transpose_decode)
 
+
+def tagged(*coders: tuple[Callable, Callable]) -> tuple[Callable, Callable]:
+    """The coder of fewest bytes, ties to the first, after a byte with its place."""
+
+    def forward(data: bytes) -> bytes:
+        return min((bytes([i]) + f(data) for i, (f, _) in enumerate(coders)), key=len)
+
+    def back(data: bytes) -> bytes:
+        if not data or data[0] >= len(coders):
+            raise Corrupt("no such coder")
+        return coders[data[0]][1](data[1:])
+
+    return forward, back
+
+
+def gated(gate: int | None) -> tuple[Callable, Callable]:
+    return lambda d: entropy.arithmetic_encode(d, gate), lambda d: entropy.arithmetic_decode(d, gate)
+
+
+#: What codes a sorted block, by number: order 0 and order 1 over ranks and runs, or the column as it is. 0 and 4 are known and refused.
+POST_CODERS = {1: chain(MTF, RUNS, gated(None)), 2: chain(MTF, RUNS, gated(0)), 3: tagged(RANS, HUFFMAN)}
+POST_REFUSED = frozenset({0, 4})
+
+
+def sorted_encode(data: bytes, post: int | None = None, walks: int = 1024) -> bytes:
+    """A block sort with indexes and its post-coder's number before it; without a number the one of fewest bytes, ties to the lower."""
+    if post is not None and post not in POST_CODERS:
+        raise ValueError(f"post-coder {post} is {'refused' if post in POST_REFUSED else 'unknown'}")
+    column = transforms.bwt_indexed_encode(data, walks)
+    head = len(column) - len(data)
+    coded = (bytes([p]) + POST_CODERS[p][0](column[head:]) for p in sorted(POST_CODERS) if post in (None, p))
+    return put_uvar(head) + column[:head] + min(coded, key=len)
+
+
+def sorted_decode(data: bytes) -> bytes:
+    head, at = get_uvar(data, 0)
+    end = at + head
+    if end >= len(data) or data[end] not in POST_CODERS:
+        raise Corrupt("the post-coder is missing, refused or unknown")
+    return transforms.bwt_indexed_decode(data[at:end] + POST_CODERS[data[end]][1](data[end + 1 :]))
+
+
 REGISTRY: dict[int, Codec] = {
     c.id: c
     for c in (
@@ -79,6 +121,8 @@ REGISTRY: dict[int, Codec] = {
         Codec(17, "word_reference", tokens.reference_encode, tokens.reference_decode, 8.0),
         Codec(18, "streams", tokens.streams_encode, tokens.streams_decode, 40.0),
         Codec(19, "lz_measured", measured.measured_encode, matches.read_tokens, 10.0),
+        Codec(20, "gated_literals", entropy.literal_encode, entropy.literal_decode, 95.0),
+        Codec(21, "sorted_indexed", sorted_encode, sorted_decode, 60.0),
         Codec(32, "deflate", lambda d: zlib.compress(d, 9), zlib.decompress, 25.0),
         Codec(33, "bzip2", bz2.compress, bz2.decompress, 100.0),
         Codec(34, "lzma", lambda d: lzma.compress(d, preset=6), lzma.decompress, 80.0),

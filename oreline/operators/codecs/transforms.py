@@ -46,6 +46,53 @@ def bwt_decode(data: bytes) -> bytes:
     return last[out].tobytes()
 
 
+def index_rate(n: int, walks: int) -> int:
+    """How far apart indexes stand for about ``walks`` of them: a power of two, at least 2 and at most n where n allows it."""
+    rate = 2
+    while rate * walks < n and rate * 2 <= n:
+        rate *= 2
+    return rate
+
+
+def bwt_indexed_encode(data: bytes, walks: int = 1024) -> bytes:
+    """The size, the distance of the indexes and the places of the rotations that begin at its multiples, then the last column."""
+    if not 1 <= walks <= 1 << 20:
+        raise ValueError("no such number of walks")
+    if not data:
+        return put_uvar(0)
+    x = np.frombuffer(data, dtype=np.uint8)
+    order, rate = rotations(x), index_rate(len(x), walks)
+    place = np.empty(len(x), dtype=np.int64)
+    place[order] = np.arange(len(x))
+    return put_uvar(len(x)) + put_uvar(rate) + b"".join(map(put_uvar, place[::rate].tolist())) + x[order - 1].tobytes()
+
+
+def bwt_indexed_decode(data: bytes) -> bytes:
+    """All stretches between indexes at once, a byte of each in every step."""
+    n, at = get_uvar(data, 0)
+    if not n:
+        if at != len(data):
+            raise Corrupt("bytes follow an empty text")
+        return b""
+    rate, at = get_uvar(data, at)
+    if n > len(data) or rate < 2 or rate & rate - 1 or rate > max(2, n):
+        raise Corrupt("no such distance of indexes")
+    rows = []
+    for _ in range(-(-n // rate)):
+        row, at = get_uvar(data, at)
+        rows.append(row)
+    last = np.frombuffer(data[at:], dtype=np.uint8)
+    if len(last) != n or max(rows) >= n:
+        raise Corrupt("indexes and column don't agree")
+    follow = np.argsort(last, kind="stable")
+    row = np.array(rows)
+    out = np.empty((len(rows), rate), dtype=np.uint8)
+    for step in range(rate):
+        row = follow[row]
+        out[:, step] = last[row]
+    return out.tobytes()[:n]
+
+
 def mtf_encode(data: bytes) -> bytes:
     recent, out = list(range(256)), bytearray()
     for b in data:

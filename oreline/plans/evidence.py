@@ -230,8 +230,10 @@ def frozen_expectation_diff(t):
 @query("missing_cells_anti", f"WITH {GRID} SELECT f.file, c.codec FROM (SELECT DISTINCT file FROM grid) f, (SELECT DISTINCT codec FROM grid) c WHERE NOT EXISTS (SELECT 1 FROM grid g WHERE g.file = f.file AND g.codec = c.codec)")
 def missing_cells_anti(t):
     """Files and codecs of the full grid that weren't measured."""
+    from oreline.operators import govern
+
     g = grid(t)
-    full = g.select("file").distinct().crossJoin(F.broadcast(g.select("codec").distinct()))  # the codecs are a fixed roster
+    full = govern.with_every(g.select("file").distinct(), "codec", govern.roster(g, "codec"))
     return full.join(g, ["file", "codec"], "left_anti")
 
 

@@ -24,7 +24,7 @@ FRAMES = """parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM docum
 )
 def byte_entropy_docs(t):
     """Order-0 entropy of each document's bytes."""
-    s = bytestats.byte_statistics(t("documents").where("text <> ''"), "doc_id", "text")
+    s = bytestats.byte_statistics(t("documents").where("text <> ''"), "doc_id", "text", ["n_bytes", "distinct_bytes", "entropy"])
     return s.select("doc_id", "n_bytes", "distinct_bytes", F.round("entropy", 9).alias("entropy"))
 
 
@@ -37,7 +37,7 @@ def byte_entropy_docs(t):
 )
 def byte_entropy_order1_docs(t):
     """Entropy of each byte given the byte before."""
-    s = bytestats.byte_statistics(t("documents").where("octet_length(text) > 1"), "doc_id", "text")
+    s = bytestats.byte_statistics(t("documents").where("octet_length(text) > 1"), "doc_id", "text", ["order1_entropy"])
     return s.select("doc_id", (F.round("order1_entropy", 9) + 0).alias("order1_entropy"))
 
 
@@ -49,7 +49,7 @@ def byte_entropy_order1_docs(t):
 )
 def h0_scaled_docs(t):
     """The whole-number entropy surface of each document."""
-    return bytestats.byte_statistics(t("documents").where("text <> ''"), "doc_id", "text").select("doc_id", "h0_scaled")
+    return bytestats.byte_statistics(t("documents").where("text <> ''"), "doc_id", "text", ["h0_scaled"])
 
 
 @query(
@@ -64,7 +64,7 @@ def h0_scaled_docs(t):
 )
 def vxor_zero_density(t):
     """Share of zeros when each record is XORed with the one before, padded to the longest."""
-    s = bytestats.byte_statistics(t("documents").where("text <> ''"), "doc_id", "text")
+    s = bytestats.byte_statistics(t("documents").where("text <> ''"), "doc_id", "text", ["records", "stride", "matrix_bytes", "xor_zeros"])
     return s.select("doc_id", "records", "stride", "matrix_bytes", "xor_zeros", F.round(F.col("xor_zeros") / F.col("matrix_bytes"), 9).alias("zero_density"))
 
 
@@ -77,7 +77,7 @@ def vxor_zero_density(t):
 )
 def text_likeness(t):
     """Documents of which 95 % of the bytes are printable ASCII."""
-    s = bytestats.byte_statistics(t("documents").where("text <> ''"), "doc_id", "text")
+    s = bytestats.byte_statistics(t("documents").where("text <> ''"), "doc_id", "text", ["n_bytes", "printable"])
     return s.select("doc_id", "n_bytes", "printable", bytestats.text_like(F.col("printable"), F.col("n_bytes"), 95, 100).alias("is_text"))
 
 
@@ -100,7 +100,7 @@ def prev_byte_context_sizes(t):
 )
 def incompressibility_gate(t):
     """Documents whose sampled windows hardly repeat, at which dearer encoders needn't be tried."""
-    s = bytestats.byte_statistics(t("documents").where("text IS NOT NULL"), "doc_id", "text")
+    s = bytestats.byte_statistics(t("documents").where("text IS NOT NULL"), "doc_id", "text", ["n_bytes", "repeats"])
     return s.select("doc_id", bytestats.looks_incompressible(F.col("repeats"), F.col("n_bytes")).alias("incompressible"))
 
 

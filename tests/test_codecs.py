@@ -296,3 +296,59 @@ def test_matches_that_do_not_pay_are_taken_back():
         assert at == len(data)
     plain = bytes(RNG.choices(b"ab", k=6_000))
     assert sum(x[0] for x in measured.measured_tokens(plain)) < sum(x[0] for x in matches.greedy_tokens(plain))
+
+
+@pytest.mark.parametrize("mode", sorted(entropy.LITERAL_MODES))
+def test_literal_modes(mode):
+    for data in FIXED:
+        packed = entropy.literal_encode(data, mode)
+        assert packed[0] == mode and entropy.literal_decode(packed) == data
+        assert len(entropy.literal_encode(data)) <= len(packed)
+
+
+def test_a_byte_is_a_context_once_it_was_seen_often_enough():
+    gated = entropy.Contexts(4)
+    assert gated.after(None) is gated.common and all(gated.after(65) is gated.common for _ in range(4))
+    assert gated.after(65) is not gated.common and gated.after(66) is gated.common
+    assert entropy.Contexts(0).after(65) is not None and entropy.Contexts(None).times[65] == 0
+    pairs = b"".join(bytes([x, x ^ 255]) for x in RNG.choices(range(128), k=4_000))
+    assert len(entropy.literal_encode(pairs, 2)) < len(entropy.literal_encode(pairs, 1))
+    for broken in (b"", b"\0", b"\6" + entropy.literal_encode(b"abc")[1:], entropy.literal_encode(b"abc") + b"\0"):
+        with pytest.raises(Corrupt):
+            entropy.literal_decode(broken)
+
+
+@settings(max_examples=40, deadline=None)
+@given(TEXTS, st.sampled_from([1, 2, 7, 1024]))
+def test_indexed_block_sort(data, walks):
+    packed = transforms.bwt_indexed_encode(data, walks)
+    assert transforms.bwt_indexed_decode(packed) == data
+    if data:
+        rate = transforms.index_rate(len(data), walks)
+        assert rate == 2 or (rate <= len(data) and rate // 2 * walks < len(data))
+        assert packed.endswith(transforms.bwt_encode(data)[-len(data) :])
+
+
+@pytest.mark.parametrize("post", [1, 2, 3])
+def test_post_coders(post):
+    from oreline.operators.codecs import registry
+
+    for data in FIXED:
+        packed = registry.sorted_encode(data, post)
+        assert registry.sorted_decode(packed) == data and len(registry.sorted_encode(data)) <= len(packed)
+
+
+def test_refused_post_coders_and_broken_indexes():
+    from oreline.operators.codecs import registry
+
+    for post in (0, 4, 9):
+        with pytest.raises(ValueError):
+            registry.sorted_encode(b"abc", post)
+        packed = bytearray(registry.sorted_encode(b"abcabc", 3))
+        packed[1 + packed[0]] = post
+        with pytest.raises(Corrupt):
+            registry.sorted_decode(bytes(packed))
+    good = transforms.bwt_indexed_encode(b"banana" * 9, 4)
+    for broken in (good[:-1], good + b"x", good[:1] + b"\3" + good[2:], good[:1] + b"\x40" + good[2:], good[:2] + b"\x7f" + good[3:]):
+        with pytest.raises(Corrupt):
+            transforms.bwt_indexed_decode(broken)

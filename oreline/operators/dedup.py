@@ -122,7 +122,8 @@ def shingle_sets(rows: DataFrame, id_col: str, text_col: str, n: int = 5) -> Dat
             for text in batch.column(1).to_pylist():
                 words = WORDS.findall((text or "").replace("\r\n", "\n").encode().lower())
                 grams = {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
-                sets.append(np.sort(np.array([int.from_bytes(hashlib.blake2b(g, digest_size=8).digest(), "big", signed=True) for g in grams], dtype=np.int64)))
+                digests = b"".join([hashlib.blake2b(g, digest_size=8).digest() for g in grams])
+                sets.append(np.sort(np.frombuffer(digests, dtype=">i8").astype(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=[id_col, "s"])
 
     return rows.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, s array<bigint>")
@@ -135,7 +136,7 @@ def partners(rows: DataFrame, id_col: str, key: str, allowed: Callable[[DataFram
     parts as ``split`` goes into their number, so that no task has all pairs of a frequent key.
     """
     often = rows.groupBy(key).agg(F.count("*").alias("_m")).where("_m > 1")
-    sized = rows.join(often, key).withColumn("_parts", F.ceil(F.col("_m") / split).cast("int")).drop("_m")
+    sized = cut(rows.join(often, key).withColumn("_parts", F.ceil(F.col("_m") / split).cast("int")).drop("_m"))
     a = sized.withColumn("_r", F.pmod(F.xxhash64(id_col), "_parts").cast("int")).alias("a")
     b = sized.withColumn("_r", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).alias("b")
     on = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a._r") == F.col("b._r")) & (F.col(f"a.{id_col}") < F.col(f"b.{id_col}"))
@@ -143,23 +144,59 @@ def partners(rows: DataFrame, id_col: str, key: str, allowed: Callable[[DataFram
     return found.select(F.col(f"a.{id_col}").alias("a"), F.col(f"b.{id_col}").alias("b")).distinct()
 
 
+def bucket_counts(sets: DataFrame, buckets: int = 1 << 20) -> np.ndarray:
+    """How many shingles fall in each of ``buckets`` by their low bits, counted map-side; a table of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(buckets, dtype=np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False) & (buckets - 1), minlength=buckets)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "n"])
+
+    found = sets.select("s").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(buckets, dtype=np.int64)
+    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def prefixes(kinds: DataFrame, num: int, den: int) -> DataFrame:
+    """id, n (shingles of the set), g and p: its first n - ceil(n num / den) + 1 shingles and their places from 1, those of rarer buckets first.
+
+    A shingle alone in its bucket can't make a pair; it only takes a place.
+    """
+    shared = kinds.sparkSession.sparkContext.broadcast(bucket_counts(kinds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for batch in batches:
+            row, size, gram, place = [], [], [], []
+            lists = batch.column(1)
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            for i, end in enumerate(ends.tolist()):
+                own = flat[ends[i - 1] if i else 0 : end]
+                weight = often[own & (len(often) - 1)]
+                first = np.lexsort((own, weight))[: len(own) - -(-len(own) * num // den) + 1]
+                p = np.flatnonzero(weight[first] > 1)
+                row.append(np.full(len(p), i))
+                size.append(np.full(len(p), len(own), dtype=np.int32))
+                gram.append(own[first[p]])
+                place.append((p + 1).astype(np.int32))
+            join = lambda parts, kind: pa.array(np.concatenate([np.zeros(0, dtype=kind), *parts]).astype(kind))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(join(row, np.int64)), join(size, np.int32), join(gram, np.int64), join(place, np.int32)], names=["id", "n", "g", "p"])
+
+    return kinds.select("id", "s").mapInArrow(run, f"id {kinds.schema['id'].dataType.simpleString()}, n int, g bigint, p int")
+
+
 def similar_sets(sets: DataFrame, id_col: str, num: int = 4, den: int = 5, split: int = 1024) -> DataFrame:
     """Pairs (a, b) of different sets, each by its least id, with Jaccard num / den at least: shared and total shingles.
 
-    Exact: ordered by rarity, similar sets share one of the first |s| - ceil(t |s|) + 1
-    shingles, so only sets that share such a rare one are compared, and compared in full if
-    their sizes, and what follows the shingle in both, leave room for enough in common.
-    Equal sets are one class; empty sets have no partner.
+    Exact: in any one order of all shingles, similar sets share one of their first |s| - ceil(t |s|) + 1, so
+    only sets that share such a shingle are compared, and compared in full if their sizes, and what follows the
+    shingle in both, leave room for enough in common. The order is by the counts of hash buckets, rare ones
+    first. Equal sets are one class; empty sets have no partner.
     """
     kinds = cut(sets.where(F.size("s") > 0).groupBy("s").agg(F.min(id_col).alias("id")))
-    each = kinds.select("id", F.size("s").alias("n"), F.explode("s").alias("g"))
-    often = each.groupBy("g").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "g"))
-    keep = F.col("n") - F.ceil(F.col("n") * num / den) + 1
-    prefix = each.join(often.where("df > 1"), "g").select("id", "n", "g", "df")
-    # shingles that no other set has come first in the order but can't make a pair: they only use up places
-    lone = each.groupBy("id").agg(F.count("*").alias("all")).join(prefix.groupBy("id").agg(F.count("*").alias("common")), "id").select("id", (F.col("all") - F.col("common")).alias("lone"))
-    prefix = cut(prefix.join(lone, "id").withColumn("p", place + F.col("lone")).where(F.col("p") <= keep).select("id", "n", "g", "p"))
 
     def room(a: DataFrame, b: DataFrame) -> Column:
         # of the first shingle that two sets share, and what follows it in the shorter rest, all they have in common is part
@@ -167,17 +204,22 @@ def similar_sets(sets: DataFrame, id_col: str, num: int = 4, den: int = 5, split
         sizes = (F.col("a.n") * den >= F.col("b.n") * num) & (F.col("b.n") * den >= F.col("a.n") * num)
         return sizes & (rest * (num + den) >= (F.col("a.n") + F.col("b.n")) * num)
 
-    pairs = partners(prefix, "id", "g", room, split)
+    pairs = partners(prefixes(kinds, num, den), "id", "g", room, split)
     left, right = kinds.select(F.col("id").alias("a"), F.col("s").alias("sa")), kinds.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
     found = pairs.join(left, "a").join(right, "b").select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb") - shared).alias("total"))
     return found.where(F.col("shared") * den >= F.col("total") * num)
 
 
-def link_counts(rows: DataFrame, id_col: str, key: str, pairs: DataFrame) -> DataFrame:
+def set_key(hashes: str) -> Column:
+    """128 bits of hash and the size of a sorted set; null if the set is null or empty."""
+    return F.when(F.size(hashes) > 0, F.concat_ws(":", F.xxhash64(hashes), F.xxhash64(F.reverse(hashes)), F.size(hashes)))
+
+
+def link_counts(rows: DataFrame, id_col: str, key: Column, pairs: DataFrame) -> DataFrame:
     """id_col, class_id (the least id with that key) and links, of how many other classes it has a pair (a, b); null keys have a class for each id."""
     ends = pairs.select("a").unionAll(pairs.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("class_id")).agg(F.count("*").alias("links"))
-    own = classes(rows, id_col, F.col(key)).select(id_col, "class_id")
+    own = classes(cut(rows.select(id_col, key.alias("_key"))), id_col, F.col("_key")).select(id_col, "class_id")
     return own.join(ends, "class_id", "left").select(id_col, "class_id", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
 
 

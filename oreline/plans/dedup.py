@@ -76,8 +76,8 @@ def shingle_jaccard_pairs(t):
     SELECT d.doc_id, coalesce(own.class_id, d.doc_id) AS class_id, coalesce(n.links, 0)::BIGINT AS links FROM documents d LEFT JOIN own USING (doc_id) LEFT JOIN n ON n.id = own.class_id""")
 def shingle_jaccard_classes(t):
     """Each document with the first of its set of five-word shingles, and how many other sets are 0.8 like it or more."""
-    sets = cut(dedup.shingle_sets(t("documents"), "doc_id", "text", 5))
-    return dedup.link_counts(sets.withColumn("s", F.when(F.size("s") > 0, F.col("s"))), "doc_id", "s", dedup.similar_sets(sets, "doc_id"))
+    sets = dedup.shingle_sets(t("documents"), "doc_id", "text", 5)
+    return dedup.link_counts(sets, "doc_id", dedup.set_key("s"), cut(dedup.similar_sets(sets, "doc_id").select("a", "b")))
 
 
 @query("benchmark_containment", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
@@ -167,4 +167,4 @@ def minhash_pairs(t):
 def minhash_classes(t):
     """Each document with the first of its MinHash signature, and how many other signatures agree with it in 0.8 of their places or more."""
     sigs = cut(dedup.minhash_signatures(dedup.shingle_sets(t("documents"), "doc_id", "text", 5), "doc_id"))
-    return dedup.link_counts(sigs, "doc_id", "sig", dedup.minhash_pairs(sigs, "doc_id"))
+    return dedup.link_counts(sigs, "doc_id", dedup.set_key("sig"), cut(dedup.minhash_pairs(sigs, "doc_id").select("a", "b")))

@@ -370,7 +370,7 @@ def test_similar_sets_against_all_pairs(spark):
     for split in (1, 3, 1024):
         found = [(r["a"], r["b"]) for r in dedup.similar_sets(sets, "id", split=split).collect()]
         assert len(found) == len(set(found)) and set(found) == want and want
-    counted = {r["id"]: (r["class_id"], r["links"]) for r in dedup.link_counts(sets.selectExpr("id", "nullif(s, array()) AS s"), "id", "s", dedup.similar_sets(sets, "id")).collect()}
+    counted = {r["id"]: (r["class_id"], r["links"]) for r in dedup.link_counts(sets, "id", dedup.set_key("s"), dedup.similar_sets(sets, "id")).collect()}
     for r in sets.collect():
         i = own.get(tuple(r["s"]), r["id"])
         assert counted[r["id"]] == (i, sum(i in p for p in want))

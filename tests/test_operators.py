@@ -180,6 +180,30 @@ def test_bootstrap_of_enough_samples(spark):
     assert (got["ratio"], got["ci_low"], got["ci_high"]) == stats.bootstrap_ratio([np.log(1.0 + i % 13 / 7) for i in range(40)], 1, 20_000)
 
 
+def test_bootstrap_draws_once_for_groups_of_one_size(monkeypatch):
+    times, draws = [], stats.stream_draws
+    monkeypatch.setattr(stats, "stream_draws", lambda *a: times.append(a) or draws(*a))
+    rng = np.random.default_rng(8)
+    for n in (41, 42):
+        groups = [rng.normal(size=n), rng.integers(0, 3, n) / 2.0, np.exp(4 * rng.normal(size=n))]
+        got = [stats.bootstrap_ratio(g.tolist(), 9, 2000)[1:] for g in groups]
+        draw = random.Random(9)
+        rows = np.array([[draw.randrange(n) for _ in range(n)] for _ in range(2000)])
+        for g, found in zip(groups, got, strict=True):
+            medians = np.sort(np.median(g[rows], axis=1))
+            assert found == pytest.approx((np.exp(medians[50]), np.exp(medians[1950])), rel=1e-14)
+    assert len(times) == 2
+    monkeypatch.setattr(stats, "SHARED_DRAWS", 0)
+    assert stats.bootstrap_ratio(groups[0].tolist(), 9, 2000)[1:] == got[0]
+
+
+def test_bootstrap_sorts_null_places_last(spark):
+    pairs = spark.createDataFrame([("s", i if i else None, 1.0, 1.0 + i) for i in range(5)] + [("u", 1, 2.0, 3.0)], "k string, i int, a double, b double")
+    got = {r["k"]: (r["n"], r["ratio"], r["ci_low"], r["ci_high"]) for r in stats.paired_bootstrap(pairs, ["k"], "i", "a", "b").collect()}
+    assert got["s"] == (5, *stats.bootstrap_ratio([np.log(1.0 + i) for i in (1, 2, 3, 4, 0)], 1, 20_000))
+    assert got["u"] == (1, *stats.bootstrap_ratio([np.log(1.5)], 1, 20_000))
+
+
 def test_argmin_takes_the_smaller_id(spark):
     df = spark.createDataFrame([("k", 5, 2, "b"), ("k", 5, 1, "a"), ("k", 7, 0, "c")], "k string, cost int, id int, x string")
     assert [tuple(r) for r in select.argmin(df, ["k"], ["cost", "id"]).collect()] == [("k", 5, 1, "a")]

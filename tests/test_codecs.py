@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 
 from oreline.operators import shapes
 from oreline.operators.codecs import DISABLED, REGISTRY, bits, columns, decode, decode_all, encode, encode_all, entropy, matches, measured, tokens, transforms
+from oreline.operators.codecs import parses
 from oreline.operators.codecs.bits import Corrupt
 from oreline.operators.codecs.registry import choose
 from oreline.sources import census, container
@@ -352,3 +353,29 @@ def test_refused_post_coders_and_broken_indexes():
     for broken in (good[:-1], good + b"x", good[:1] + b"\3" + good[2:], good[:1] + b"\x40" + good[2:], good[:2] + b"\x7f" + good[3:]):
         with pytest.raises(Corrupt):
             transforms.bwt_indexed_decode(broken)
+
+
+def many_blocks(count: int = 40) -> list[bytes]:
+    """Blocks of phrases that come again at many distances, of two bytes, of any bytes, and the fixed ones."""
+    rng = random.Random(17)
+    phrases = [rng.randbytes(rng.randrange(2, 40)) for _ in range(30)]
+    return [b"".join(rng.choices(phrases, k=rng.randrange(80))) for _ in range(count)] + [bytes(rng.choices(b"ab", k=900)), rng.randbytes(700), b"a" * 2000, *FIXED]
+
+
+@pytest.mark.parametrize("window", [1 << 16, 200, 5])
+def test_parses_of_many_blocks_are_those_of_one(window, monkeypatch):
+    blocks = many_blocks()
+    assert parses.greedy_all(blocks, window) == [matches.greedy_tokens(b, window) for b in blocks]
+    cheapest = [matches.cheapest_tokens(b, window) for b in blocks]
+    assert parses.cheapest_all(blocks, window) == cheapest
+    monkeypatch.setattr(parses, "MATCHED_BYTES", 700)
+    monkeypatch.setattr(parses, "PRICED_BYTES", 3000)
+    assert parses.cheapest_all(blocks, window) == cheapest and parses.cheapest_all([b"", b""]) == [[], []]
+
+
+def test_blocks_are_parsed_together(monkeypatch):
+    blocks = many_blocks(10)
+    before = [matches.greedy_encode(b) for b in blocks], [matches.cheapest_encode(b) for b in blocks]
+    for name in ("greedy_tokens", "cheapest_tokens"):
+        monkeypatch.setattr(matches, name, None)
+    assert (encode_all(9, blocks), encode_all(10, blocks)) == before and decode_all(10, before[1]) == blocks

@@ -1,5 +1,6 @@
 """Codecs and containers: round trips, cuts, mutations."""
 
+import dataclasses
 import random
 import struct
 import zlib
@@ -11,7 +12,7 @@ from hypothesis import strategies as st
 
 from oreline.operators import shapes
 from oreline.operators.codecs import DISABLED, REGISTRY, bits, columns, decode, decode_all, encode, encode_all, entropy, matches, measured, tokens, transforms
-from oreline.operators.codecs import parses
+from oreline.operators.codecs import lanes, parses
 from oreline.operators.codecs.bits import Corrupt
 from oreline.operators.codecs.registry import choose
 from oreline.sources import census, container
@@ -379,3 +380,52 @@ def test_blocks_are_parsed_together(monkeypatch):
     for name in ("greedy_tokens", "cheapest_tokens"):
         monkeypatch.setattr(matches, name, None)
     assert (encode_all(9, blocks), encode_all(10, blocks)) == before and decode_all(10, before[1]) == blocks
+
+
+def test_streams_of_many_blocks_are_coded_together(monkeypatch):
+    blocks = many_blocks(30) + [b"the quick brown fox " * 30 + RNG.randbytes(900)]
+    packed, calls = [encode(18, b) for b in blocks], []
+    own = REGISTRY[2].encode_all
+    monkeypatch.setitem(REGISTRY, 2, dataclasses.replace(REGISTRY[2], encode_all=lambda x: calls.append(len(x)) or own(x)))
+    assert encode_all(18, blocks) == packed and len(calls) == 1
+    assert decode_all(18, packed) == blocks
+    with pytest.raises(Corrupt):
+        decode_all(18, [packed[0], packed[-1][:-1]])
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(TEXTS, max_size=12))
+def test_huffman_lanes_are_the_one_block_coder(blocks):
+    packed = [entropy.huffman_encode(b) for b in blocks]
+    assert lanes.huffman_decode_all(packed) == blocks == [entropy.huffman_decode(p) for p in packed]
+
+
+def test_huffman_lanes_notice_what_is_broken():
+    rng = random.Random(4)
+    packed = entropy.huffman_encode(b"the cat sat on the mat " * 9)
+    for _ in range(200):
+        broken = bytearray(packed[: rng.randrange(1, len(packed) + 1)])
+        broken[rng.randrange(len(broken))] = rng.randrange(256)
+        try:
+            expected = entropy.huffman_decode(bytes(broken))
+        except Corrupt:
+            expected = None
+        try:
+            assert lanes.huffman_decode_all([packed, bytes(broken)])[1] == expected
+        except Corrupt:
+            assert expected is None
+
+
+def test_code_lengths_do_not_change():
+    rng = np.random.default_rng(2)
+    for counts in (rng.integers(0, 3, 256), rng.integers(0, 1000, 256), (2.0 ** np.arange(40)).astype(np.int64), np.ones(256, dtype=np.int64), np.arange(256) == 7):
+        counts = np.pad(counts.astype(np.int64), (0, 256 - len(counts)))
+        lengths = entropy.code_lengths(counts)
+        assert ((lengths > 0) == (counts > 0)).all() and lengths.max() <= 15
+        if np.count_nonzero(counts) > 1:
+            assert (2.0 ** -lengths[counts > 0]).sum() == 1
+        codes, last = entropy.canonical_codes(lengths), None
+        for s in sorted(np.flatnonzero(lengths).tolist(), key=lambda s: (lengths[s], s)):
+            code = 0 if last is None else int(codes[last]) + 1 << int(lengths[s] - lengths[last])
+            assert codes[s] == code
+            last = s

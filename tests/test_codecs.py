@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 
 from oreline.operators import shapes
 from oreline.operators.codecs import DISABLED, REGISTRY, bits, columns, decode, decode_all, encode, encode_all, entropy, matches, measured, tokens, transforms
-from oreline.operators.codecs import lanes, parses
+from oreline.operators.codecs import adaptive, lanes, parses
 from oreline.operators.codecs.bits import Corrupt
 from oreline.operators.codecs.registry import choose
 from oreline.sources import census, container
@@ -429,3 +429,50 @@ def test_code_lengths_do_not_change():
             code = 0 if last is None else int(codes[last]) + 1 << int(lengths[s] - lengths[last])
             assert codes[s] == code
             last = s
+
+
+def skewed_blocks() -> list[bytes]:
+    """Blocks long enough that counts are halved, over one byte, two, few and all."""
+    rng = np.random.default_rng(12)
+    return [b"", b"a", bytes([255]) * 1500, rng.integers(0, 2, 2500, dtype=np.uint8).tobytes(), rng.integers(0, 256, 1200, dtype=np.uint8).tobytes(), np.minimum(255, rng.exponential(9, 2500)).astype(np.uint8).tobytes(), *FIXED]
+
+
+@pytest.mark.parametrize("gate", [None, 0, 4])
+def test_adaptive_lanes_are_the_one_block_coder(gate, monkeypatch):
+    blocks = skewed_blocks()
+    packed = [entropy.arithmetic_encode(b, gate) for b in blocks]
+    assert adaptive.encode_all(blocks, gate) == packed and adaptive.decode_all(packed, gate) == blocks
+    monkeypatch.setattr(adaptive, "LANE_BYTES", 3000)
+    monkeypatch.setattr(adaptive, "LONGEST", 2000)
+    assert adaptive.encode_all(blocks, gate) == packed and adaptive.decode_all(packed, gate) == blocks
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(TEXTS, max_size=8))
+def test_literal_modes_of_many_blocks(blocks):
+    packed = encode_all(20, blocks)
+    assert packed == [entropy.literal_encode(b) for b in blocks] and decode_all(20, packed) == blocks
+
+
+@pytest.mark.parametrize("number", [4, 20, 21])
+def test_adaptive_lanes_notice_what_is_broken(number):
+    rng = random.Random(number)
+    packed = encode(number, b"the cat sat on the mat " * 9)
+    for _ in range(150):
+        broken = bytearray(packed[: rng.randrange(1, len(packed) + 1)])
+        broken[rng.randrange(len(broken))] = rng.randrange(256)
+        try:
+            expected = decode(number, bytes(broken))
+        except Corrupt:
+            expected = None
+        try:
+            assert decode_all(number, [packed, bytes(broken)])[1] == expected
+        except Corrupt:
+            assert expected is None
+
+
+def test_literal_modes_are_tried_on_all_blocks_at_once(monkeypatch):
+    blocks = skewed_blocks()
+    packed = [entropy.literal_encode(b) for b in blocks]
+    monkeypatch.setattr(entropy, "arithmetic_encode", None)
+    assert encode_all(20, blocks) == packed and decode_all(20, packed) == blocks

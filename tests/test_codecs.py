@@ -476,3 +476,13 @@ def test_literal_modes_are_tried_on_all_blocks_at_once(monkeypatch):
     packed = [entropy.literal_encode(b) for b in blocks]
     monkeypatch.setattr(entropy, "arithmetic_encode", None)
     assert encode_all(20, blocks) == packed and decode_all(20, packed) == blocks
+
+
+def test_sorted_blocks_are_coded_together(monkeypatch):
+    blocks = skewed_blocks()
+    packed = [encode(21, b) for b in blocks]
+    assert {p[bits.get_uvar(p, 0)[0] + bits.get_uvar(p, 0)[1]] for p in packed} == {1, 2, 3}
+    monkeypatch.setattr(entropy, "arithmetic_encode", None)
+    assert encode_all(21, blocks) == packed and decode_all(21, packed) == blocks
+    with pytest.raises(Corrupt):
+        decode_all(21, [packed[3], b"\0\4"])

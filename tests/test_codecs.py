@@ -486,3 +486,32 @@ def test_sorted_blocks_are_coded_together(monkeypatch):
     assert encode_all(21, blocks) == packed and decode_all(21, packed) == blocks
     with pytest.raises(Corrupt):
         decode_all(21, [packed[3], b"\0\4"])
+
+
+def test_grammar_is_that_of_the_commonest_pairs():
+    """Held against rules made one by one from counts in a dictionary."""
+    for data in [*many_blocks(12), b"aaa" * 50 + b"b", b"aabaab" * 9, b"\0" * 9, bytes(2) + b"xyxyxyxy"]:
+        x, made = list(data), []
+        while len(made) < 768 and len(x) > 1:
+            counts: dict[tuple[int, int], int] = {}
+            for pair in zip(x[:-1], x[1:], strict=True):
+                counts[pair] = counts.get(pair, 0) + 1
+            best = min(counts, key=lambda p: (-counts[p], p))
+            out, i = [], 0
+            while i < len(x):
+                whole = tuple(x[i : i + 2]) == best
+                out.append(256 + len(made) if whole else x[i])
+                i += 1 + whole
+            if counts[best] < 4 or len(x) - len(out) < 4:
+                break
+            x = out
+            made.append(best)
+        rules, symbols = matches.grammar(data)
+        assert (rules, symbols.tolist()) == (made, x)
+
+
+def test_ranks_of_many_blocks_are_coded_together(monkeypatch):
+    blocks = many_blocks(8)
+    packed = [encode(6, b) for b in blocks]
+    monkeypatch.setattr(entropy, "normalised", None)  # what the one-block coder would use
+    assert encode_all(6, blocks) == packed and decode_all(6, packed) == blocks

@@ -10,11 +10,14 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from oreline.operators import shapes
 from oreline.operators.codecs import DISABLED, REGISTRY, bits, columns, decode, decode_all, encode, encode_all, entropy, matches, measured, tokens, transforms
 from oreline.operators.codecs import adaptive, lanes, parses
 from oreline.operators.codecs.bits import Corrupt
 from oreline.operators.codecs.registry import choose
+from oreline.plans import codecs as plans
 from oreline.sources import census, container
 
 RNG = random.Random(9)
@@ -515,3 +518,11 @@ def test_ranks_of_many_blocks_are_coded_together(monkeypatch):
     packed = [encode(6, b) for b in blocks]
     monkeypatch.setattr(entropy, "normalised", None)  # what the one-block coder would use
     assert encode_all(6, blocks) == packed and decode_all(6, packed) == blocks
+
+
+def test_blocks_of_one_row_group_go_to_several_tasks(spark):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(1, rng.randbytes(3_000_000).hex()), (2, "x"), (3, "")], "doc_id bigint, text string").coalesce(1)
+    found = plans.round_trip(lambda name: docs, 0).withColumn("task", F.spark_partition_id())
+    got = found.agg(F.count("*"), F.sum("n_bytes"), F.bool_and("ok"), F.countDistinct("task")).first()
+    assert got[:3] == (1466, 6_000_001, True) and got[3] > 1
